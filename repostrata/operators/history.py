@@ -80,20 +80,19 @@ def developer_lists(commits: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> Da
     A list over ``max_bytes`` is left NULL; ``developers`` holds every name in rows.
     The size is summed before anything is collected.
     """
-    seen = author_first_seen(commits)
+    seen = author_first_seen(commits).where(F.col("author_name").isNotNull())
+    # Summing over first_seq as well keeps one shuffle of the commits for both uses.
+    named = F.when(F.col("first_seq").isNull(), 16).otherwise(F.octet_length("author_name") + 16)
     sizes = seen.groupBy("repo").agg(
-        F.count("author_name").alias("developer_count"),
-        F.sum(F.octet_length("author_name") + 16).alias("list_bytes"),
+        F.count(F.lit(1)).alias("developer_count"), F.sum(named).alias("list_bytes")
     )
-    short = sizes.where(F.col("list_bytes") <= max_bytes).select("repo")
-    lists = (
-        seen.where(F.col("author_name").isNotNull())
-        .join(short, "repo", "left_semi")
-        .groupBy("repo")
-        .agg(F.array_sort(F.collect_list(F.struct("first_seq", "author_name"))).alias("seen"))
-        .select("repo", F.col("seen.author_name").alias("developers"))
+    fits = F.col("list_bytes") <= max_bytes
+    return (
+        seen.join(sizes, "repo")
+        .groupBy("repo", "developer_count", "list_bytes")
+        .agg(F.collect_list(F.when(fits, F.struct("first_seq", "author_name"))).alias("seen"))
+        .select("repo", "developer_count", F.when(fits, F.array_sort("seen")["author_name"]).alias("developers"))
     )
-    return sizes.drop("list_bytes").join(lists, "repo", "left")
 
 
 def _dmm_mean(column: str, include_zero: bool) -> Column:

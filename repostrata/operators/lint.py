@@ -61,6 +61,7 @@ def symbol_counts(messages: DataFrame, by: Sequence[str] = ("repo", "commit_hash
 
 
 _BY_MSG = "stats.by_msg."
+_CONDITIONAL_COLUMNS = 100
 
 
 def with_ids(stats: DataFrame, ids: DataFrame) -> DataFrame:
@@ -121,10 +122,12 @@ def lint_wide(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per commit with a column for each of ``keys`` and every fixed column."""
     identity = {"repo", "date", "commit_hash"}
     columns = ordered_columns(sorted(set(keys) | set(FIXED_COLUMNS)))
-    pivoted = (
-        table_keys(stats)
-        .groupBy("repo", F.col("committer_date").alias("date"), "commit_hash")
-        .pivot("key", [c for c in columns if c not in identity])
-        .agg(F.first("value"))
-    )
-    return pivoted.select(*[F.col(f"`{c}`") for c in columns])
+    values = [c for c in columns if c not in identity]
+    grouped = table_keys(stats).groupBy("repo", F.col("committer_date").alias("date"), "commit_hash")
+    if len(values) <= _CONDITIONAL_COLUMNS:
+        # A (commit, key) has one value, so one conditional aggregate per key needs a
+        # single shuffle; pivot would aggregate by (commit, key) first.
+        wide = grouped.agg(*[F.max(F.when(F.col("key") == c, F.col("value"))).alias(c) for c in values])
+    else:
+        wide = grouped.pivot("key", values).agg(F.max("value"))
+    return wide.select(*[F.col(f"`{c}`") for c in columns])

@@ -10,6 +10,9 @@ from pyspark.sql.window import Window
 from repostrata.operators.history import churn_of
 
 
+SUMS = ("changed", "added", "removed", "modifications", "churn_total", "churn_max")
+
+
 def author_file_base(
     changes: DataFrame, author: str = "author_email", churn_mode: str = "difference"
 ) -> DataFrame:
@@ -31,7 +34,8 @@ def file_metrics(base: DataFrame, minor: float = 0.05) -> DataFrame:
     Only ``1/minor`` contributors can hold a share of ``minor`` or more, so the largest
     ``1/minor`` rows of a file decide how many contributors are not minor. Spark cuts
     the ranking to that many rows before the shuffle; a file with millions of authors
-    never gathers in one task.
+    never gathers in one task. The ranking orders by every sum of ``base``, so both
+    branches need the same columns and share one shuffle of the changes.
     """
     most = math.floor(1 / minor + 1e-9)
     files = base.groupBy("repo", "path").agg(
@@ -44,7 +48,7 @@ def file_metrics(base: DataFrame, minor: float = 0.05) -> DataFrame:
         F.sum("churn_total").alias("churn_total"),
         F.max("churn_max").alias("churn_max"),
     )
-    largest = Window.partitionBy("repo", "path").orderBy(F.desc("changed"))
+    largest = Window.partitionBy("repo", "path").orderBy(*[F.desc(c) for c in SUMS])
     leaders = (
         base.select("repo", "path", "changed", F.row_number().over(largest).alias("place"))
         .where(F.col("place") <= most)

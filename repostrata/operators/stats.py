@@ -152,7 +152,7 @@ def shapiro(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     placed = ranks.join(F.broadcast(sizes), "column").withColumn("first", F.col("upto") - F.col("n") + 1)
     chunked = placed.withColumn("from", F.explode(F.sequence("first", "upto", F.lit(_CHUNK)))).withColumn(
         "to", F.least(F.col("from") + _CHUNK - 1, "upto")
-    )
+    ).repartition("column", "from")
     weighted = (
         chunked.select("column", "value", score_sums("from", "to", "size").alias("s"))
         .groupBy("column")

@@ -14,13 +14,16 @@ def classify(sources: DataFrame, strict: bool = True, dedupe: bool = True) -> Da
     Most files stay the same from commit to commit, so each distinct content is parsed
     once and its counts are joined back by hash. A content shared by very many files
     (an empty module) makes one hot join key; its side carries no text and adaptive
-    skew handling splits it.
+    skew handling splits it. A ``content_sha`` column (a blob id) is used when there is
+    one: then the side of the keys does not read the text at all.
     """
     udf = statements(strict)
-    keys = [c for c in sources.columns if c != "content"]
+    keys = [c for c in sources.columns if c not in ("content", "content_sha")]
     if not dedupe:
         return sources.select(*keys, udf("content").alias("s")).select(*keys, "s.*")
-    hashed = sources.withColumn("sha", F.sha2(F.coalesce("content", F.lit("")), 256))
+    known = "content_sha" in sources.columns
+    sha = F.col("content_sha") if known else F.sha2(F.coalesce("content", F.lit("")), 256)
+    hashed = sources.select(*keys, "content", sha.alias("sha"))
     parsed = (
         hashed.groupBy("sha")
         .agg(F.any_value("content").alias("content"))

@@ -65,10 +65,8 @@ def upsert_table(
     if not set(bucket_by) <= set(keys):
         raise ValueError("bucket_by must be among the keys")
     spark = new.sparkSession
-    placed = new.withColumn(BUCKET, bucket_of(bucket_by, buckets))
+    placed = new.withColumn(BUCKET, bucket_of(bucket_by, buckets)).persist()
     touched = [row[BUCKET] for row in placed.select(BUCKET).distinct().collect()]
-    if not touched:
-        return
     try:
         existing = spark.read.parquet(path).where(F.col(BUCKET).isin(touched))
     except AnalysisException as error:
@@ -76,6 +74,7 @@ def upsert_table(
             raise
         existing = None
     merged = pinned(merge(existing, placed, keys, order))
+    placed.unpersist()
     (
         merged.hint("rebalance", BUCKET)
         .sortWithinPartitions(BUCKET, *keys)

@@ -237,8 +237,14 @@ def lint_unknown_symbols(t: TestTables) -> DataFrame:
 
 @registered
 def lint_wide(t: TestTables) -> DataFrame:
-    table = tables.lint_table(t.lint_stats(), t.lint_messages(), t.message_ids())
-    return table.select(*[text_of("date") if c == "date" else F.col(f"`{c}`").alias(c.replace(".", "_").replace("-", "_")) for c in table.columns])
+    # The columns are known beforehand: one per message id of the linter.
+    ids = t.message_ids().select(F.concat("msg_id", F.lit("."), "symbol").alias("key")).limit(10_000)
+    names = sorted(row.key for row in ids.collect())
+    table = tables.lint_table(t.lint_stats(), t.lint_messages(), t.message_ids(), [*names, "node_count.function"])
+    plain = {c: c.replace(".", "_").replace("-", "_") for c in table.columns}
+    return table.select(
+        *[text_of("date") if c == "date" else F.col(f"`{c}`").alias(name) for c, name in plain.items()]
+    )
 
 
 # -- test code ----------------------------------------------------------------------

@@ -124,8 +124,9 @@ def lint_table(
     complexity_rows = lint.mccabe(messages, by).select(
         *by, F.lit("avg_mccabe_complexity").alias("key"), F.col("avg_mccabe_complexity").alias("value")
     )
-    rows = lint.with_ids(stats, message_ids).unionByName(complexity_rows)
-    return lint.lint_wide(rows, lint.distinct_keys(rows) if keys is None else keys)
+    named = lint.with_ids(stats, message_ids)
+    keys = lint.distinct_keys(named) if keys is None else keys
+    return lint.lint_wide(named.unionByName(complexity_rows), keys)
 
 
 def stargazers_table(events: DataFrame, repos: Sequence[str]) -> DataFrame:

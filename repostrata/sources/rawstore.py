@@ -18,7 +18,8 @@ TABLES = ("repositories", "metadata", "stargazers", "tests", "test_commits", "li
 
 
 def in_parts(rows: DataFrame, keys: Sequence[str], max_rows: int = 10_000) -> DataFrame:
-    """Number the parts of each key so that a part holds about ``max_rows`` rows.
+    """Number the parts of each key so that a part holds about ``max_rows`` rows, and
+    bring each part together; grouping by keys and part then needs no shuffle.
 
     Rows must be distinct: a row's part is a hash of the row.
     """
@@ -28,6 +29,7 @@ def in_parts(rows: DataFrame, keys: Sequence[str], max_rows: int = 10_000) -> Da
         rows.join(parts, list(keys))
         .withColumn("part", F.pmod(F.xxhash64(*rest), F.col("__parts")))
         .drop("__parts")
+        .repartition(*keys, "part")
     )
 
 
