@@ -84,6 +84,18 @@ def ordered(df: DataFrame, first: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in (*first, *rest)])
 
 
+def column_names(df: DataFrame, column: str, limit: int = 10_000) -> list[str]:
+    """Sorted distinct values of ``column`` for use as column names.
+
+    More than ``limit`` values are refused, where rows are the better form; no value is
+    left out silently.
+    """
+    found = [row[0] for row in df.select(column).distinct().limit(limit + 1).collect()]
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} values of {column}: keep them in rows")
+    return sorted(found)
+
+
 def drop_prefixed(df: DataFrame, *prefixes: str) -> DataFrame:
     """Drop the columns whose name starts with one of the prefixes."""
     return df.select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith(prefixes)])

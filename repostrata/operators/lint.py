@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from repostrata.functions.documents import column_names
+
 # Leading columns of the lint table.
 FIXED_COLUMNS = (
     "repo", "date", "commit_hash", "info", "refactor", "convention", "warning", "error", "fatal",
@@ -104,11 +106,8 @@ def table_keys(stats: DataFrame) -> DataFrame:
 
 
 def distinct_keys(stats: DataFrame, limit: int = 10_000) -> list[str]:
-    """Sorted column keys; refused above ``limit``, where the long form is the answer."""
-    found = [row.key for row in table_keys(stats).select("key").distinct().limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} keys: use the long form of table_keys()")
-    return sorted(found)
+    """Sorted column keys of ``table_keys``."""
+    return column_names(table_keys(stats), "key", limit)
 
 
 def ordered_columns(columns: Sequence[str]) -> list[str]:

@@ -10,26 +10,26 @@ from pyspark.sql.window import Window
 from repostrata.operators.history import churn_of
 
 
-SUMS = ("changed", "added", "removed", "modifications", "churn_total", "churn_max")
-
-
 def author_file_base(
-    changes: DataFrame, author: str = "author_email", churn_mode: str = "difference"
+    changes: DataFrame, author: str = "author_email", churn_mode: str | None = None
 ) -> DataFrame:
-    """Changed lines per (repository, file, author), with the sums the file metrics share."""
-    churn = churn_of(churn_mode)
-    return changes.groupBy("repo", "path", F.col(author).alias("author")).agg(
-        F.sum(F.col("added_lines") + F.col("deleted_lines")).alias("changed"),
-        F.sum("added_lines").alias("added"),
-        F.sum("deleted_lines").alias("removed"),
-        F.count(F.lit(1)).alias("modifications"),
-        F.sum(churn).alias("churn_total"),
-        F.max(churn).alias("churn_max"),
-    )
+    """Changed lines per (repository, file, author). With ``churn_mode`` also the sums
+    that the line and churn metrics of a file need."""
+    sums = [F.sum(F.col("added_lines") + F.col("deleted_lines")).alias("changed")]
+    if churn_mode is not None:
+        churn = churn_of(churn_mode)
+        sums += [
+            F.sum("added_lines").alias("added"),
+            F.sum("deleted_lines").alias("removed"),
+            F.count(F.lit(1)).alias("modifications"),
+            F.sum(churn).alias("churn_total"),
+            F.max(churn).alias("churn_max"),
+        ]
+    return changes.groupBy("repo", "path", F.col(author).alias("author")).agg(*sums)
 
 
 def file_metrics(base: DataFrame, minor: float = 0.05) -> DataFrame:
-    """Ownership, line and churn metrics per file from ``author_file_base``.
+    """Ownership per file from ``author_file_base``, and lines and churn if it has them.
 
     Only ``1/minor`` contributors can hold a share of ``minor`` or more, so the largest
     ``1/minor`` rows of a file decide how many contributors are not minor. Spark cuts
@@ -38,17 +38,13 @@ def file_metrics(base: DataFrame, minor: float = 0.05) -> DataFrame:
     branches need the same columns and share one shuffle of the changes.
     """
     most = math.floor(1 / minor + 1e-9)
+    sums = [c for c in base.columns if c not in ("repo", "path", "author")]
+    detailed = "churn_total" in sums
+    totals = [F.max(c).alias(c) if c == "churn_max" else F.sum(c).alias(c) for c in sums]
     files = base.groupBy("repo", "path").agg(
-        F.sum("changed").alias("changed"),
-        F.max("changed").alias("top_changed"),
-        F.count(F.lit(1)).alias("contributors"),
-        F.sum("added").alias("added"),
-        F.sum("removed").alias("removed"),
-        F.sum("modifications").alias("modifications"),
-        F.sum("churn_total").alias("churn_total"),
-        F.max("churn_max").alias("churn_max"),
+        *totals, F.max("changed").alias("top_changed"), F.count(F.lit(1)).alias("contributors")
     )
-    largest = Window.partitionBy("repo", "path").orderBy(*[F.desc(c) for c in SUMS])
+    largest = Window.partitionBy("repo", "path").orderBy(*[F.desc(c) for c in sums])
     leaders = (
         base.select("repo", "path", "changed", F.row_number().over(largest).alias("place"))
         .where(F.col("place") <= most)
@@ -58,29 +54,28 @@ def file_metrics(base: DataFrame, minor: float = 0.05) -> DataFrame:
     majors = F.size(
         F.filter("leading", lambda n: F.try_divide(n, F.col("changed")) >= F.lit(minor))
     )
-    return files.join(leaders, ["repo", "path"]).select(
-        "repo",
-        "path",
-        (F.try_divide("top_changed", "changed") * 100).alias("experience"),
-        "contributors",
-        F.when(F.col("changed") > 0, F.col("contributors") - majors)
-        .otherwise(0)
-        .cast("bigint")
-        .alias("minor_contributors"),
+    minors = F.when(F.col("changed") > 0, F.col("contributors") - majors).otherwise(0).cast("bigint")
+    lines = [
         "added",
         "removed",
         F.try_divide("added", "modifications").alias("avg_added"),
         "churn_total",
         "churn_max",
         F.try_divide("churn_total", "modifications").alias("churn_avg"),
+    ]
+    return files.join(leaders, ["repo", "path"]).select(
+        "repo",
+        "path",
+        (F.try_divide("top_changed", "changed") * 100).alias("experience"),
+        "contributors",
+        minors.alias("minor_contributors"),
+        *(lines if detailed else []),
     )
 
 
 def file_ownership(changes: DataFrame, author: str = "author_email", minor: float = 0.05) -> DataFrame:
     """Share of the top author, contributors and minor contributors per file."""
-    return file_metrics(author_file_base(changes, author), minor).select(
-        "repo", "path", "experience", "contributors", "minor_contributors"
-    )
+    return file_metrics(author_file_base(changes, author), minor)
 
 
 def ownership_means(files: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from repostrata.functions import filters, keys
-from repostrata.functions.documents import flatten_document
+from repostrata.functions.documents import column_names, flatten_document
 from repostrata.operators import (
     complexity, diffs, history, lint, metadata, ownership, renames, stars, stats, testcode, upsert,
 )
@@ -238,8 +238,8 @@ def lint_unknown_symbols(t: TestTables) -> DataFrame:
 @registered
 def lint_wide(t: TestTables) -> DataFrame:
     # The columns are known beforehand: one per message id of the linter.
-    ids = t.message_ids().select(F.concat("msg_id", F.lit("."), "symbol").alias("key")).limit(10_000)
-    names = sorted(row.key for row in ids.collect())
+    ids = t.message_ids().select(F.concat("msg_id", F.lit("."), "symbol").alias("key"))
+    names = column_names(ids, "key")
     table = tables.lint_table(t.lint_stats(), t.lint_messages(), t.message_ids(), [*names, "node_count.function"])
     plain = {c: c.replace(".", "_").replace("-", "_") for c in table.columns}
     return table.select(

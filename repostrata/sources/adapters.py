@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from repostrata.functions.documents import column_names
+
 
 class TestTables:
     """Canonical tables over the parquet files of one folder."""
@@ -59,11 +61,8 @@ class TestTables:
         )
 
     def event_types(self) -> list[str]:
-        """Names of the starred repositories, at most 1,000 of them."""
-        names = self.raw("events").select("event_type").distinct().limit(1001).collect()
-        if len(names) > 1000:
-            raise ValueError("too many repositories for a wide table")
-        return sorted(row.event_type for row in names)
+        """Names of the starred repositories, for the wide table."""
+        return column_names(self.raw("events"), "event_type", 1000)
 
     def lint_messages(self) -> DataFrame:
         return self.raw("lineitem").selectExpr(

@@ -90,9 +90,14 @@ def row_documents(table: DataFrame, key: str = "repo") -> DataFrame:
     return table.select(key, F.to_json(F.struct(*rest)).alias("data"))
 
 
-def stat_documents(stats: DataFrame) -> DataFrame:
-    """Statistics of each commit as one JSON object; the key list of a linter is short."""
-    return stats.groupBy("repo", "commit_hash").agg(F.to_json(_mapped("key", F.col("value"))).alias("stats"))
+def stat_documents(stats: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """Statistics of each commit as JSON documents in parts."""
+    keys = ["repo", "commit_hash"]
+    return (
+        in_parts(stats.select(*keys, "key", "value"), keys, max_rows)
+        .groupBy(*keys, "part")
+        .agg(F.to_json(_mapped("key", F.col("value"))).alias("stats"))
+    )
 
 
 class RawStore:
@@ -147,11 +152,10 @@ class RawStore:
     def append_lints(self, messages: DataFrame, stats: DataFrame, run_ts: str) -> None:
         self.add_repositories(stats)
         self._append("lints", stats.select("repo").distinct(), run_ts)
-        dates = stats.groupBy("repo", "commit_hash").agg(F.max("committer_date").alias("date"))
-        rows = dates.join(stat_documents(stats), ["repo", "commit_hash"]).join(
-            lint_documents(messages), ["repo", "commit_hash"], "left"
-        )
-        self._append("lint_commits", rows, run_ts)
+        keys = ["repo", "commit_hash"]
+        dates = stats.groupBy(*keys).agg(F.max("committer_date").alias("date"))
+        documents = stat_documents(stats).join(lint_documents(messages), [*keys, "part"], "full")
+        self._append("lint_commits", documents.join(dates, keys, "left"), run_ts)
 
     def commits_of(self, kind: str) -> DataFrame:
         """Commit rows of ``test`` or ``lint`` with the parent row of their own run."""

@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from repostrata.operators.upsert import merge
+from repostrata.session import pinned
+
 FORMATS = ("csv", "json", "parquet")
 
 
@@ -34,12 +38,26 @@ def write_csv(df: DataFrame, path: str, order: Sequence[str] = (), mode: str = "
 
 def write_documents(df: DataFrame, path: str, key: str = "repo", mode: str = "overwrite") -> None:
     """JSON lines ``{"repo": ..., "doc": {...}}``, one document per row."""
-    rest = [F.col(f"`{c}`").alias(c.replace(".", "_")) for c in df.columns if c != key]
+    rest = [F.col(f"`{c}`").alias(c) for c in df.columns if c != key]
     df.select(F.col(key), F.struct(*rest).alias("doc")).write.mode(mode).option(
         "timestampFormat", "yyyy-MM-dd HH:mm:ssXXX"
     ).json(path)
 
 
+def update_documents(docs: DataFrame, path: str, key: str = "repo") -> None:
+    """Put ``(repo, doc VARIANT)`` rows into a folder of JSON lines; a new document
+    replaces the old one of its repository as a whole."""
+    spark = docs.sparkSession
+    try:
+        existing = spark.read.schema(f"{key} STRING, doc VARIANT").json(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        existing = None
+    # The folder is about to be replaced, so its content is fixed elsewhere first.
+    pinned(merge(existing, docs.select(key, "doc"), [key])).write.mode("overwrite").json(path)
+
+
 def write_outputs(
     tables: dict[str, DataFrame], path: str, run_ts: str, formats: Sequence[str] = ("csv",)
 ) -> dict[str, str]:

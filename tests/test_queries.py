@@ -35,7 +35,7 @@ def test_query(spark, sql, name):
     got = table(queries()[name](spark, FOLDER).toArrow())
     assert got[1]
     if name in oracle_sql():
-        assert got == table(sql.execute(oracle_sql()[name]).to_arrow_table())
+        assert got == table(sql.sql(oracle_sql()[name]).to_arrow_table())
 
 
 def test_every_oracle_has_a_query():

@@ -78,6 +78,15 @@ def test_outputs_of_a_run(spark, tmp_path):
         writers.write_outputs({"t": df}, str(tmp_path), run, ("xml",))
 
 
+def test_new_documents_replace_whole_ones(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    for step in ({"a": {"x": 1, "y": 2}, "b": {"z": 1}}, {"a": {"x": 3}, "c": {}}):
+        docs = spark.createDataFrame([(k, json.dumps(v)) for k, v in step.items()], "repo string, doc string")
+        writers.update_documents(docs.withColumn("doc", F.parse_json("doc")), path)
+    got = readers.read_documents(spark, path).select("repo", F.to_json("doc").alias("doc")).collect()
+    assert {r.repo: json.loads(r.doc) for r in got} == {"a": {"x": 3}, "b": {"z": 1}, "c": {}}
+
+
 def test_parts_are_bounded_and_whole(spark):
     df = spark.range(5000).selectExpr("if(id < 4000, 'hot', concat('k', id % 10)) as k", "id")
     parts = in_parts(df, ["k"], max_rows=500)
