@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from repostrata.operators.skew import join_lookup
+
 
 def _changed() -> Column:
     return F.col("added_lines") + F.col("deleted_lines")
@@ -38,12 +40,12 @@ def commit_entropy(changes: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
 def history_complexity(changes: DataFrame) -> DataFrame:
     """Per file, the sum over its modifications of share times commit entropy."""
     entropy = commit_entropy(changes).select(
-        "repo", "commit_hash", (F.col("added") + F.col("deleted")).alias("changed"), "entropy"
+        "repo", "commit_hash", "files", (F.col("added") + F.col("deleted")).alias("changed"), "entropy"
     )
     share = F.coalesce(F.try_divide(_changed(), F.col("changed")), F.lit(0.0))
+    facts = changes.select("repo", "commit_hash", "path", "added_lines", "deleted_lines")
     return (
-        changes.select("repo", "commit_hash", "path", "added_lines", "deleted_lines")
-        .join(entropy, ["repo", "commit_hash"])
+        join_lookup(facts, entropy, ["repo", "commit_hash"], fan_in="files")
         .groupBy("repo", "path")
         .agg(F.sum(share * F.col("entropy")).alias("complexity"))
     )

@@ -38,8 +38,10 @@ def diff_stats(patches: DataFrame, patch: str = "patch") -> DataFrame:
 
 
 def file_hunks(stats: DataFrame) -> DataFrame:
-    """Median hunks per file. The percentile state holds distinct hunk counts only."""
-    return stats.groupBy("repo", "path").agg(F.percentile("hunks", 0.5).alias("hunks"))
+    """Median hunks per file, from the distinct hunk counts of the file and how often
+    each occurs."""
+    counted = stats.groupBy("repo", "path", "hunks").agg(F.count(F.lit(1)).alias("times"))
+    return counted.groupBy("repo", "path").agg(F.percentile("hunks", 0.5, F.col("times")).alias("hunks"))
 
 
 def hunk_means(files: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from repostrata.operators.prefix import running
+from repostrata.operators.skew import join_lookup
 
 
 def in_window(since, to, column: str = "committer_date") -> Column:
@@ -88,7 +89,7 @@ def developer_lists(commits: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> Da
     )
     fits = F.col("list_bytes") <= max_bytes
     return (
-        seen.join(sizes, "repo")
+        join_lookup(seen, sizes, ["repo"], fan_in="developer_count")
         .groupBy("repo", "developer_count", "list_bytes")
         .agg(F.collect_list(F.when(fits, F.struct("first_seq", "author_name"))).alias("seen"))
         .select("repo", "developer_count", F.when(fits, F.array_sort("seen")["author_name"]).alias("developers"))

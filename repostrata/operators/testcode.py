@@ -13,9 +13,9 @@ def classify(sources: DataFrame, strict: bool = True, dedupe: bool = True) -> Da
 
     Most files stay the same from commit to commit, so each distinct content is parsed
     once and its counts are joined back by hash. A content shared by very many files
-    (an empty module) makes one hot join key; its side carries no text and adaptive
-    skew handling splits it. A ``content_sha`` column (a blob id) is used when there is
-    one: then the side of the keys does not read the text at all.
+    (an empty module) makes one hot join key, whose side carries no text. A
+    ``content_sha`` column (a blob id) is used when there is one: then that side does not
+    read the text at all.
     """
     udf = statements(strict)
     keys = [c for c in sources.columns if c not in ("content", "content_sha")]
@@ -29,7 +29,15 @@ def classify(sources: DataFrame, strict: bool = True, dedupe: bool = True) -> Da
         .agg(F.any_value("content").alias("content"))
         .select("sha", udf("content").alias("s"))
     )
-    return hashed.drop("content").join(parsed, "sha").select(*keys, "s.*")
+    # Adaptive execution splits a hot key only where both sides are shuffled for the join
+    # itself. The second key, a function of the first, keeps the join from reusing the
+    # layout of the aggregate.
+    pair = ["sha", F.xxhash64("sha").alias("sha_hash")]
+    return (
+        hashed.select(*keys, *pair)
+        .join(parsed.select(*pair, "s"), ["sha", "sha_hash"])
+        .select(*keys, "s.*")
+    )
 
 
 def unparsable(classified: DataFrame) -> DataFrame:

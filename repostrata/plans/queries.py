@@ -15,7 +15,7 @@ from repostrata.operators import (
     complexity, diffs, history, lint, metadata, ownership, renames, stars, stats, testcode, upsert,
 )
 from repostrata.plans import tables
-from repostrata.session import scratch_path, tune
+from repostrata.session import pinned, scratch_path, tune
 from repostrata.sources import readers, writers
 from repostrata.sources.adapters import TestTables
 from repostrata.sources.rawstore import RawStore
@@ -397,7 +397,7 @@ def json_round_trip(t: TestTables) -> DataFrame:
 def raw_store(t: TestTables) -> DataFrame:
     """Lint commits of a run, read back: messages listed in the documents of each commit."""
     store = RawStore(t.spark, scratch_path(t.spark, "raw"))
-    store.append_lints(t.lint_messages(), t.lint_stats(), "2024-01-01_00-00")
+    store.append_lints(t.lint_messages(), pinned(t.lint_stats()), "2024-01-01_00-00")
     listed = F.regexp_extract_all(F.col("messages"), F.lit('"total_messages":([0-9]+)'))
     return (
         store.commits_of("lint")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -21,10 +22,18 @@ SETTINGS = {
 }
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session and return it."""
+def tune(spark: SparkSession, shuffle_bytes: int | None = None) -> SparkSession:
+    """Apply the runtime settings to a session and return it.
+
+    ``shuffle_bytes``, the size of the largest shuffle, raises the partition count to one
+    per 128 MB so that each fits in an executor; adaptive execution merges small ones.
+    """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    if shuffle_bytes is not None:
+        wanted = math.ceil(shuffle_bytes / (128 * 1024 * 1024))
+        current = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spark.conf.set("spark.sql.shuffle.partitions", str(max(current, wanted)))
     return spark
 
 
@@ -42,17 +51,23 @@ def shared_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="repostrata-")
-    if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; those of one application lie together."""
+    base = f"{shared_dir(spark).rstrip('/')}/repostrata-{spark.sparkContext.applicationId}"
+    return f"{base}/{label}-{uuid.uuid4().hex}"
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder so later plans read one fixed result."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` to the shared folder so that later plans read one fixed result.
+
+    A lost executor then never recomputes it to something else. A parquet table instead
+    of an RDD checkpoint: it is computed once, and readers prune its columns.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "pinned")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

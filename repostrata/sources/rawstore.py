@@ -13,24 +13,33 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from repostrata.operators.upsert import new_keys
+from repostrata.session import pinned
 
 TABLES = ("repositories", "metadata", "stargazers", "tests", "test_commits", "lints", "lint_commits", "gits")
 
 
-def in_parts(rows: DataFrame, keys: Sequence[str], max_rows: int = 10_000) -> DataFrame:
-    """Number the parts of each key so that a part holds about ``max_rows`` rows, and
-    bring each part together; grouping by keys and part then needs no shuffle.
+def in_parts(
+    rows: DataFrame, keys: Sequence[str], max_rows: int = 10_000, counted: DataFrame | None = None
+) -> DataFrame:
+    """Number the parts of each key so that a part holds at most about ``max_rows`` rows,
+    and bring each part together; grouping by keys and part then needs no shuffle.
 
-    Rows must be distinct: a row's part is a hash of the row.
+    Rows must be distinct: a row's part is a hash of the row. ``counted`` may be a cheaper
+    frame with at least as many rows per key, to count instead of ``rows``.
     """
+    keys = list(keys)
     rest = [c for c in rows.columns if c not in keys]
-    parts = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / max_rows).alias("__parts"))
-    return (
-        rows.join(parts, list(keys))
-        .withColumn("part", F.pmod(F.xxhash64(*rest), F.col("__parts")))
-        .drop("__parts")
-        .repartition(*keys, "part")
+    # Most keys fit in one part. The list of those that do not is fixed first, so its
+    # size is known when the join is planned: short lists are broadcast, and for a long
+    # one both sides are plain shuffles that adaptive execution can split.
+    long = pinned(
+        (rows if counted is None else counted)
+        .groupBy(*keys)
+        .agg(F.ceil(F.count(F.lit(1)) / max_rows).alias("__parts"))
+        .where(F.col("__parts") > 1)
     )
+    part = F.pmod(F.xxhash64(*rest), F.coalesce("__parts", F.lit(1).cast("bigint")))
+    return rows.join(long, keys, "left").withColumn("part", part).drop("__parts").repartition(*keys, "part")
 
 
 def stargazer_documents(events: DataFrame, max_rows: int = 10_000) -> DataFrame:
@@ -65,7 +74,7 @@ def lint_documents(messages: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """
     keys, found = ["repo", "commit_hash"], ["symbol", "msg", "confidence", "path"]
     counted = messages.groupBy(*keys, "module", "category", "msg_id", *found).agg(F.count(F.lit(1)).alias("occurrences"))
-    by_id = in_parts(counted, keys, max_rows).groupBy(*keys, "part", "module", "category", "msg_id").agg(
+    by_id = in_parts(counted, keys, max_rows, messages).groupBy(*keys, "part", "module", "category", "msg_id").agg(
         F.sum("occurrences").alias("n"), F.collect_list(F.struct(*found, "occurrences")).alias("entries")
     )
     by_category = by_id.groupBy(*keys, "part", "module", "category").agg(
