@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from repostrata.session import pinned
@@ -68,7 +68,7 @@ def upsert_table(
     placed = new.withColumn(BUCKET, bucket_of(bucket_by, buckets)).persist()
     touched = [row[BUCKET] for row in placed.select(BUCKET).distinct().collect()]
     try:
-        existing = spark.read.parquet(path).where(F.col(BUCKET).isin(touched))
+        existing = _stored(spark, path).where(F.col(BUCKET).isin(touched))
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -85,6 +85,11 @@ def upsert_table(
     )
 
 
-def read_table(spark, path: str) -> DataFrame:
+def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A table written by ``upsert_table``, without its layout column."""
-    return spark.read.parquet(path).drop(BUCKET)
+    return _stored(spark, path).drop(BUCKET)
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    # Buckets written before a column was added do not have it.
+    return spark.read.option("mergeSchema", "true").parquet(path)

@@ -216,6 +216,7 @@ ORACLES = {
   list_extract(string_split(rtrim({_URL}, '/'), '/'), -2) as owner,
   '/srv/repos/' || list_last(string_split(rtrim({_URL}, '/'), '/')) as repo_path, {_URL} as relative
 from pages""",
+    "url_list": "select url as repo_url from pages",
     "size_format": f"""select o_orderkey, {_KB} as kb, {_KB} / cast(1024 as double) as mb,
   {_size_text(_KB)} as text, {_size_text('o_custkey')} as small_text from orders""",
     "path_filters": _with(SOURCES) + """select path, cast(suffix <> 0 as bigint) as is_python,
@@ -321,6 +322,7 @@ from counted group by 1, 2""",
 from counted group by repo, commit_hash, d""",
     "star_numbers": _with(STARS) + f"""select repo, {_text('d', 'starred_at')}, u as user_login,
   row_number() over (partition by repo order by d, u) as star_number from stars""",
+    "star_documents": _with(STARS) + f"""select distinct repo, {_text('d', 'starred_at')}, u as user_login from stars""",
     "stars_long": _with(STARS) + f"""select repo, {_text('d', 'date')},
   cast(sum(n) over (partition by repo order by d) as bigint) as stargazers_count
 from (select repo, d, count(*) as n from stars group by 1, 2)""",

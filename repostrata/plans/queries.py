@@ -18,7 +18,7 @@ from repostrata.plans import tables
 from repostrata.session import pinned, scratch_path, tune
 from repostrata.sources import readers, writers
 from repostrata.sources.adapters import TestTables
-from repostrata.sources.rawstore import RawStore
+from repostrata.sources.rawstore import RawStore, stargazer_documents
 from repostrata.streaming.refresh import upsert_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,14 @@ def url_keys(t: TestTables) -> DataFrame:
     )
 
 
+@registered
+def url_list(t: TestTables) -> DataFrame:
+    """URLs written one per line with stray blanks, slashes and empty lines, read back."""
+    path = scratch_path(t.spark, "urls")
+    t.raw("pages").select(F.concat(F.lit("  "), "url", F.lit("/ \n"))).write.text(path)
+    return readers.read_urls(t.spark, path)
+
+
 @registered
 def size_format(t: TestTables) -> DataFrame:
     kb = F.floor(F.col("o_totalprice") * 10)
@@ -287,6 +295,14 @@ def star_numbers(t: TestTables) -> DataFrame:
     return stars.star_numbers(t.star_events()).select("repo", text_of("starred_at"), "user_login", "star_number")
 
 
+@registered
+def star_documents(t: TestTables) -> DataFrame:
+    """Stars written as documents in parts of 500 edges, read back as events."""
+    documents = stargazer_documents(t.star_events().withColumn("user_login", F.col("user_login").cast("string")), 500)
+    events = readers.star_events_of(documents.withColumnRenamed("data", "doc"))
+    return events.select("repo", text_of("starred_at"), F.col("user_login").cast("bigint").alias("user_login"))
+
+
 @registered
 def stars_long(t: TestTables) -> DataFrame:
     return stars.growth_long(t.star_events()).select("repo", text_of("date"), "stargazers_count")

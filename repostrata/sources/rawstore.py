@@ -46,10 +46,11 @@ def stargazer_documents(events: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """Star edges per repository as JSON documents in parts."""
     edges = events.select("repo", "starred_at", "user_login").distinct()
     edge = F.struct(F.col("starred_at").alias("starredAt"), F.struct(F.col("user_login").alias("login")).alias("node"))
+    stargazers = F.struct(F.struct(F.collect_list(edge).alias("edges")).alias("stargazers")).alias("repository")
     return (
         in_parts(edges, ["repo"], max_rows)
         .groupBy("repo", "part")
-        .agg(F.to_json(F.struct(F.collect_list(edge).alias("edges"))).alias("data"))
+        .agg(F.to_json(F.struct(F.struct(stargazers).alias("data"))).alias("data"))
     )
 
 

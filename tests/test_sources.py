@@ -124,7 +124,8 @@ def test_raw_store(spark, tmp_path, rows):
         ("r", '{"a":1}', "2024-01-01_00-00"), ("r", '{"a":1}', "2024-01-01_00-01"),
     ]
     assert json.loads(store.read("gits").first()["data"]) == {"total_commits": 3, "developers": ["a"]}
-    assert json.loads(store.read("stargazers").first()["data"])["edges"][0]["node"] == {"login": "u"}
+    stored = store.read("stargazers").select(F.col("repository_name").alias("repo"), F.col("data").alias("doc"))
+    assert rows(readers.star_events_of(stored).distinct(), "repo", "user_login") == [("r", "u")]
     test = store.commits_of("test")
     assert test.count() == 2 and set(json.loads(test.first().files)) == {"f0.py", "f1.py", "f2.py"}
     lint = store.commits_of("lint")

@@ -44,6 +44,16 @@ def test_table_upsert_is_idempotent_and_keeps_other_buckets(spark, tmp_path, row
         upsert.upsert_table(first, path, ["repo"], bucket_by=["day"])
 
 
+def test_a_new_column_reaches_old_buckets_as_null(spark, tmp_path, rows):
+    path = str(tmp_path / "t")
+    upsert.upsert_table(spark.createDataFrame([(f"r{i}", i) for i in range(20)], "repo string, v long"), path, ["repo"])
+    wider = spark.createDataFrame([("r1", 50, "x")], "repo string, v long, extra string")
+    for _ in range(2):
+        upsert.upsert_table(wider, path, ["repo"])
+    got = rows(upsert.read_table(spark, path).select("repo", "v", "extra"))
+    assert len(got) == 20 and ("r1", 50, "x") in got and ("r2", 2, None) in got
+
+
 def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_path, rows):
     source, path = str(tmp_path / "in"), str(tmp_path / "out")
     data = [(f"r{i % 5}", i % 3, i * 13 % 101, i) for i in range(200)]
