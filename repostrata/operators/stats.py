@@ -15,6 +15,7 @@ from repostrata.functions.distributions import correlation_p_value, score_sums,
 from repostrata.operators.prefix import running
 
 _CHUNK = 4096
+_QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
 def _melted(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -58,20 +59,27 @@ def _quantiles(ranks: DataFrame, sizes: DataFrame, probabilities: dict[str, floa
     return found.select("column", *[between(n, p).alias(n) for n, p in probabilities.items()])
 
 
-def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Count, mean, standard deviation, minimum, exact quartiles and maximum per column."""
-    ranks = value_ranks(df, cols)
-    basic = _melted(df, cols).groupBy("column").agg(
+def describe(df: DataFrame, cols: Sequence[str], accuracy: int | None = None) -> DataFrame:
+    """Count, mean, standard deviation, minimum, quartiles and maximum per column.
+
+    Quartiles are exact and interpolated. With ``accuracy`` they are approximate (rank
+    error ``1/accuracy``) and the whole summary is one pass without ranking the values.
+    """
+    basic = [
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
-    )
-    quartiles = _quantiles(ranks, basic, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    return basic.join(quartiles, "column").select(
-        "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
-    )
+    ]
+    names = ["column", "count", "mean", "std", "min", *_QUARTILES, "max"]
+    grouped = _melted(df, cols).groupBy("column")
+    if accuracy is not None:
+        quartiles = F.approx_percentile("value", list(_QUARTILES.values()), accuracy).alias("q")
+        split = {name: F.col("q")[i] for i, name in enumerate(_QUARTILES)}
+        return grouped.agg(*basic, quartiles).withColumns(split).select(*names)
+    summary = grouped.agg(*basic)
+    return summary.join(_quantiles(value_ranks(df, cols), summary, _QUARTILES), "column").select(*names)
 
 
 def boxplot(df: DataFrame, cols: Sequence[str], reach: float = 1.5) -> DataFrame:

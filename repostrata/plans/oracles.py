@@ -202,6 +202,14 @@ from totals t join lists using (repo) join dmm using (repo) join file_means usin
     )
 
 
+def _ranked(x: str, y: str) -> str:
+    """Both columns as average ranks."""
+    return f"""(
+  select rank() over (order by {x}) + (count(*) over (partition by {x}) - 1) / cast(2 as double) as rx,
+    rank() over (order by {y}) + (count(*) over (partition by {y}) - 1) / cast(2 as double) as ry
+  from lineitem where {x} is not null and {y} is not null)"""
+
+
 # Hunks of a generated patch: two when the part key is even, else one.
 _HUNKS = "case when l_partkey % 2 = 0 then 2 else 1 end"
 
@@ -396,8 +404,10 @@ select "column", round(q1, 6) as q1, round(median, 6) as median, round(q3, 6) as
 group by s_name, s_suppkey order by s_name limit 5""",
     "pearson": """select count(*) as n, round(corr(l_quantity, l_extendedprice), 9) as coefficient from lineitem
 where l_quantity is not null and l_extendedprice is not null""",
-    "spearman": """select count(*) as n, round(corr(rx, ry), 9) as coefficient from (
-  select rank() over (order by l_quantity) + (count(*) over (partition by l_quantity) - 1) / cast(2 as double) as rx,
-    rank() over (order by l_extendedprice) + (count(*) over (partition by l_extendedprice) - 1) / cast(2 as double) as ry
-  from lineitem where l_quantity is not null and l_extendedprice is not null)""",
+    "spearman": f"""select count(*) as n, round(corr(rx, ry), 9) as coefficient
+from {_ranked('l_quantity', 'l_extendedprice')}""",
+    "correlation_words": f"""select n, round(r, 9) as coefficient,
+  case when abs(r) > 0.7 then 'strong' when abs(r) > 0.3 then 'moderate' when abs(r) > 0.1 then 'weak' else 'no' end as strength,
+  case when r > 0 then 'positive' when r < 0 then 'negative' else 'none' end as direction
+from (select count(*) as n, corr(rx, ry) as r from {_ranked('l_quantity', 'l_discount')})""",
 }

@@ -469,6 +469,14 @@ def spearman(t: TestTables) -> DataFrame:
     return rounded(stats.spearman(t.raw("lineitem"), "l_quantity", "l_extendedprice").drop("p_value"))
 
 
+@registered
+def correlation_words(t: TestTables) -> DataFrame:
+    """Strength and direction of a rank correlation in words."""
+    found = stats.spearman(t.raw("lineitem"), "l_quantity", "l_discount").select("n", "coefficient")
+    words = {"strength": stats.strength(F.col("coefficient")), "direction": stats.direction(F.col("coefficient"))}
+    return rounded(found.withColumns(words))
+
+
 @registered
 def normality(t: TestTables) -> DataFrame:
     return rounded(stats.shapiro(t.raw("lineitem"), ["l_quantity", "l_extendedprice"]), 6)

@@ -36,6 +36,14 @@ def test_describe(df, frame):
         assert [row["count"], row["mean"], row["std"], row["min"], row.p25, row.p50, row.p75, row["max"]] == pytest.approx(list(want))
 
 
+def test_approximate_quartiles_are_values_near_the_exact_ones(df, frame):
+    for row in stats.describe(df, ["x", "tied"], accuracy=10_000).collect():
+        values = frame[row.column].dropna()
+        for name, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
+            assert (values < row[name]).mean() <= p + 0.01 and (values <= row[name]).mean() >= p - 0.01
+        assert row["count"] == len(values)
+
+
 def test_boxplot(df, frame):
     for row in stats.boxplot(df, ["x", "tied"]).collect():
         values = frame[row.column].dropna()
