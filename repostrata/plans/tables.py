@@ -80,7 +80,9 @@ def git_table(
         joined = joined.join(side, "repo", "left")
     absent = {"repo_url": "string"} if repos is None else {}
     absent |= {"average_hunks": "double"} if patches is None else {}
-    counted = ["files_modified", "lines_added", "lines_deleted", "change_set_max", "files_in_window"]
+    counted = [
+        "files_modified", "lines_added", "lines_deleted", "change_set_max", "files_in_window", "developer_count",
+    ]
     return ordered(
         joined.fillna(0, counted)
         .withColumns(

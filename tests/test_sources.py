@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from repostrata.session import shared_dir
+from repostrata.session import shared_dir, tune
 from repostrata.sources import readers, writers
 from repostrata.sources.rawstore import RawStore, in_parts
 
@@ -136,7 +136,40 @@ def test_raw_store(spark, tmp_path, rows):
     assert json.loads(lint.first().stats) == {"stats.warning": 5.0}
 
 
+class Unset:
+    """A session without a checkpoint folder."""
+
+    def __init__(self, master):
+        self.conf = {}
+        self.sparkContext = self
+        self.master = master
+        self.folder = None
+
+    def getConf(self):
+        return self.conf
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
 def test_shared_dir_follows_the_setting(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
-    assert shared_dir(spark) == (named or shared_dir(spark))
-    assert spark.sparkContext.getCheckpointDir()
+    assert named is None or shared_dir(spark) == named
+    local = Unset("local[2]")
+    assert shared_dir(local) == local.folder
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Unset("yarn"))
+
+
+def test_tune_sizes_shuffles(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        tune(spark, shuffle_bytes=10 * 1024**3)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "80"
+        tune(spark, shuffle_bytes=1)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "80"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
