@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from repostrata.llm import simhash
-from repostrata.llm.common import table
+from repostrata.llm import langid, simhash
+from repostrata.llm.common import in_bucket, table
 
 
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,6 +17,15 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def op2_langid(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document; a fifth of the ids is never learned from."""
+    docs = table(spark, folder, "documents")
+    held_out = in_bucket("doc_id", 5, 0)
+    net = langid.fit(docs, ~held_out & F.col("doc_id").isNotNull())
+    return langid.predict(docs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_langid": op2_langid,
 }
