@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from repostrata.llm import langid, simhash
+from repostrata.llm import extraction, langid, simhash
 from repostrata.llm.common import in_bucket, table
 
 
@@ -25,7 +25,14 @@ def op2_langid(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(docs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    found = extraction.extract(table(spark, folder, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_langid": op2_langid,
+    "op3_extraction": op3_extraction,
 }
