@@ -1,3 +1,27 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+# Words of a text: A-Z lowered, runs of digits, letters and non-ASCII characters.
+_BENCH_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+_DECONTAMINATE = f"""
+with d as (select row_number() over () r, doc_id, {_BENCH_WORDS} w from documents),
+b as (select item_id, {_BENCH_WORDS} w from benchmark),
+items as (select distinct item_id, least(13, len(w)) k, w[i:i + 12] win
+  from (select item_id, w, unnest(range(1, greatest(2, len(w) - 11))) i from b where len(w) > 0)),
+sizes as (select distinct k from items),
+found as (select r, i, items.k, item_id
+  from (select r, w, k, unnest(range(1, len(w) - k + 2)) i from d, sizes where len(w) >= k) p
+  join items on items.k = p.k and items.win = p.w[p.i:p.i + p.k - 1]),
+hits as (select r, count(distinct i + o) n from (select r, i, unnest(range(0, k)) o from found) group by r),
+ids as (select r, count(*) n, string_agg(id, ',' order by id) s
+  from (select distinct r, item_id::varchar id from found) group by r)
+select doc_id, len(w)::bigint n_words, coalesce(hits.n, 0)::bigint n_hit, coalesce(ids.n, 0)::bigint n_items,
+  sha256(coalesce(s, '')) items_sha256,
+  coalesce(hits.n, 0) > 0 and 20 * coalesce(hits.n, 0) >= len(w) contaminated
+from d left join hits using (r) left join ids using (r)
+"""
+
+ORACLES: dict[str, str] = {
+    "op9_decontaminate": _DECONTAMINATE,
+}

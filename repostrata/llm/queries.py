@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from repostrata.llm import extraction, langid, simhash
+from repostrata.llm import decontaminate, extraction, langid, simhash
 from repostrata.llm.common import in_bucket, table
 
 
@@ -31,8 +31,14 @@ def op3_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark windows found in every document."""
+    return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_langid": op2_langid,
     "op3_extraction": op3_extraction,
+    "op9_decontaminate": op9_decontaminate,
 }
