@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from repostrata.llm import decontaminate, extraction, langid, simhash
+from repostrata.llm import decontaminate, extraction, langid, mixing, simhash
 from repostrata.llm.common import in_bucket, table
 
 
@@ -31,6 +31,11 @@ def op3_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """What a mix of all sources at their target weights takes of every document."""
+    return mixing.report(table(spark, folder, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark windows found in every document."""
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -40,5 +45,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_langid": op2_langid,
     "op3_extraction": op3_extraction,
+    "op5_mixing": op5_mixing,
     "op9_decontaminate": op9_decontaminate,
 }
