@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from repostrata.llm import decontaminate, extraction, langid, mixing, simhash
+from repostrata.llm import decontaminate, extraction, langid, mixing, simhash, toxicity
 from repostrata.llm.common import in_bucket, table
 
 
@@ -36,6 +36,14 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(table(spark, folder, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document; a quarter of the ids is never learned from."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = in_bucket("doc_id", 4, 2)
+    found = toxicity.scores(docs, toxicity.fit(docs, labels, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark windows found in every document."""
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -46,5 +54,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": op2_langid,
     "op3_extraction": op3_extraction,
     "op5_mixing": op5_mixing,
+    "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
 }
