@@ -24,7 +24,7 @@ from repostrata.session import pinned
 SAMPLE = {0: 6000, 1: 4000}  # labelled documents per class, at most
 LEXICON = 20_000  # word beginnings kept, at most: those of greatest weight
 THRESHOLD = 0.3
-MIN_EVIDENCE, MIN_WEIGHT = 9.0, 1.5
+MIN_EVIDENCE, MIN_WEIGHT = 14.0, 2.0
 _LETTERS = np.zeros(256, bool)
 _LETTERS[97:123] = _LETTERS[128:] = True
 
