@@ -1,5 +1,7 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
+from repostrata.llm import rules
+
 # Words of a text: A-Z lowered, runs of digits, letters and non-ASCII characters.
 _BENCH_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -22,6 +24,57 @@ select doc_id, len(w)::bigint n_words, coalesce(hits.n, 0)::bigint n_hit, coales
 from d left join hits using (r) left join ids using (r)
 """
 
+_CELLS = [(name, i, cut) for name, (_, _, cuts) in rules.RULES.items() for i, cut in enumerate(cuts)]
+_SIGN = {name: ">" if large else "<" for name, (_, large, _) in rules.RULES.items()}
+_TESTS = f"({len(_CELLS)} * (select count(*) from counted))"
+
+
+def _tail(k: str, p: float) -> str:
+    """Binomial probability of at most ``k`` successes in ``n``, term by term."""
+    term = f"exp(lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + j * ln({p}) + (n - j) * ln(1 - {p}))"
+    return f"list_sum([{term} for j in range(0, {k} + 1)])"
+
+
+def _cutoff(name: str) -> str:
+    share = rules.ALPHA / len(rules.RULES)
+    cases = [
+        f"when k_{r}_{i} < n * {share} and {_tail(f'k_{r}_{i}', share)} <= {rules.DELTA} / {_TESTS} then {cut!r}"
+        for r, i, cut in _CELLS
+        if r == name
+    ]
+    return f"case {' '.join(cases)} end c_{name}"
+
+
+_QUALITY_RULES = f"""
+with d as (select row_number() over () r, doc_id, lang, coalesce(text, '') t,
+  regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') w from documents),
+wins as (select r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] win
+  from (select r, w, unnest(range(1, len(w) - 1)) i from d where len(w) >= 3)),
+twice as (select r, i from wins qualify count(*) over (partition by r, win) > 1),
+reps as (select r, count(distinct i + o) n from (select r, i, unnest([0, 1, 2]) o from twice) group by r),
+dups as (select r, count(*) - count(distinct line) n
+  from (select r, unnest(string_split(t, chr(10))) line from d)
+  where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by r),
+base as (select d.r, doc_id, coalesce(lang, '') stratum, len(w)::bigint n_words,
+  length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g'))::bigint word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint n_symbols,
+  coalesce(dups.n, 0)::bigint n_dup_lines, coalesce(reps.n, 0)::bigint n_repeat_words
+  from d left join reps using (r) left join dups using (r)),
+judged as (select *, n_words < {rules.MIN_WORDS}
+  or 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words base_failed from base),
+good as (select * from judged where not base_failed
+  and doc_id in (select doc_id from labels where quality = 1 and doc_id is not null)),
+counted as (select stratum, count(*) n,
+  {", ".join(f"count(*) filter (where {rules.RULES[r][0]} {_SIGN[r]} {c!r}) k_{r}_{i}" for r, i, c in _CELLS)}
+  from good group by stratum),
+cutoffs as (select stratum, {", ".join(_cutoff(name) for name in rules.RULES)} from counted)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and not ({" or ".join(
+    f"coalesce(n_words > 0 and {sql} {_SIGN[name]} c_{name}, false)" for name, (sql, _, _) in rules.RULES.items())}) kept
+from judged left join cutoffs using (stratum)
+"""
+
 ORACLES: dict[str, str] = {
     "op9_decontaminate": _DECONTAMINATE,
+    "op10_quality_rules": _QUALITY_RULES,
 }

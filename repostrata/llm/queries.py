@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from repostrata.llm import decontaminate, extraction, langid, mixing, simhash, toxicity
+from repostrata.llm import decontaminate, extraction, langid, mixing, rules, simhash, toxicity
 from repostrata.llm.common import in_bucket, table
 
 
@@ -49,6 +49,11 @@ def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base statistics of every document and whether the risk-controlled rules keep it."""
+    return rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_langid": op2_langid,
@@ -56,4 +61,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
+    "op10_quality_rules": op10_quality_rules,
 }
