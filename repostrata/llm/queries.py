@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from repostrata.llm import decontaminate, extraction, langid, mixing, rules, simhash, toxicity
+from repostrata.llm import decontaminate, extraction, langid, mixing, ngram_quality, passages, rules, simhash, toxicity
 from repostrata.llm.common import in_bucket, table
 
 
@@ -31,11 +31,21 @@ def op3_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op4_ngram_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Perplexity of every document under a model of the trusted ones, and whether it is kept."""
+    return ngram_quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """What a mix of all sources at their target weights takes of every document."""
     return mixing.report(table(spark, folder, "documents"))
 
 
+def op7_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the lines that an earlier one has."""
+    return passages.deduplicate(table(spark, folder, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document; a quarter of the ids is never learned from."""
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
@@ -58,7 +68,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_langid": op2_langid,
     "op3_extraction": op3_extraction,
+    "op4_ngram_quality": op4_ngram_quality,
     "op5_mixing": op5_mixing,
+    "op7_passages": op7_passages,
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality_rules": op10_quality_rules,
