@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from repostrata.llm import decontaminate, extraction, langid, mixing, ngram_quality, passages, rules, simhash, toxicity
+from repostrata.llm import decontaminate, extraction, langid, mixing, ngram_quality, passages, pii, rules, simhash, toxicity
 from repostrata.llm.common import in_bucket, table
 
 
@@ -41,6 +41,12 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(table(spark, folder, "documents"))
 
 
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with surrogates for the personal data in it."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, count="n_replaced")
+
+
 def op7_passages(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the lines that an earlier one has."""
     return passages.deduplicate(table(spark, folder, "documents"))
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_extraction": op3_extraction,
     "op4_ngram_quality": op4_ngram_quality,
     "op5_mixing": op5_mixing,
+    "op6_pii": op6_pii,
     "op7_passages": op7_passages,
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
