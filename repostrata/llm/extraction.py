@@ -15,8 +15,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from repostrata.llm import html_blocks
 from repostrata.llm.common import settle
+from repostrata.llm.html_blocks import extract as text_at
+from repostrata.llm.html_blocks import read, scores
 from repostrata.session import pinned
 
 SALTS = 32
@@ -39,7 +40,7 @@ def winning_paths(hosted: DataFrame) -> DataFrame:
         for batch in batches:
             votes: dict[tuple[str, str], float] = defaultdict(float)
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for path, share in html_blocks.scores(html_blocks.read(source)):
+                for path, share in scores(read(source)):
                     votes[host, path] += share
             columns = [[h for h, _ in votes], [p for _, p in votes], [round(v * 1e6) for v in votes.values()]]
             kinds = (pa.string(), pa.string(), pa.int64())
@@ -68,11 +69,11 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             texts = []
             for source, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                page = html_blocks.read(source)
-                text = html_blocks.extract(page, path) if path is not None else None
+                page = read(source)
+                text = text_at(page, path) if path is not None else None
                 if not text:
-                    own = html_blocks.scores(page)
-                    text = html_blocks.extract(page, own[0][0]) if own else "\n".join(b[1] for b in page.blocks)
+                    own = scores(page)
+                    text = text_at(page, own[0][0]) if own else "\n".join(b[1] for b in page.blocks)
                 texts.append(text)
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text"])

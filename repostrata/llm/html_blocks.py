@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 # Element names of the HTML standard, grouped by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,6 +40,20 @@ _CLASS = re.compile(r"(?:^|\s)class\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)
 _WORDS = re.compile(r"[a-z]+")
 
 
+def _remembered(function: Callable, most: int = 4096) -> Callable:
+    """``function`` with its last results kept; unlike ``lru_cache`` it can travel by value."""
+    known: dict = {}
+
+    def inner(*args):
+        if args not in known:
+            if len(known) >= most:
+                known.clear()
+            known[args] = function(*args)
+        return known[args]
+
+    return inner
+
+
 @dataclass(slots=True)
 class Element:
     name: str
@@ -60,7 +74,7 @@ def _first(match: re.Match) -> str:
     return next((g for g in match.groups() if g is not None), "")
 
 
-@lru_cache(4096)
+@_remembered
 def unwanted(attributes: str) -> bool:
     for match in _MARKS.finditer(attributes):
         for token in _first(match).lower().split():
@@ -70,7 +84,7 @@ def unwanted(attributes: str) -> bool:
     return False
 
 
-@lru_cache(4096)
+@_remembered
 def step(name: str, attributes: str) -> str:
     """One step of a path: the tag and its sorted classes, with digits generalised."""
     match = _CLASS.search(attributes) if attributes else None
@@ -78,7 +92,7 @@ def step(name: str, attributes: str) -> str:
     return ".".join([name, *classes])
 
 
-@lru_cache(256)
+@_remembered
 def _end(name: str) -> re.Pattern:
     return re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I)
 
