@@ -178,9 +178,9 @@ def verdicts(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
     strata = staged.join(cutoffs.withColumnRenamed("stratum", "stratum_"), F.col("stratum") == F.col("stratum_"), "left")
     fails = F.lit(False)
     for rule, (statistic, large, _) in RULES.items():
-        value = F.expr(statistic)
+        value = F.when(F.col("n_words") > 0, F.expr(statistic))
         broken = value > F.col(rule) if large else value < F.col(rule)
-        fails = fails | F.coalesce((F.col("n_words") > 0) & broken, F.lit(False))
+        fails = fails | F.coalesce(broken, F.lit(False))
     return strata.select("doc_id", *_BASE, "base_failed", (~F.col("base_failed") & ~fails).alias("kept"))
 
 
