@@ -25,29 +25,41 @@ from pyspark.sql import Column, DataFrame, functions as F
 from repostrata.llm.common import as_bytes, settle
 from repostrata.session import pinned
 
-ORDER = 5
-FRAME = 16 * 1024 * 1024
+ORDER = 4
+FRAME = 8 * 1024 * 1024
+_PIECE = 1 << 20  # bytes of text worked on at a time
 QUANTILE = 0.99
-MIN_SUPPORT = 30  # held-out trusted documents below which a language has no quantile of its own
+MIN_SUPPORT = 100  # held-out trusted documents of a language below which this quantile means little
 _FILTER_WORDS = 1 << 16  # 64-bit words of the filter that spares untrusted text the shuffle
 
 
-def packed(texts: list[bytes], order: int = ORDER) -> np.ndarray:
-    """The n-gram that ends at each byte of the texts, as a long; a text begins after line breaks."""
-    edge = b"\n" * (order - 1)
-    raw = np.frombuffer(edge + edge.join(texts), np.uint8).astype(np.int64)
-    total = len(raw) - order + 1
-    if total <= 0:
-        return np.empty(0, np.int64)
-    grams = np.zeros(total, np.int64)
-    for k in range(order):
-        grams = (grams << 8) | raw[k : k + total]
-    keep, at = np.ones(total, bool), 0
-    for text in texts[:-1]:
-        at += len(text)
-        keep[at : at + order - 1] = False
-        at += order - 1
-    return grams[keep]
+def packed(text: bytes, order: int = ORDER) -> Iterator[np.ndarray]:
+    """The n-gram that ends at each byte of a text, as longs; line breaks stand before its first.
+
+    Long texts come in pieces, so memory stays bounded.
+    """
+    edge = order - 1
+    for at in range(0, len(text), _PIECE):
+        before = text[max(0, at - edge) : at].rjust(edge, b"\n")
+        raw = np.frombuffer(before + text[at : at + _PIECE], np.uint8).astype(np.int64)
+        grams = raw[edge:].copy()
+        for k in range(1, order):
+            grams |= raw[edge - k : len(raw) - k] << (8 * k)
+        yield grams
+
+
+def _grouped(texts: list[bytes], order: int) -> Iterator[np.ndarray]:
+    """The n-grams of many texts, in arrays of about ``_PIECE`` numbers."""
+    held, size = [], 0
+    for text in texts:
+        for grams in packed(text, order):
+            held.append(grams)
+            size += len(grams)
+            if size >= _PIECE:
+                yield np.concatenate(held)
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held)
 
 
 def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -55,10 +67,10 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [packed([t], order) for t in as_bytes(batch.column(0))]
-            codes, values = pd.factorize(np.concatenate([*held, np.empty(0, np.int64)]))
-            counts = np.bincount(codes, minlength=len(values)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], ["gram", "n"])
+            for grams in _grouped(as_bytes(batch.column(0)), order):
+                codes, values = pd.factorize(grams)
+                counts = np.bincount(codes, minlength=len(values)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], ["gram", "n"])
 
     raw = texts.select("text").mapInArrow(count, "gram long, n long")
     return raw.groupBy("gram").agg(F.sum("n").alias("n"))
@@ -164,8 +176,11 @@ def _frames(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[str
 
 
 def _distinct(frame: list[pa.RecordBatch], order: int) -> np.ndarray:
-    found = [pd.unique(packed([t], order)) for b in frame for t in as_bytes(b.column(1))]
-    return pd.unique(np.concatenate([*found, np.empty(0, np.int64)]))
+    known = np.empty(0, np.int64)
+    for batch in frame:
+        for grams in _grouped(as_bytes(batch.column(1)), order):
+            known = pd.unique(np.concatenate([known, pd.unique(grams)]))
+    return known
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, frame: int = FRAME) -> DataFrame:
@@ -204,12 +219,14 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, frame:
             for batch in pa.ipc.open_stream(payload):
                 totals, counts = [], []
                 for text in as_bytes(batch.column(1)):
-                    wanted = packed([text], order)
-                    at = np.searchsorted(known, wanted)
-                    if len(wanted) and (at[-1:] >= len(known)).any() or (known[np.minimum(at, len(known) - 1)] != wanted).any():
-                        raise RuntimeError("the documents changed between two reads of them")
-                    counts.append(len(wanted))
-                    totals.append(float(np.exp(-logs[at].mean())) if len(wanted) else None)
+                    total = 0.0
+                    for wanted in packed(text, order):
+                        at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+                        if not len(known) or (known[at] != wanted).any():
+                            raise RuntimeError("the documents changed between two reads of them")
+                        total += float(logs[at].sum())
+                    counts.append(len(text))
+                    totals.append(float(np.exp(-total / len(text))) if text else None)
                 columns = [batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(totals, pa.float64())]
                 out.append(pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "n_tokens", "perplexity"]))
         return pa.Table.from_batches(out)
