@@ -29,18 +29,30 @@ def flatten_columns(df: DataFrame) -> DataFrame:
     return df.select(*[field_at(p).alias(".".join(p)) for p in nested_fields(df.schema)])
 
 
-def flatten_document(docs: DataFrame, doc: str = "doc", depth: int = 6) -> DataFrame:
-    """Rows ``(..., key, value)`` for the leaves of a VARIANT document.
+def flatten_document(docs: DataFrame, doc: str = "doc") -> DataFrame:
+    """Rows ``(..., key, value)`` for the leaves of a VARIANT document of any depth.
 
-    Lists stay whole, empty objects vanish, nulls stay. A document nested deeper than
-    ``depth`` objects fails the job instead of losing keys.
+    Lists stay whole, empty objects vanish, nulls stay. One aggregate finds the greatest
+    depth when this is called; the plan then opens that many levels.
     """
     keep = [c for c in docs.columns if c != doc]
+    deepest = docs.agg(F.max(_depth(doc))).head()[0] or 0
     level = docs.select(*keep, F.lit(None).cast("string").alias("key"), F.col(doc).alias("value"))
-    for _ in range(depth):
+    for _ in range(deepest):
         level = _open_objects(level, keep)
-    too_deep = F.raise_error(F.concat(F.lit("document nested too deeply at "), "key"))
-    return level.withColumn("value", F.when(_is_object("value"), too_deep.cast("variant")).otherwise(F.col("value")))
+    return level
+
+
+def _depth(doc: str) -> Column:
+    """How deep the brackets of a variant's schema nest; at least the depth of its objects."""
+    brackets = F.regexp_replace(F.regexp_replace(F.schema_of_variant(doc), "`(?:[^`]|``)*`", ""), "[^<>]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def walk(acc: Column, bracket: Column) -> Column:
+        now = acc["now"] + F.when(bracket == "<", 1).when(bracket == ">", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(F.split(brackets, ""), start, walk, lambda acc: acc["most"])
 
 
 def _is_object(value: str) -> Column:
@@ -84,29 +96,9 @@ def ordered(df: DataFrame, first: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in (*first, *rest)])
 
 
-def column_names(df: DataFrame, column: str, limit: int = 10_000) -> list[str]:
-    """Sorted distinct values of ``column`` for use as column names.
-
-    More than ``limit`` values are refused, where rows are the better form; no value is
-    left out silently.
-    """
-    found = [row[0] for row in df.select(column).distinct().limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} values of {column}: keep them in rows")
-    return sorted(found)
-
-
-def drop_prefixed(df: DataFrame, *prefixes: str) -> DataFrame:
-    """Drop the columns whose name starts with one of the prefixes."""
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith(prefixes)])
-
-
-def strip_names(df: DataFrame, *parts: str) -> DataFrame:
-    """Remove the given parts from every column name."""
-    names = df.columns
-    for part in parts:
-        names = [n.replace(part, "") for n in names]
-    return df.toDF(*names)
+def column_names(df: DataFrame, column: str) -> list[str]:
+    """Sorted distinct values of ``column`` for use as column names: those of a short list."""
+    return sorted(row[0] for row in df.select(column).distinct().collect())
 
 
 def utc_timestamp(column: Column) -> Column:

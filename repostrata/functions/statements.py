@@ -30,14 +30,17 @@ def count_statements(source: str | None, strict: bool = True) -> tuple:
     """Counts for one file in the field order of ``STATEMENT_TYPE``.
 
     ``strict`` leaves out ``from x import y`` and ``async def``, as the published numbers
-    do. Depth is kept on a list, so deeply nested code cannot exhaust the stack.
+    do. Depth is kept on a list, so deeply nested code cannot exhaust the stack. Missing text
+    is not parsed.
     """
+    if source is None:
+        return False, [], [], [], 0, 0
     imports, classes, functions = [], [], []
     test = production = 0
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            tree = ast.parse(source or "")
+            tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return False, [], [], [], 0, 0
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from repostrata.operators.prefix import running
-from repostrata.operators.skew import join_lookup
 
 
 def in_window(since, to, column: str = "committer_date") -> Column:
@@ -32,9 +31,15 @@ def attach_commits(commits: DataFrame, changes: DataFrame, columns: list[str]) -
 
 
 def commit_files(commits: DataFrame, changes: DataFrame) -> DataFrame:
-    """Every commit with its file changes; a commit without changes keeps one row of NULLs."""
+    """Every commit with its file changes; a commit without changes keeps one row of NULLs.
+
+    An inner join, whose hot commits adaptive execution can split, and the commits without
+    changes on their own.
+    """
+    keys = ["repo", "commit_hash"]
     extra = [c for c in changes.columns if c not in commits.columns]
-    return commits.join(changes.select("repo", "commit_hash", *extra), ["repo", "commit_hash"], "left")
+    filled = commits.join(changes.select(*keys, *extra), keys)
+    return filled.unionByName(commits.join(changes.select(*keys), keys, "left_anti"), allowMissingColumns=True)
 
 
 def repo_totals(commits: DataFrame, changes: DataFrame) -> DataFrame:
@@ -69,31 +74,34 @@ def author_first_seen(commits: DataFrame) -> DataFrame:
 
 
 def developers(commits: DataFrame) -> DataFrame:
-    """One row per developer: ``(repo, position, author_name)`` in first-seen order."""
+    """One row per developer: ``(repo, position, author_name)`` in first-seen order.
+
+    Runs a job when it is called, see ``running``.
+    """
     return running(
         author_first_seen(commits), ["repo"], ["first_seq", "author_name"], number="position"
     ).select("repo", "position", "author_name")
 
 
-def developer_lists(commits: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
-    """Developer count and the name list in one cell per repository.
+def developer_counts(commits: DataFrame) -> DataFrame:
+    """Number of named developers per repository."""
+    named = author_first_seen(commits).where(F.col("author_name").isNotNull())
+    return named.groupBy("repo").agg(F.count(F.lit(1)).alias("developer_count"))
+
+
+NAMES_PER_PART = 10_000
+
+
+def developer_lists(commits: DataFrame, size: int = NAMES_PER_PART) -> DataFrame:
+    """All developer names per repository as lists: ``(repo, part, developers)``.
 
-    A list over ``max_bytes`` is left NULL; ``developers`` holds every name in rows.
-    The size is summed before anything is collected.
+    Part k holds the names at positions ``k * size + 1`` to ``(k + 1) * size`` in first-seen
+    order, so no cell and no group grows with a repository.
     """
-    seen = author_first_seen(commits).where(F.col("author_name").isNotNull())
-    # Summing over first_seq as well keeps one shuffle of the commits for both uses.
-    named = F.when(F.col("first_seq").isNull(), 16).otherwise(F.octet_length("author_name") + 16)
-    sizes = seen.groupBy("repo").agg(
-        F.count(F.lit(1)).alias("developer_count"), F.sum(named).alias("list_bytes")
-    )
-    fits = F.col("list_bytes") <= max_bytes
-    return (
-        join_lookup(seen, sizes, ["repo"], fan_in="developer_count")
-        .groupBy("repo", "developer_count", "list_bytes")
-        .agg(F.collect_list(F.when(fits, F.struct("first_seq", "author_name"))).alias("seen"))
-        .select("repo", "developer_count", F.when(fits, F.array_sort("seen")["author_name"]).alias("developers"))
-    )
+    named = developers(commits.where(F.col("author_name").isNotNull()))
+    part = F.floor((F.col("position") - 1) / size).alias("part")
+    lists = named.groupBy("repo", part).agg(F.array_sort(F.collect_list(F.struct("position", "author_name"))).alias("l"))
+    return lists.select("repo", "part", F.col("l.author_name").alias("developers"))
 
 
 def _dmm_mean(column: str, include_zero: bool) -> Column:
@@ -133,15 +141,6 @@ def file_lines(changes: DataFrame) -> DataFrame:
     )
 
 
-def lines_means(files: DataFrame) -> DataFrame:
-    """Means over the files of each repository of ``file_lines``."""
-    return files.groupBy("repo").agg(
-        F.avg("added").alias("average_lines_added_to_files"),
-        F.avg("removed").alias("average_lines_deleted_from_files"),
-        F.avg("avg_added").alias("average_avg_lines_added_to_files"),
-    )
-
-
 def file_churn(changes: DataFrame, mode: str = "difference") -> DataFrame:
     """Total, highest and average churn per file over its modifications."""
     churn = churn_of(mode)
@@ -152,15 +151,6 @@ def file_churn(changes: DataFrame, mode: str = "difference") -> DataFrame:
     )
 
 
-def churn_means(files: DataFrame) -> DataFrame:
-    """Means over the files of each repository of ``file_churn``."""
-    return files.groupBy("repo").agg(
-        F.avg("churn_total").alias("average_code_churn_total"),
-        F.avg("churn_max").alias("average_code_churn_max"),
-        F.avg("churn_avg").alias("average_code_churn_avg"),
-    )
-
-
 def change_set(commits: DataFrame, changes: DataFrame) -> DataFrame:
     """Most and average files committed together; a commit without files counts as zero."""
     per_commit = changes.groupBy("repo", "commit_hash").agg(F.count(F.lit(1)).alias("files"))

@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from repostrata.functions.documents import column_names
-
 # Leading columns of the lint table.
 FIXED_COLUMNS = (
     "repo", "date", "commit_hash", "info", "refactor", "convention", "warning", "error", "fatal",
@@ -55,33 +53,19 @@ def mccabe(messages: DataFrame, by: Sequence[str] = ("repo", "commit_hash")) ->
     )
 
 
-def symbol_counts(messages: DataFrame, by: Sequence[str] = ("repo", "commit_hash", "committer_date")) -> DataFrame:
-    """Messages per symbol as ``stats.by_msg`` rows of the statistics."""
-    return messages.groupBy(*by, "symbol").agg(F.count(F.lit(1)).alias("n")).select(
-        *by, F.concat(F.lit("stats.by_msg."), "symbol").alias("key"), F.col("n").cast("double").alias("value")
-    )
-
-
 _BY_MSG = "stats.by_msg."
-_CONDITIONAL_COLUMNS = 100
 
 
 def with_ids(stats: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rename ``by_msg.<symbol>`` keys to ``by_msg.<msg_id>.<symbol>``; symbols without an id drop out."""
-    marked = stats.withColumn(
-        "symbol", F.when(F.startswith("key", F.lit(_BY_MSG)), F.substr("key", F.lit(len(_BY_MSG) + 1)))
-    )
-    return (
-        marked.join(ids.select("symbol", "msg_id"), "symbol", "left")
-        .where(F.col("symbol").isNull() | F.col("msg_id").isNotNull())
-        .withColumn(
-            "key",
-            F.when(F.col("symbol").isNull(), F.col("key")).otherwise(
-                F.concat(F.lit(_BY_MSG), "msg_id", F.lit("."), "symbol")
-            ),
-        )
-        .select(*stats.columns)
-    )
+    """Rename ``by_msg.<symbol>`` keys to ``by_msg.<msg_id>.<symbol>``; symbols without an id drop out.
+
+    Only these rows are joined; all other statistics pass by.
+    """
+    by_msg = F.startswith("key", F.lit(_BY_MSG))
+    symbol = F.substr("key", F.lit(len(_BY_MSG) + 1))
+    known = stats.where(by_msg).withColumn("symbol", symbol).join(ids.select("symbol", "msg_id"), "symbol")
+    named = known.withColumn("key", F.concat(F.lit(_BY_MSG), "msg_id", F.lit("."), "symbol"))
+    return stats.where(~F.coalesce(by_msg, F.lit(False))).unionByName(named.select(*stats.columns))
 
 
 def unknown_symbols(stats: DataFrame, ids: DataFrame) -> DataFrame:
@@ -105,11 +89,6 @@ def table_keys(stats: DataFrame) -> DataFrame:
     return kept.withColumn("key", F.regexp_replace(bare, r"by_msg\.", ""))
 
 
-def distinct_keys(stats: DataFrame, limit: int = 10_000) -> list[str]:
-    """Sorted column keys of ``table_keys``."""
-    return column_names(table_keys(stats), "key", limit)
-
-
 def ordered_columns(columns: Sequence[str]) -> list[str]:
     """Fixed columns first, then the grouped columns sorted, then the rest sorted."""
     grouped = sorted(c for c in columns if c.startswith(GROUP_PREFIXES))
@@ -123,10 +102,5 @@ def lint_wide(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     columns = ordered_columns(sorted(set(keys) | set(FIXED_COLUMNS)))
     values = [c for c in columns if c not in identity]
     grouped = table_keys(stats).groupBy("repo", F.col("committer_date").alias("date"), "commit_hash")
-    if len(values) <= _CONDITIONAL_COLUMNS:
-        # A (commit, key) has one value, so one conditional aggregate per key needs a
-        # single shuffle; pivot would aggregate by (commit, key) first.
-        wide = grouped.agg(*[F.max(F.when(F.col("key") == c, F.col("value"))).alias(c) for c in values])
-    else:
-        wide = grouped.pivot("key", values).agg(F.max("value"))
+    wide = grouped.pivot("key", values).agg(F.max("value"))
     return wide.select(*[F.col(f"`{c}`") for c in columns])

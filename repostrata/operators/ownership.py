@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from repostrata.operators.history import churn_of
+from repostrata.operators.skew import join_lookup
 
 
 def author_file_base(
@@ -31,30 +29,21 @@ def author_file_base(
 def file_metrics(base: DataFrame, minor: float = 0.05) -> DataFrame:
     """Ownership per file from ``author_file_base``, and lines and churn if it has them.
 
-    Only ``1/minor`` contributors can hold a share of ``minor`` or more, so the largest
-    ``1/minor`` rows of a file decide how many contributors are not minor. Spark cuts
-    the ranking to that many rows before the shuffle; a file with millions of authors
-    never gathers in one task. The ranking orders by every sum of ``base``, so both
-    branches need the same columns and share one shuffle of the changes.
+    Shares need the total of the file, so every author meets it in a join that splits a file
+    with very many authors.
     """
-    most = math.floor(1 / minor + 1e-9)
     sums = [c for c in base.columns if c not in ("repo", "path", "author")]
     detailed = "churn_total" in sums
     totals = [F.max(c).alias(c) if c == "churn_max" else F.sum(c).alias(c) for c in sums]
     files = base.groupBy("repo", "path").agg(
         *totals, F.max("changed").alias("top_changed"), F.count(F.lit(1)).alias("contributors")
     )
-    largest = Window.partitionBy("repo", "path").orderBy(*[F.desc(c) for c in sums])
-    leaders = (
-        base.select("repo", "path", "changed", F.row_number().over(largest).alias("place"))
-        .where(F.col("place") <= most)
-        .groupBy("repo", "path")
-        .agg(F.collect_list("changed").alias("leading"))
-    )
-    majors = F.size(
-        F.filter("leading", lambda n: F.try_divide(n, F.col("changed")) >= F.lit(minor))
+    whole = files.select("repo", "path", F.col("changed").alias("total"), "contributors")
+    shares = join_lookup(base.select("repo", "path", "author", "changed"), whole, ["repo", "path"], "contributors")
+    majors = shares.groupBy("repo", "path").agg(
+        F.count_if(F.try_divide("changed", "total") >= F.lit(minor)).alias("majors")
     )
-    minors = F.when(F.col("changed") > 0, F.col("contributors") - majors).otherwise(0).cast("bigint")
+    minors = F.when(F.col("changed") > 0, F.col("contributors") - F.col("majors")).otherwise(0).cast("bigint")
     lines = [
         "added",
         "removed",
@@ -63,7 +52,7 @@ def file_metrics(base: DataFrame, minor: float = 0.05) -> DataFrame:
         "churn_max",
         F.try_divide("churn_total", "modifications").alias("churn_avg"),
     ]
-    return files.join(leaders, ["repo", "path"]).select(
+    return files.join(majors, ["repo", "path"]).select(
         "repo",
         "path",
         (F.try_divide("top_changed", "changed") * 100).alias("experience"),

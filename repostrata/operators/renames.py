@@ -33,12 +33,19 @@ def _next_rename(points: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def unique_edges(edges: DataFrame) -> DataFrame:
+    """One rename per (repo, old path, commit): the one to the smallest new path."""
+    return edges.groupBy("repo", "old_path", "seq").agg(F.min("new_path").alias("new_path"))
+
+
 def canonical_paths(edges: DataFrame) -> DataFrame:
-    """Final path of every rename ``(repo, old_path, new_path, seq)``.
+    """Final path of every rename ``(repo, old_path, new_path, seq)``, one per path and commit.
 
     A chain follows later renames only, so it ends. Pointer jumping doubles the reach of
-    each round: a chain of length L takes log2(L) joins.
+    each round: a chain of length L takes log2(L) joins, run when this is called. Only
+    renames that have a successor are joined.
     """
+    edges = pinned(unique_edges(edges))
     ends = edges.select("repo", F.col("new_path").alias("path"), "seq", F.col("old_path").alias("start"))
     hops = pinned(
         _next_rename(ends, edges).select(
@@ -50,49 +57,46 @@ def canonical_paths(edges: DataFrame) -> DataFrame:
             F.col("next.path").alias("next_path"),
         )
     )
-    while not hops.where(F.col("next_seq").isNotNull()).isEmpty():
+    while not (going := hops.where(F.col("next_seq").isNotNull())).isEmpty():
         ahead = hops.select(
-            F.col("repo").alias("a_repo"),
-            F.col("old_path").alias("a_path"),
-            F.col("seq").alias("a_seq"),
+            "repo",
+            F.col("old_path").alias("next_path"),
+            F.col("seq").alias("next_seq"),
             F.col("final_path").alias("a_final"),
             F.col("next_seq").alias("a_next_seq"),
             F.col("next_path").alias("a_next_path"),
         )
-        met = (
-            (F.col("repo") == F.col("a_repo"))
-            & (F.col("next_seq") == F.col("a_seq"))
-            & (F.col("next_path") == F.col("a_path"))
-        )
-        hops = pinned(
-            hops.join(ahead, met, "left").select(
-                "repo",
-                "old_path",
-                "seq",
-                F.coalesce("a_final", "final_path").alias("final_path"),
-                F.col("a_next_seq").alias("next_seq"),
-                F.col("a_next_path").alias("next_path"),
-            )
+        moved = going.join(ahead, ["repo", "next_path", "next_seq"]).select(
+            "repo",
+            "old_path",
+            "seq",
+            F.col("a_final").alias("final_path"),
+            F.col("a_next_seq").alias("next_seq"),
+            F.col("a_next_path").alias("next_path"),
         )
+        hops = pinned(hops.where(F.col("next_seq").isNull()).unionByName(moved))
     return hops.select("repo", "old_path", "seq", "final_path")
 
 
 def apply_renames(changes: DataFrame, edges: DataFrame) -> DataFrame:
-    """File changes (with ``seq`` of their commit) under the final name of their file."""
+    """File changes (with ``seq`` of their commit) under the final name of their file.
+
+    One row out for each row in. Few paths are ever renamed: only their changes look for
+    the next rename, all others pass by.
+    """
+    edges = pinned(unique_edges(edges))
+    paths = edges.select("repo", F.col("old_path").alias("path")).distinct()
     finals = canonical_paths(edges).select(
-        F.col("repo").alias("r_repo"),
-        F.col("old_path").alias("r_path"),
-        F.col("seq").alias("r_seq"),
-        "final_path",
+        "repo", F.col("old_path").alias("next_path"), F.col("seq").alias("next_seq"), "final_path"
     )
-    following = _next_rename(changes, edges)
-    met = (
-        (F.col("repo") == F.col("r_repo"))
-        & (F.col("next.path") == F.col("r_path"))
-        & (F.col("next.seq") == F.col("r_seq"))
+    renamed = changes.join(paths, ["repo", "path"], "left_semi")
+    following = _next_rename(renamed, edges).select(
+        "*", F.col("next.path").alias("next_path"), F.col("next.seq").alias("next_seq")
     )
+    last = following.where(F.col("next_seq").isNull())
+    moved = following.where(F.col("next_seq").isNotNull()).join(finals, ["repo", "next_path", "next_seq"])
     return (
-        following.join(finals, met, "left")
-        .withColumn("path", F.coalesce("final_path", "path"))
-        .select(*changes.columns)
+        changes.join(paths, ["repo", "path"], "left_anti")
+        .unionByName(last.select(*changes.columns))
+        .unionByName(moved.withColumn("path", F.col("final_path")).select(*changes.columns))
     )

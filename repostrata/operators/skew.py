@@ -8,30 +8,20 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def join_lookup(
-    facts: DataFrame,
-    lookup: DataFrame,
-    keys: Sequence[str],
-    fan_in: str,
-    chunk: int = 1_000_000,
-    hottest: int = 1000,
+    facts: DataFrame, lookup: DataFrame, keys: Sequence[str], fan_in: str, chunk: int = 1_000_000
 ) -> DataFrame:
     """Inner join of ``facts`` with ``lookup``, which has one row per key.
 
-    ``fan_in`` names the lookup column that counts the facts of the key. The ``hottest``
-    keys are split into salted pieces of about ``chunk`` facts; any other key has at most
-    a ``1/hottest`` share of all facts. The broadcast list has at most ``hottest`` rows.
-    Facts should differ within a key: a piece is chosen by a hash of the whole row.
+    ``fan_in`` names the lookup column that counts the facts of the key. Every key with more
+    than ``chunk`` facts is split into salted pieces of about that many. There are at most
+    ``facts / chunk`` such keys; whether their list is broadcast is left to adaptive
+    execution, which knows its size. Facts should differ within a key: a piece is chosen by
+    a hash of the whole row.
     """
     keys = list(keys)
-    hot = (
-        lookup.select(*keys, fan_in)
-        .orderBy(F.desc(fan_in), *keys)
-        .limit(hottest)
-        .where(F.col(fan_in) > chunk)
-        .select(*keys, F.ceil(F.col(fan_in) / chunk).alias("__pieces"))
-    )
+    pieces = F.ceil(F.col(fan_in) / chunk)
+    hot = lookup.where(F.col(fan_in) > chunk).select(*keys, pieces.alias("__pieces"))
     salt = F.pmod(F.xxhash64(*facts.columns), F.coalesce("__pieces", F.lit(1)))
-    salted = facts.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt).drop("__pieces")
-    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("__pieces", F.lit(1)) - 1))
-    spread = lookup.join(F.broadcast(hot), keys, "left").withColumn("__salt", copies).drop("__pieces")
-    return salted.join(spread, [*keys, "__salt"]).drop("__salt")
+    salted = facts.join(hot, keys, "left").withColumn("__salt", salt).drop("__pieces")
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(pieces, F.lit(1)) - 1))
+    return salted.join(lookup.withColumn("__salt", copies), [*keys, "__salt"]).drop("__salt")

@@ -7,37 +7,14 @@ from pyspark.sql import DataFrame, functions as F
 from repostrata.functions.statements import TEST_MODULES, statements
 
 
-def classify(sources: DataFrame, strict: bool = True, dedupe: bool = True) -> DataFrame:
+def classify(sources: DataFrame, strict: bool = True) -> DataFrame:
     """Statement counts per file, without its content; ``parsed`` is false where the text
-    is not valid Python.
+    is missing or not valid Python.
 
-    Most files stay the same from commit to commit, so each distinct content is parsed
-    once and its counts are joined back by hash. A content shared by very many files
-    (an empty module) makes one hot join key, whose side carries no text. A
-    ``content_sha`` column (a blob id) is used when there is one: then that side does not
-    read the text at all.
+    Every file is parsed where it is read: the text is scanned once and never shuffled.
     """
-    udf = statements(strict)
     keys = [c for c in sources.columns if c not in ("content", "content_sha")]
-    if not dedupe:
-        return sources.select(*keys, udf("content").alias("s")).select(*keys, "s.*")
-    known = "content_sha" in sources.columns
-    sha = F.col("content_sha") if known else F.sha2(F.coalesce("content", F.lit("")), 256)
-    hashed = sources.select(*keys, "content", sha.alias("sha"))
-    parsed = (
-        hashed.groupBy("sha")
-        .agg(F.any_value("content").alias("content"))
-        .select("sha", udf("content").alias("s"))
-    )
-    # Adaptive execution splits a hot key only where both sides are shuffled for the join
-    # itself. The second key, a function of the first, keeps the join from reusing the
-    # layout of the aggregate.
-    pair = ["sha", F.xxhash64("sha").alias("sha_hash")]
-    return (
-        hashed.select(*keys, *pair)
-        .join(parsed.select(*pair, "s"), ["sha", "sha_hash"])
-        .select(*keys, "s.*")
-    )
+    return sources.select(*keys, statements(strict)("content").alias("s")).select(*keys, "s.*")
 
 
 def unparsable(classified: DataFrame) -> DataFrame:

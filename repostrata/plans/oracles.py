@@ -117,9 +117,7 @@ _FIRST_SEEN = """
 seen as (select repo, author_name, min(seq) as first_seq from commits group by 1, 2)"""
 
 _LISTS = """
-lists as (
-  select repo, count(*) as developer_count, string_agg(author_name, '|' order by first_seq, author_name) as developers
-  from seen group by repo)"""
+lists as (select repo, count(*) as developer_count from seen group by repo)"""
 
 _DMM = """
 dmm as (
@@ -196,7 +194,7 @@ sets as (
   round(average_lines_deleted_from_files, 9) as average_lines_deleted_from_files,
   round(lines_deleted / cast(total_commits as double), 9) as average_lines_deleted_per_commit,
   round(average_minor_contributors, 9) as average_minor_contributors,
-  round(change_set_avg, 9) as change_set_avg, change_set_max, developer_count, developers,
+  round(change_set_avg, 9) as change_set_avg, change_set_max, developer_count,
   files_modified, lines_added, lines_deleted, total_commits{extra}
 from totals t join lists using (repo) join dmm using (repo) join file_means using (repo) join sets using (repo)"""
     )
@@ -237,7 +235,10 @@ from commits c left join changes f on f.repo = c.repo and f.commit_hash = c.comm
     "repo_totals": _with(CHANGES, _TOTALS) + f"select *, {_AVERAGES} from totals",
     "developers": _with(COMMITS, _FIRST_SEEN) + """select repo, author_name,
   row_number() over (partition by repo order by first_seq, author_name) as position from seen""",
-    "developer_lists": _with(COMMITS, _FIRST_SEEN, _LISTS) + "select * from lists",
+    "developer_lists": _with(COMMITS, _FIRST_SEEN) + """select repo, place // 7 as part,
+  string_agg(author_name, '|' order by place) as developers
+from (select *, row_number() over (partition by repo order by first_seq, author_name) - 1 as place from seen)
+group by 1, 2""",
     "dmm_means": _with(COMMITS, _DMM) + "select * from dmm",
     "dmm_means_with_zero": _with(COMMITS) + """select repo, avg(dmm_unit_size) as average_dmm_method_lines_of_code,
   avg(dmm_unit_complexity) as average_dmm_method_cyclomatic_complexity,
@@ -373,8 +374,9 @@ from (select d, count(*) filter (where repo = 'click') as click, count(*) filter
     "stream_upsert": _latest("events"),
     "new_repositories": """select distinct o_orderkey as repo from orders
 where not exists (select 1 from customer where c_custkey = o_orderkey)""",
-    "csv_round_trip": _with(CHANGES) + """select repo, path, cast(sum(added) as bigint) as added,
-  cast(sum(deleted) as bigint) as removed, avg(added) as avg_added, nullif(path, 0) as none
+    "csv_round_trip": _with(CHANGES) + r"""select repo, path, cast(sum(added) as bigint) as added,
+  cast(sum(deleted) as bigint) as removed, avg(added) as avg_added, nullif(path, 0) as none,
+  repo || ':' || chr(10) || '"line, two"\' || path as note, '["' || repo || '","a \"b\", ' || path || '"]' as list
 from changes group by 1, 2""",
     "json_round_trip": "select s_name as repo, s_suppkey * 10 as disk_usage from supplier",
     "raw_store": _with(LINT) + """select repo as repository_name, commit_hash as hash,

@@ -122,7 +122,8 @@ def developers(t: TestTables) -> DataFrame:
 
 @registered
 def developer_lists(t: TestTables) -> DataFrame:
-    return history.developer_lists(t.commits()).withColumn("developers", F.array_join("developers", "|"))
+    """All names, in lists of seven."""
+    return history.developer_lists(t.commits(), size=7).withColumn("developers", F.array_join("developers", "|"))
 
 
 @registered
@@ -200,13 +201,9 @@ def churn_across_renames(t: TestTables) -> DataFrame:
     return history.file_churn(renames.apply_renames(t.moved_changes(), t.rename_edges()))
 
 
-def _plain_git(table: DataFrame) -> DataFrame:
-    return rounded(table.withColumn("developers", F.array_join("developers", "|")))
-
-
 @registered
 def git_table(t: TestTables) -> DataFrame:
-    return _plain_git(
+    return rounded(
         tables.git_table(t.commits(), t.file_changes(), t.repos(), t.nation_patches(), author="author_id")
     )
 
@@ -216,7 +213,7 @@ def git_table_window(t: TestTables) -> DataFrame:
     table = tables.git_table(
         t.commits(), t.file_changes(), since="1996-01-01", to="2000-06-30", author="author_id", churn_mode="sum"
     )
-    return _plain_git(table.drop("average_hunks", "repo_url"))
+    return rounded(table.drop("average_hunks", "repo_url"))
 
 
 # -- lint ---------------------------------------------------------------------------
@@ -390,10 +387,18 @@ def new_repositories(t: TestTables) -> DataFrame:
 
 @registered
 def csv_round_trip(t: TestTables) -> DataFrame:
+    """Numbers, missing values, and texts with line breaks, commas, quotes and a list."""
     path = scratch_path(t.spark, "csv")
-    table = history.file_lines(t.file_changes()).withColumn("none", F.nullif(F.col("path"), F.lit(0)))
+    table = history.file_lines(t.file_changes()).withColumns(
+        {
+            "none": F.nullif(F.col("path"), F.lit(0)),
+            "note": F.concat(F.col("repo"), F.lit(':\n"line, two"\\'), F.col("path")),
+            "list": F.array("repo", F.concat(F.lit('a "b", '), "path")),
+        }
+    )
     writers.write_csv(table, path, ["repo", "path"])
-    return readers.read_csv(t.spark, path, "repo STRING, path BIGINT, added BIGINT, removed BIGINT, avg_added DOUBLE, none BIGINT")
+    schema = "repo STRING, path BIGINT, added BIGINT, removed BIGINT, avg_added DOUBLE, none BIGINT, note STRING, list STRING"
+    return readers.read_csv(t.spark, path, schema)
 
 
 @registered

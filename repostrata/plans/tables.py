@@ -23,13 +23,13 @@ def git_table(
     author: str = "author_email",
     minor: float = 0.05,
     churn_mode: str = "difference",
-    max_list_bytes: int = 64 * 1024 * 1024,
 ) -> DataFrame:
     """One row of process metrics per repository.
 
     ``since`` and ``to`` bound the per-file metrics, not the commit totals. ``changes`` may
     already carry the commit's columns; otherwise they are joined on. ``patches`` gives
-    the hunks, ``renames`` maps changes to the final name of their file.
+    the hunks, ``renames`` maps changes to the final name of their file. The names of the
+    developers are rows of their own, see ``history.developers``.
 
     All per-file metrics come from one aggregate per (repository, file, author), all
     per-commit ones from one per (repository, commit).
@@ -71,7 +71,7 @@ def git_table(
         F.count_if(inside).alias("commits_in_window"),
         *history.dmm_aggregates(),
     )
-    sides = [per_commit, per_file, history.developer_lists(commits, max_list_bytes)]
+    sides = [per_commit, per_file, history.developer_counts(commits)]
     if repos is not None:
         sides.append(_urls(repos))
     if patches is not None:
@@ -115,20 +115,19 @@ def test_table(sources: DataFrame, strict: bool = True, depth: str = "root") ->
     return testcode.test_table(testcode.classify(analysed, strict))
 
 
-def lint_table(
-    stats: DataFrame, messages: DataFrame, message_ids: DataFrame, keys: Sequence[str] | None = None
-) -> DataFrame:
-    """One row per commit: statistics, message counts by id and mean complexity.
-
-    Without ``keys`` the distinct keys are looked up first, refused above 10,000.
-    """
+def lint_rows(stats: DataFrame, messages: DataFrame, message_ids: DataFrame) -> DataFrame:
+    """Rows ``(repo, commit_hash, committer_date, key, value)``: statistics, message counts by
+    id and mean complexity of every commit, whatever the number of keys."""
     by = ("repo", "commit_hash", "committer_date")
     complexity_rows = lint.mccabe(messages, by).select(
         *by, F.lit("avg_mccabe_complexity").alias("key"), F.col("avg_mccabe_complexity").alias("value")
     )
-    named = lint.with_ids(stats, message_ids)
-    keys = lint.distinct_keys(named) if keys is None else keys
-    return lint.lint_wide(named.unionByName(complexity_rows), keys)
+    return lint.table_keys(lint.with_ids(stats, message_ids)).unionByName(complexity_rows)
+
+
+def lint_table(stats: DataFrame, messages: DataFrame, message_ids: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per commit, a column for each of ``keys`` and every fixed column."""
+    return lint.lint_wide(lint_rows(stats, messages, message_ids), keys)
 
 
 def stargazers_table(events: DataFrame, repos: Sequence[str]) -> DataFrame:

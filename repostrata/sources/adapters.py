@@ -62,7 +62,7 @@ class TestTables:
 
     def event_types(self) -> list[str]:
         """Names of the starred repositories, for the wide table."""
-        return column_names(self.raw("events"), "event_type", 1000)
+        return column_names(self.raw("events"), "event_type")
 
     def lint_messages(self) -> DataFrame:
         return self.raw("lineitem").selectExpr(

@@ -76,8 +76,8 @@ def read_keyed_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A CSV table written by ``write_csv``; ``nan`` is a missing value."""
-    return spark.read.csv(path, schema=schema, header=True, nullValue="nan", multiLine=False)
+    """A CSV table written by ``write_csv``; ``nan`` is a missing value. Text may hold line breaks."""
+    return spark.read.csv(path, schema=schema, header=True, nullValue="nan", multiLine=True, quote='"', escape='"')
 
 
 def star_events_of(docs: DataFrame) -> DataFrame:

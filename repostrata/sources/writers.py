@@ -31,9 +31,14 @@ def encoded(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, order: Sequence[str] = (), mode: str = "overwrite") -> None:
-    """CSV with a header; missing values are ``nan``."""
+    """CSV with a header; missing values are ``nan``, quotes in text are doubled.
+
+    A text may hold line breaks, so a file cannot be split when read: files are cut instead.
+    """
     ordered = encoded(df).orderBy(*order) if order else encoded(df)
-    ordered.write.mode(mode).csv(path, header=True, nullValue="nan", emptyValue="")
+    ordered.write.mode(mode).option("maxRecordsPerFile", 1_000_000).csv(
+        path, header=True, nullValue="nan", emptyValue="", quote='"', escape='"'
+    )
 
 
 def write_documents(df: DataFrame, path: str, key: str = "repo", mode: str = "overwrite") -> None:

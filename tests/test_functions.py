@@ -95,8 +95,17 @@ def test_flatten_document(spark, rows):
     df = spark.createDataFrame([("r", text)], "repo string, doc string").withColumn("doc", F.parse_json("doc"))
     flat = documents.flatten_document(df).select("key", F.to_json("value"))
     assert rows(flat) == [("a", "1"), ("b.c", "null"), ("b.d", "[1,2]"), ("b.x.y", "2")]
-    with pytest.raises(Exception, match="nested too deeply"):
-        documents.flatten_document(df, depth=2).collect()
+
+
+def test_flatten_deep_document(spark, rows):
+    deep = "1"
+    for i in range(12):
+        deep = f'{{"k{i}":{deep},"odd <{i}>":[{{"x":1}}]}}'
+    df = spark.createDataFrame([("r", deep), ("s", "{}"), ("t", None)], "repo string, doc string")
+    flat = documents.flatten_document(df.withColumn("doc", F.parse_json("doc")))
+    found = {r.key: r.v for r in flat.select("key", F.to_json("value").alias("v")).collect()}
+    assert found[".".join(f"k{i}" for i in range(11, -1, -1))] == "1"
+    assert found["k11.k10.odd <9>"] == '[{"x":1}]' and len([k for k in found if k]) == 13
 
 
 def test_flatten_columns_and_column_order(spark):
@@ -106,8 +115,6 @@ def test_flatten_columns_and_column_order(spark):
     assert documents.ordered(flat, ["r"]).columns == ["r", "l", "s.a.z", "s.b"]
     with pytest.raises(ValueError):
         documents.ordered(flat, ["repo"])
-    assert documents.drop_prefixed(flat, "s.a", "l").columns == ["s.b", "r"]
-    assert documents.strip_names(flat, "s.").columns == ["b", "a.z", "r", "l"]
 
 
 def test_empty_text_and_bad_dates_become_null(spark, rows):

@@ -39,8 +39,9 @@ def test_totals_and_commit_without_files(commits, changes, rows):
 def test_developers(commits, rows):
     assert rows(history.developers(commits)) == [("r", 1, "Ann"), ("r", 2, "Bob"), ("s", 1, "Cy")]
     lists = history.developer_lists(commits)
-    assert rows(lists) == [("r", 2, ["Ann", "Bob"]), ("s", 1, ["Cy"])]
-    assert rows(history.developer_lists(commits, max_bytes=20)) == [("r", 2, None), ("s", 1, ["Cy"])]
+    assert rows(lists) == [("r", 0, ["Ann", "Bob"]), ("s", 0, ["Cy"])]
+    assert rows(history.developer_lists(commits, size=1)) == [("r", 0, ["Ann"]), ("r", 1, ["Bob"]), ("s", 0, ["Cy"])]
+    assert rows(history.developer_counts(commits)) == [("r", 2), ("s", 1)]
 
 
 def test_dmm_leaves_out_zero_and_missing(spark, rows):
@@ -52,10 +53,8 @@ def test_dmm_leaves_out_zero_and_missing(spark, rows):
 
 def test_lines_churn_and_change_set(commits, changes, rows):
     assert rows(history.file_lines(changes)) == [("r", "a", 14, 6, 7.0), ("r", "b", 10, 0, 10.0)]
-    assert rows(history.lines_means(history.file_lines(changes))) == [("r", 12.0, 3.0, 8.5)]
     assert rows(history.file_churn(changes)) == [("r", "a", 8, 10, 4.0), ("r", "b", 10, 10, 10.0)]
     assert rows(history.file_churn(changes, "sum")) == [("r", "a", 20, 10, 10.0), ("r", "b", 10, 10, 10.0)]
-    assert rows(history.churn_means(history.file_churn(changes))) == [("r", 9.0, 10.0, 7.0)]
     assert rows(history.change_set(commits, changes)) == [("r", 2, 1.0), ("s", 0, 0.0)]
     with pytest.raises(ValueError):
         history.file_churn(changes, "other")
@@ -171,12 +170,12 @@ def test_git_table_columns_window_and_hunks(spark, commits, changes):
         "average_dmm_method_number_of_parameters", "average_files_modified_per_commit",
         "average_history_complexity", "average_hunks", "average_lines_added_per_commit",
         "average_lines_added_to_files", "average_lines_deleted_from_files", "average_lines_deleted_per_commit",
-        "average_minor_contributors", "change_set_avg", "change_set_max", "developer_count", "developers",
+        "average_minor_contributors", "change_set_avg", "change_set_max", "developer_count",
         "files_modified", "lines_added", "lines_deleted", "repo_url", "total_commits",
     ]
     r = table.where("repo = 'r'").first()
     assert (r.average_hunks, r.repo_url, r.average_history_complexity) == (2.0, "https://h/o/r.git", 0.5)
-    assert (r.average_contributors, r.developers, r.change_set_avg) == (1.5, ["Ann", "Bob"], 1.0)
+    assert (r.average_contributors, r.developer_count, r.change_set_avg) == (1.5, 2, 1.0)
     s = table.where("repo = 's'").first()
     assert (s.lines_added, s.change_set_max, s.average_contributors) == (0, 0, None)
 

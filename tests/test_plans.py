@@ -10,7 +10,8 @@ from repostrata.sources.readers import read_canonical
 
 LAZY_QUERIES = {
     "repo_totals": lambda t: history.repo_totals(t["commits"], t["file_changes"]),
-    "developer_lists": lambda t: history.developer_lists(t["commits"]),
+    "developer_counts": lambda t: history.developer_counts(t["commits"]),
+    "commit_files": lambda t: history.commit_files(t["commits"], t["file_changes"]),
     "change_set": lambda t: history.change_set(t["commits"], t["file_changes"]),
     "ownership": lambda t: ownership.file_ownership(history.attach_commits(t["commits"], t["file_changes"], ["author_email"])),
     "complexity": lambda t: complexity.history_complexity(t["file_changes"]),
@@ -77,10 +78,15 @@ def test_counts_come_before_the_rollup(canonical):
     assert text.index("Expand") < text.index("FileScan") and text[text.index("Expand"):].count("Exchange") == 1
 
 
-def test_leaders_are_limited_before_the_shuffle(canonical):
+def test_ownership_shares_one_aggregate(canonical):
     changes = history.attach_commits(canonical["commits"], canonical["file_changes"], ["author_email"])
-    text = plan(ownership.file_ownership(changes))
-    assert text.count("WindowGroupLimit") == 2 and "ReusedExchange" in text
+    assert "ReusedExchange" in plan(ownership.file_ownership(changes))
+
+
+def test_source_text_is_scanned_once_and_never_sorted(canonical):
+    text = plan(tables.test_table(canonical["source_files"]))
+    assert "SortAggregate" not in text
+    assert sum("content:string" in line for line in text.splitlines() if "FileScan" in line) == 1
 
 
 def test_diff_counts_need_no_shuffle(canonical):

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from repostrata.operators import testcode
+from repostrata.operators import history
 from repostrata.operators.skew import join_lookup
 
 SMALL = {
@@ -31,10 +31,10 @@ def facts(spark):
     return spark.range(0, 30_000, 1, 6).selectExpr("if(id % 3 < 2, -1, id % 50) as k", "id")
 
 
-@pytest.mark.parametrize("chunk,hottest", [(1_000, 5), (10**9, 5), (100, 1000)])
-def test_lookup_join_is_a_plain_join(facts, rows, chunk, hottest):
+@pytest.mark.parametrize("chunk", [1_000, 10**9, 100])
+def test_lookup_join_is_a_plain_join(facts, rows, chunk):
     counts = facts.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    got = join_lookup(facts, counts, ["k"], "n", chunk, hottest)
+    got = join_lookup(facts, counts, ["k"], "n", chunk)
     assert got.columns == ["k", "id", "n"]
     assert rows(got) == rows(facts.join(counts, "k"))
 
@@ -52,13 +52,12 @@ def test_hot_key_is_spread_over_salted_pieces(spark, facts):
     assert sum(r["count"] for r in spread) == 20_000 and max(r["count"] for r in spread) < 12_000
 
 
-def test_hot_content_is_split_by_adaptive_execution(spark, small_partitions):
-    files = spark.range(0, 40_000, 1, 8).selectExpr(
-        "concat('r', id % 7) as repo", "id as commit_hash", "timestamp '2020-01-01 00:00:00' as committer_date",
-        "concat('f', sha2(cast(id as string), 256), '.py') as path",
-        "if(id % 3 < 2, '', concat('x = ', id % 200)) as content",
+def test_hot_commit_is_split_by_adaptive_execution(spark, small_partitions):
+    commits = spark.range(0, 2_000, 1, 4).selectExpr("'r' as repo", "id as commit_hash", "id as seq")
+    changes = spark.range(0, 60_000, 1, 8).selectExpr(
+        "'r' as repo", "if(id % 3 < 2, 7, id % 1000) as commit_hash", "concat('f', sha2(cast(id as string), 256)) as path"
     )
-    found = testcode.classify(files)
-    assert found.toArrow().num_rows == 40_000
+    found = history.commit_files(commits, changes)
+    assert found.toArrow().num_rows == 60_000 + 1_000
     text = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin(skew=true)" in text.split("Initial Plan")[0]

@@ -59,25 +59,13 @@ def stats(spark):
 def test_lint_table(spark, messages, stats, rows):
     ids = spark.createDataFrame([("too-complex", "R1260")], "symbol string, msg_id string")
     assert rows(lint.unknown_symbols(stats, ids)) == [("lost",)]
-    table = tables.lint_table(stats, messages, ids)
+    found = tables.lint_rows(stats, messages, ids)
+    keys = {r.key for r in found.collect()}
+    table = tables.lint_table(stats, messages, ids, keys - {"avg_mccabe_complexity"})
     assert table.columns == [*lint.FIXED_COLUMNS, "bad_names.klass", "node_count.klass", "R1260.too-complex"]
     row = table.first()
     assert (row["refactor"], row["statement"], row["avg_mccabe_complexity"]) == (2.0, 9.0, 10.0)
     assert (row["R1260.too-complex"], row["bad_names.klass"], row["fatal"]) == (2.0, 0.0, None)
-    with pytest.raises(ValueError):
-        lint.distinct_keys(stats, limit=2)
-
-
-def test_lint_wide_by_pivot_agrees(stats, monkeypatch, rows):
-    keys = lint.distinct_keys(stats)
-    want = rows(lint.lint_wide(stats, keys))
-    monkeypatch.setattr(lint, "_CONDITIONAL_COLUMNS", 0)
-    assert rows(lint.lint_wide(stats, keys)) == want
-
-
-def test_symbol_counts(messages, rows):
-    got = rows(lint.symbol_counts(messages), "key", "value")
-    assert got == [("stats.by_msg.missing-module-docstring", 2.0), ("stats.by_msg.too-complex", 2.0)]
 
 
 SOURCES = "repo string, commit_hash string, committer_date string, path string, content string"
@@ -100,16 +88,9 @@ def test_test_table(sources, rows):
     assert got == [
         ("r", "c1", 1, ["unittest"], 1, 5 / 6), ("r", "c2", 1, ["unittest"], 1, 1.0),
         ("r", "c3", 0, [], 0, 0.0), ("r", "c5", 0, ["nose2", "pytest"], 0, 1.0),
-    ]
+    ]  # "empty.py" has no text: it is not parsed and counts nothing
     found = testcode.classify(sources)
-    assert rows(testcode.unparsable(found), "commit_hash", "path") == [("c2", "bad.py"), ("c3", "bad.py")]
-
-
-def test_dedupe_changes_nothing(sources, rows):
-    want = rows(testcode.classify(sources, dedupe=False))
-    assert rows(testcode.classify(sources)) == want
-    shas = sources.withColumn("content_sha", F.coalesce(F.md5("content"), F.lit("none")))
-    assert rows(testcode.classify(shas)) == want
+    assert rows(testcode.unparsable(found), "commit_hash", "path") == [("c2", "bad.py"), ("c3", "bad.py"), ("c5", "empty.py")]
 
 
 EVENTS = "repo string, starred_at string, user_login string"
