@@ -17,8 +17,18 @@ from pyspark.sql.window import Window
 
 from repostrata.session import pinned
 
+_BLOCK_BYTES = 256 * 1024 * 1024
 _BLOCK = "__block"
 _ROWS = "__rows"
+# The carry has one row per block and is broadcast; joins make estimates far too large.
+_MOST_BLOCKS = 100_000
+
+
+def _blocks(df: DataFrame) -> int:
+    """Shuffle partitions of the session, or more where the input is estimated to be larger."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(partitions, min(size // _BLOCK_BYTES, _MOST_BLOCKS))
 
 
 def running(
@@ -35,10 +45,11 @@ def running(
     ``sums`` and ``lasts`` map a new column to its input column: the inclusive running
     sum, and the latest non-null value seen before or at the row. ``number`` names a
     1-based row number. ``keys`` may be empty. Rows equal on keys and order share a
-    block, so ``order`` should be (close to) unique per key.
+    block, so ``order`` should be (close to) unique per key. The placed rows are written
+    when this is called.
     """
     sums, lasts, keys, order = sums or {}, lasts or {}, list(keys), list(order)
-    blocks = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks or _blocks(df)
     placed = pinned(
         df.repartitionByRange(blocks, *keys, *order).withColumn(_BLOCK, F.spark_partition_id())
     )

@@ -68,13 +68,9 @@ def growth_wide(events: DataFrame, repos: Sequence[str], block: str = "day") ->
     )
     upto = Window.unboundedPreceding
     inside = Window.partitionBy("block").orderBy("date").rowsBetween(upto, 0)
-    # One row per calendar block: small by construction.
-    before = Window.partitionBy(F.lit(0)).orderBy("block").rowsBetween(upto, -1)
-    earlier = (
-        per_date.groupBy("block")
-        .agg(*[F.sum(_name(n)).alias(n) for n in names])
-        .select("block", *[F.coalesce(F.sum(_name(n)).over(before), F.lit(0)).alias(f"{n}__earlier") for n in names])
-    )
+    totals = per_date.groupBy("block").agg(*[F.sum(_name(n)).alias(n) for n in names])
+    upto_block = running(totals, [], ["block"], sums={f"{n}__upto": n for n in names})
+    earlier = upto_block.select("block", *[(_name(f"{n}__upto") - _name(n)).alias(f"{n}__earlier") for n in names])
     return (
         per_date.select("date", "block", *[F.sum(_name(n)).over(inside).alias(n) for n in names])
         .join(earlier, "block")

@@ -11,8 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from repostrata.functions.distributions import correlation_p_value, score_sums, shapiro_result
+from repostrata.functions.distributions import correlation_p_value, inverse_normal, shapiro_result
 from repostrata.operators.prefix import running
+from repostrata.operators.skew import join_lookup
 
 _CHUNK = 4096
 _QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
@@ -78,8 +79,24 @@ def describe(df: DataFrame, cols: Sequence[str], accuracy: int | None = None) ->
         quartiles = F.approx_percentile("value", list(_QUARTILES.values()), accuracy).alias("q")
         split = {name: F.col("q")[i] for i, name in enumerate(_QUARTILES)}
         return grouped.agg(*basic, quartiles).withColumns(split).select(*names)
-    summary = grouped.agg(*basic)
-    return summary.join(_quantiles(value_ranks(df, cols), summary, _QUARTILES), "column").select(*names)
+    ranks = value_ranks(df, cols)
+    summary = _summary(ranks)
+    return summary.join(_quantiles(ranks, summary, _QUARTILES), "column").select(*names)
+
+
+def _summary(ranks: DataFrame) -> DataFrame:
+    """The basic summary per column from its histogram, the deviation around the mean."""
+    n, value = F.col("n"), F.col("value")
+    means = ranks.groupBy("column").agg(
+        F.sum("n").alias("count"),
+        (F.sum(value * n) / F.sum("n")).alias("mean"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+    )
+    # One row per column: the broadcast side is as long as the column list.
+    around = ranks.join(F.broadcast(means), "column").groupBy("column", "count", "mean", "min", "max")
+    spread = around.agg(F.sum(n * F.pow(value - F.col("mean"), F.lit(2))).alias("spread"))
+    return spread.withColumn("std", F.sqrt(F.try_divide("spread", F.col("count") - 1)))
 
 
 def boxplot(df: DataFrame, cols: Sequence[str], reach: float = 1.5) -> DataFrame:
@@ -119,16 +136,20 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks for ties: ``(n, coefficient, p_value)``.
 
     Equal pairs are counted first. Each pair then looks up the ranks of its two values;
-    a value with very many partners is a skewed key that adaptive execution splits.
+    a value with very many partners is split over salted pieces.
     """
     both = pairs(df, x, y)
+    return _spearman(both, value_ranks(both, ["x", "y"]))
+
+
+def _spearman(both: DataFrame, ranks: DataFrame) -> DataFrame:
     counted = both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
-    ranks = value_ranks(both, ["x", "y"]).select(
-        "column", "value", (F.col("upto") - (F.col("n") - 1) / 2).alias("rank")
-    )
-    rank_x = ranks.where(F.col("column") == "x").select(F.col("value").alias("x"), F.col("rank").alias("rx"))
-    rank_y = ranks.where(F.col("column") == "y").select(F.col("value").alias("y"), F.col("rank").alias("ry"))
-    ranked = counted.join(rank_x, "x").join(rank_y, "y")
+    ranked = counted
+    for name in ("x", "y"):
+        own = ranks.where(F.col("column") == name).select(
+            F.col("value").alias(name), (F.col("upto") - (F.col("n") - 1) / 2).alias(f"r{name}"), F.col("n").alias(f"n{name}")
+        )
+        ranked = join_lookup(ranked, own, [name], f"n{name}")
     w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")
     sums = ranked.agg(
         F.sum("w").alias("n"),
@@ -153,18 +174,21 @@ def shapiro(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     value covers a range of positions, which is cut into chunks so that no task adds up
     the normal scores of a large tie alone.
     """
-    ranks = value_ranks(df, cols)
-    sizes = _melted(df, cols).groupBy("column").agg(
-        F.count("value").alias("size"), (F.var_pop("value") * F.count("value")).alias("spread")
-    )
+    return _shapiro(value_ranks(df, cols))
+
+
+def _shapiro(ranks: DataFrame) -> DataFrame:
+    sizes = _summary(ranks).select("column", F.col("count").alias("size"), "spread")
     placed = ranks.join(F.broadcast(sizes), "column").withColumn("first", F.col("upto") - F.col("n") + 1)
     chunked = placed.withColumn("from", F.explode(F.sequence("first", "upto", F.lit(_CHUNK)))).withColumn(
         "to", F.least(F.col("from") + _CHUNK - 1, "upto")
     ).repartition("column", "from")
+    positions = chunked.select("column", "value", "size", F.explode(F.sequence("from", "to")).alias("position"))
+    score = inverse_normal((F.col("position") - 0.375) / (F.col("size") + 0.25))
     weighted = (
-        chunked.select("column", "value", score_sums("from", "to", "size").alias("s"))
+        positions.select("column", "value", score.alias("score"))
         .groupBy("column")
-        .agg(F.sum("s.squares").alias("squares"), F.sum(F.col("value") * F.col("s.score")).alias("weighted"))
+        .agg(F.sum(F.col("score") * F.col("score")).alias("squares"), F.sum(F.col("value") * F.col("score")).alias("weighted"))
     )
 
     def value_at(position: Column) -> Column:
@@ -193,17 +217,18 @@ def direction(coefficient: Column) -> Column:
 
 
 def correlate(df: DataFrame, x: str, y: str, alpha: float = 0.05) -> DataFrame:
-    """One row on the correlation of two metrics, with a sentence that reports it.
+    """One row on the correlation of two metrics: method, size, coefficient, p-value and their
+    reading as strength, direction and significance.
 
-    Pearson when both metrics pass the normality test at ``alpha``, else Spearman. Only
-    the two p-values of that test come to the driver.
+    Pearson when both metrics pass the normality test at ``alpha``, else Spearman. Values are
+    ranked once, when this is called; only the two p-values of the test come to the driver.
     """
-    normality = [row.p_value for row in shapiro(pairs(df, x, y), ["x", "y"]).collect()]
+    both = pairs(df, x, y)
+    ranks = value_ranks(both, ["x", "y"])
+    normality = [row.p_value for row in _shapiro(ranks).collect()]
     normal = len(normality) == 2 and all(p is not None and p > alpha for p in normality)
-    result = (pearson if normal else spearman)(df, x, y)
-    r, p = F.col("coefficient"), F.col("p_value")
-    significant = F.coalesce(p < alpha, F.lit(False))
-    verdict = F.when(significant, "statistically significant").otherwise("not statistically significant")
+    result = pearson(df, x, y) if normal else _spearman(both, ranks)
+    r = F.col("coefficient")
     return result.select(
         F.lit("Pearson" if normal else "Spearman").alias("method"),
         "n",
@@ -211,12 +236,5 @@ def correlate(df: DataFrame, x: str, y: str, alpha: float = 0.05) -> DataFrame:
         "p_value",
         strength(r).alias("strength"),
         direction(r).alias("direction"),
-        significant.alias("significant"),
-        F.format_string(
-            f"There is a %s %s correlation between {x} and {y} using %s method. "
-            "The correlation coefficient is %.3f. The p-value = %.3e which is %s than the "
-            f"significance level (alpha) of {alpha}. The relationship is %s.",
-            strength(r), direction(r), F.lit("Pearson" if normal else "Spearman"), r, p,
-            F.when(significant, "smaller").otherwise("greater"), verdict,
-        ).alias("report"),
+        F.coalesce(F.col("p_value") < alpha, F.lit(False)).alias("significant"),
     )

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from repostrata.session import pinned
+from repostrata.session import discard, scratch_path
 
 BUCKET = "bucket"
 
@@ -73,16 +73,19 @@ def upsert_table(
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         existing = None
-    merged = pinned(merge(existing, placed, keys, order))
+    fixed = scratch_path(spark, "upsert-rows")
+    merge(existing, placed, keys, order).write.parquet(fixed)
     placed.unpersist()
     (
-        merged.hint("rebalance", BUCKET)
+        spark.read.parquet(fixed)
+        .hint("rebalance", BUCKET)
         .sortWithinPartitions(BUCKET, *keys)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(BUCKET)
         .parquet(path)
     )
+    discard(spark, fixed)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

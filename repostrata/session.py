@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -16,8 +17,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join partition even where the aggregate above then needs a shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Upserts replace only the partitions they touch.
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -48,19 +47,46 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         folder = context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="repostrata-")
         context.setCheckpointDir(folder)
     return folder
 
 
+def _base(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/repostrata-{spark.sparkContext.applicationId}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder; those of one application lie together."""
-    base = f"{shared_dir(spark).rstrip('/')}/repostrata-{spark.sparkContext.applicationId}"
+    """A fresh path below the shared folder; those of one application lie together.
+
+    They are deleted when the application ends, or before that by ``release``.
+    """
+    base = _base(spark)
+    files, place = _file_system(spark, base)
+    files.mkdirs(place)
+    files.deleteOnExit(place)
     return f"{base}/{label}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application: results built on them must be written by now."""
+    files, place = _file_system(spark, _base(spark))
+    files.delete(place, True)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete one scratch table that no later plan reads."""
+    files, place = _file_system(spark, path)
+    files.delete(place, True)
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder so that later plans read one fixed result.
 
