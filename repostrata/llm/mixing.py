@@ -171,7 +171,8 @@ def slots(sources: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
                         block[here] = permuted(index[here] % r.n_blocks, r.n_blocks, key)
                     yield pd.DataFrame({"shard": r.shard, "slot": r.place + along, "number": r.number, "block": block})
 
-    return drawn.mapInPandas(fill, "shard int, slot long, number int, block long")
+    # Written, so that the planner knows how many rows grew out of the few drawn ones.
+    return pinned(drawn.mapInPandas(fill, "shard int, slot long, number int, block long"))
 
 
 def pieces(at: DataFrame, block: int = BLOCK) -> DataFrame:
