@@ -60,6 +60,12 @@ def _quantiles(ranks: DataFrame, sizes: DataFrame, probabilities: dict[str, floa
     return found.select("column", *[between(n, p).alias(n) for n, p in probabilities.items()])
 
 
+def quantiles(df: DataFrame, cols: Sequence[str], probabilities: dict[str, float]) -> DataFrame:
+    """Exact, interpolated quantiles per column under the given names."""
+    ranks = value_ranks(df, cols)
+    return _quantiles(ranks, ranks.groupBy("column").agg(F.sum("n").alias("count")), probabilities)
+
+
 def describe(df: DataFrame, cols: Sequence[str], accuracy: int | None = None) -> DataFrame:
     """Count, mean, standard deviation, minimum, quartiles and maximum per column.
 

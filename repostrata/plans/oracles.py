@@ -3,6 +3,10 @@
 Written from the definitions (windows, recursion, joins), not from the Spark plans.
 """
 
+from repostrata.functions.distributions import (
+    ACKLAM_BREAK, ACKLAM_MIDDLE, ACKLAM_TAIL, ROYSTON_LARGEST, ROYSTON_SECOND,
+)
+
 COMMITS = """
 commits as (
   select n_name as repo, o_orderkey as commit_hash, o_orderkey as seq, c_name as author_name,
@@ -216,6 +220,72 @@ _GIT_EXTRA = f""",
     where repo = t.repo group by l_partkey % 40)), 9) as average_hunks,
   'https://git.example/acme/' || t.repo || '.git' as repo_url"""
 
+_CHURN_ACROSS_RENAMES = (
+    _with(RENAMES, """
+moved as (
+  select cast(floor(l_partkey / 16) as bigint) as repo, l_partkey % 8 as path,
+    cast(floor(l_partkey / 16) * 16 + l_linenumber * 2 as bigint) as seq,
+    cast(l_quantity as bigint) - l_linenumber as churn
+  from lineitem),
+upcoming as (
+  select m.repo, m.path, m.seq, min(e.seq) as next from (select distinct repo, path, seq from moved) m
+  left join edges e on e.repo = m.repo and e.old_path = m.path and e.seq > m.seq group by 1, 2, 3)""", recursive=True)
+    + """select m.repo, coalesce(f.final_path, m.path) as path, cast(sum(churn) as bigint) as churn_total,
+  max(churn) as churn_max, avg(churn) as churn_avg
+from moved m join upcoming u on u.repo = m.repo and u.path = m.path and u.seq = m.seq
+left join finals f on f.repo = u.repo and f.seq = u.next group by 1, 2"""
+)
+
+
+def _horner(coefficients: tuple, x: str) -> str:
+    total = repr(coefficients[0])
+    for c in coefficients[1:]:
+        total = f"({total} * {x} + {c!r})"
+    return total
+
+
+def _score(position: str) -> str:
+    """Normal score of a 1-based position among ``n`` by the published approximation."""
+    p = f"(({position} - 0.375) / (n + 0.25))"
+    q, tail = f"({p} - 0.5)", f"sqrt(-2 * ln(least({p}, 1 - {p})))"
+    outer = f"{_horner(ACKLAM_TAIL[0], tail)} / {_horner(ACKLAM_TAIL[1], tail)}"
+    middle = f"{q} * {_horner(ACKLAM_MIDDLE[0], f'({q} * {q})')} / {_horner(ACKLAM_MIDDLE[1], f'({q} * {q})')}"
+    return f"case when {p} < {ACKLAM_BREAK} then {outer} when {p} > 1 - {ACKLAM_BREAK} then -({outer}) else {middle} end"
+
+
+def _power_sum(coefficients: tuple) -> str:
+    return " + ".join(f"{c!r} / power(n, {k / 2})" for k, c in enumerate(coefficients))
+
+
+# The Shapiro-Wilk statistic from all values in order, for more than five of them.
+_NORMALITY = f"""with metrics as {METRICS.replace(", 'l_discount', 'l_tax'", "").replace(", l_discount, l_tax", "")},
+placed as (select "column", value, row_number() over (partition by "column" order by value) as i,
+  count(*) over (partition by "column") as n from metrics),
+scored as (select *, {_score("i")} as m from placed),
+sums as (select "column", n, sum(m * m) as mm, sum(m * value) as mv, var_pop(value) * n as spread,
+  max(m) as top, max(m) filter (where i = n - 1) as second,
+  max(value) - min(value) as gap1,
+  max(value) filter (where i = n - 1) - max(value) filter (where i = 2) as gap2
+  from scored group by 1, 2),
+weights as (select *, top / sqrt(mm) + {_power_sum(ROYSTON_LARGEST)} as a1,
+  second / sqrt(mm) + {_power_sum(ROYSTON_SECOND)} as a2 from sums)
+select "column", n, round(power(a1 * gap1 + a2 * gap2 + (mv - top * gap1 - second * gap2)
+  / sqrt((mm - 2 * top * top - 2 * second * second) / (1 - 2 * a1 * a1 - 2 * a2 * a2)), 2) / spread, 6) as statistic
+from weights"""
+
+_CORRELATION_REPORT = """with ranked as (
+  select rank() over (order by o_totalprice) + (count(*) over (partition by o_totalprice) - 1) / 2 as x,
+    rank() over (order by o_custkey) + (count(*) over (partition by o_custkey) - 1) / 2 as y from orders),
+found as (select count(*) as n, corr(x, y) as r from ranked)
+select 'Spearman' as method, n, round(r, 6) as coefficient,
+  case when abs(r) > 0.7 then 'strong' when abs(r) > 0.3 then 'moderate' when abs(r) > 0.1 then 'weak' else 'no' end as strength,
+  case when r > 0 then 'positive' when r < 0 then 'negative' else 'none' end as direction
+from found"""
+
+_DESCRIBE_APPROXIMATELY = f"""select "column", count(*) as count, true as p25_close, true as p50_close, true as p75_close
+from {METRICS} group by 1"""
+
+
 ORACLES = {
     "url_keys": f"""select page_id, {_URL} as clean, list_last(string_split(rtrim({_URL}, '/'), '/')) as name,
   list_last(string_split(rtrim({_URL}, '/'), '/')) || 'hub' as legacy_name,
@@ -269,19 +339,8 @@ from lineitem""",
     "history_complexity": _with(CHANGES, _entropy("changes")) + """select repo, path,
   round(complexity, 9) as complexity from complexities""",
     "rename_identity": _with(RENAMES, recursive=True) + "select * from finals",
-    "churn_across_renames": _with(RENAMES, """
-moved as (
-  select cast(floor(l_partkey / 16) as bigint) as repo, l_partkey % 8 as path,
-    cast(floor(l_partkey / 16) * 16 + l_linenumber * 2 as bigint) as seq,
-    cast(l_quantity as bigint) - l_linenumber as churn
-  from lineitem),
-upcoming as (
-  select m.repo, m.path, m.seq, min(e.seq) as next from (select distinct repo, path, seq from moved) m
-  left join edges e on e.repo = m.repo and e.old_path = m.path and e.seq > m.seq group by 1, 2, 3)""", recursive=True)
-    + """select m.repo, coalesce(f.final_path, m.path) as path, cast(sum(churn) as bigint) as churn_total,
-  max(churn) as churn_max, avg(churn) as churn_avg
-from moved m join upcoming u on u.repo = m.repo and u.path = m.path and u.seq = m.seq
-left join finals f on f.repo = u.repo and f.seq = u.next group by 1, 2""",
+    "churn_across_renames": _CHURN_ACROSS_RENAMES,
+    "churn_with_tied_renames": _CHURN_ACROSS_RENAMES,
     "git_table": _git("true", "added - deleted", _GIT_EXTRA),
     "git_table_window": _git(
         "committer_date between timestamp '1996-01-01' and timestamp '2000-06-30'", "added + deleted", ""
@@ -412,4 +471,7 @@ from {_ranked('l_quantity', 'l_extendedprice')}""",
   case when abs(r) > 0.7 then 'strong' when abs(r) > 0.3 then 'moderate' when abs(r) > 0.1 then 'weak' else 'no' end as strength,
   case when r > 0 then 'positive' when r < 0 then 'negative' else 'none' end as direction
 from (select count(*) as n, corr(rx, ry) as r from {_ranked('l_quantity', 'l_discount')})""",
+    "normality": _NORMALITY,
+    "correlation_report": _CORRELATION_REPORT,
+    "describe_approximately": _DESCRIBE_APPROXIMATELY,
 }

@@ -196,6 +196,14 @@ def rename_identity(t: TestTables) -> DataFrame:
     return renames.canonical_paths(t.rename_edges())
 
 
+@registered
+def churn_with_tied_renames(t: TestTables) -> DataFrame:
+    """As below, when every rename is recorded a second time with another, larger target."""
+    edges = t.rename_edges()
+    tied = edges.unionByName(edges.withColumn("new_path", F.col("new_path") + 100))
+    return history.file_churn(renames.apply_renames(t.moved_changes(), tied))
+
+
 @registered
 def churn_across_renames(t: TestTables) -> DataFrame:
     return history.file_churn(renames.apply_renames(t.moved_changes(), t.rename_edges()))
@@ -484,9 +492,31 @@ def correlation_words(t: TestTables) -> DataFrame:
 
 @registered
 def normality(t: TestTables) -> DataFrame:
-    return rounded(stats.shapiro(t.raw("lineitem"), ["l_quantity", "l_extendedprice"]), 6)
+    return rounded(stats.shapiro(t.raw("lineitem"), ["l_quantity", "l_extendedprice"]).drop("p_value"), 6)
+
+
+@registered
+def normality_p_values(t: TestTables) -> DataFrame:
+    """P-values of smaller groups of rows: order prices, one column per order status."""
+    prices = [F.when(F.col("o_orderstatus") == s, F.col("o_totalprice")).alias(f"price_{s}") for s in ("F", "O", "P")]
+    return rounded(stats.shapiro(t.raw("orders").select(*prices), ["price_F", "price_O", "price_P"]), 6)
 
 
 @registered
 def correlation_report(t: TestTables) -> DataFrame:
-    return rounded(stats.correlate(t.raw("orders"), "o_totalprice", "o_custkey"), 6)
+    found = stats.correlate(t.raw("orders"), "o_totalprice", "o_custkey")
+    return rounded(found.drop("p_value", "significant"), 6)
+
+
+@registered
+def describe_approximately(t: TestTables) -> DataFrame:
+    """Whether each approximate quartile lies between exact ones half a per cent of the rows away."""
+    rows = t.raw("lineitem")
+    rough = stats.describe(rows, _METRICS, accuracy=1000)
+    exact = {}
+    for name, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
+        exact[f"{name}_low"], exact[f"{name}_high"] = p - 0.005, p + 0.005
+    bounds = stats.quantiles(rows, _METRICS, exact)
+    joined = rough.join(bounds, "column")
+    inside = [F.col(q).between(F.col(f"{q}_low"), F.col(f"{q}_high")).alias(f"{q}_close") for q in ("p25", "p50", "p75")]
+    return joined.select("column", "count", *inside)
