@@ -130,4 +130,3 @@ def test_correlate_chooses_the_method(spark):
     assert (normal.method, normal.strength, normal.direction, normal.significant) == ("Pearson", "strong", "positive", True)
     ranked = stats.correlate(df, "x", "skew").first()
     assert (ranked.method, ranked.coefficient, ranked.direction) == ("Spearman", pytest.approx(-1.0), "negative")
-    )
