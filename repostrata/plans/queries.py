@@ -15,6 +15,7 @@ from repostrata.operators import (
     complexity, diffs, history, lint, metadata, ownership, renames, stars, stats, testcode, upsert,
 )
 from repostrata.plans import tables
+from repostrata.plans.api import analyze
 from repostrata.session import pinned, scratch_path, tune
 from repostrata.sources import readers, writers
 from repostrata.sources.adapters import TestTables
@@ -383,6 +384,35 @@ def stream_upsert(t: TestTables) -> DataFrame:
     return upsert.read_table(t.spark, path).select("repo", text_of("day"), "batch", "value")
 
 
+def _results(t: TestTables) -> dict[str, DataFrame]:
+    facts = {
+        "commits": t.commits(), "file_changes": t.file_changes(), "lint_stats": t.lint_stats(),
+        "lint_messages": t.lint_messages(), "message_ids": t.message_ids(), "star_events": t.star_events(),
+    }
+    return analyze(facts, ["git", "lint", "stars"], author="author_id")
+
+
+@registered
+def analyze_all(t: TestTables) -> DataFrame:
+    """Rows of each result table of several analyses."""
+    counts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("result"), "rows") for name, df in _results(t).items()]
+    found = counts[0]
+    for more in counts[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+@registered
+def outputs_upsert(t: TestTables) -> DataFrame:
+    """Star growth stored twice, the second time with one more than counted, and read back."""
+    path = scratch_path(t.spark, "outputs")
+    growth = stars.growth_long(t.star_events())
+    writers.upsert_outputs({"star_growth": growth}, path, buckets=4)
+    later = growth.where("repo <> 'click'").withColumn("stargazers_count", F.col("stargazers_count") + 1)
+    written = writers.upsert_outputs({"star_growth": later}, path, buckets=4)
+    return upsert.read_table(t.spark, written["star_growth"]).select("repo", text_of("date"), "stargazers_count")
+
+
 @registered
 def new_repositories(t: TestTables) -> DataFrame:
     incoming = t.raw("orders").select(F.col("o_orderkey").alias("repo"))

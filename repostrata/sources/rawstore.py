@@ -127,9 +127,12 @@ class RawStore:
             return None
 
     def _append(self, table: str, rows: DataFrame, run_ts: str) -> None:
+        """The rows of a run; a retried run replaces what it wrote before."""
         rows.withColumnRenamed("repo", "repository_name").withColumnRenamed("commit_hash", "hash").withColumn(
             "run_ts", F.lit(run_ts)
-        ).write.mode("append").partitionBy("run_ts").parquet(f"{self.path}/{table}")
+        ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_ts").parquet(
+            f"{self.path}/{table}"
+        )
 
     def add_repositories(self, repos: DataFrame) -> None:
         """Insert the repositories that are not there yet."""

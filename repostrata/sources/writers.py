@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from repostrata.operators.upsert import merge
+from repostrata.operators.upsert import merge, upsert_table
 from repostrata.session import pinned
 
 FORMATS = ("csv", "json", "parquet")
@@ -84,3 +84,29 @@ def write_outputs(
             else:
                 df.write.mode("overwrite").parquet(target)
     return written
+
+
+# What makes a row of each result table of ``analyze`` unique.
+RESULT_KEYS = {
+    "git": ("repo",),
+    "git_developers": ("repo", "position"),
+    "lint_rows": ("repo", "commit_hash", "key"),
+    "lint": ("repo", "commit_hash"),
+    "test": ("repo", "commit_hash"),
+    "star_growth": ("repo", "date"),
+    "metadata": ("repo",),
+}
+
+
+def upsert_outputs(tables: dict[str, DataFrame], path: str, buckets: int = 64) -> dict[str, str]:
+    """Merge every result of ``analyze`` into its stored table below ``path``; returns the folders.
+
+    A repeated run replaces the rows with its keys and leaves all others; see ``upsert_table``.
+    The wide star table, whose columns are repositories, is kept as ``star_growth`` rows only.
+    """
+    written = {}
+    for name, keys in RESULT_KEYS.items():
+        if name in tables:
+            written[name] = f"{path.rstrip('/')}/{name}"
+            upsert_table(tables[name], written[name], keys, buckets=buckets)
+    return written

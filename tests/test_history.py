@@ -188,3 +188,12 @@ def test_git_table_follows_renames(spark, commits, changes):
     edges = spark.createDataFrame([("r", "b", "a", 2)], EDGES)
     r = tables.git_table(commits, changes, renames=edges).where("repo = 'r'").first()
     assert r.average_lines_added_to_files == 24.0
+
+
+def test_tied_renames_keep_the_number_of_changes(spark, commits, changes, rows):
+    """Of two renames of a path in one commit the smaller target counts."""
+    edges = spark.createDataFrame([("r", "b", "d", 2), ("r", "b", "c", 2), ("r", "c", "e", 3), ("r", "c", "e", 3)], EDGES)
+    attached = history.attach_commits(commits, changes, ["seq"])
+    moved = renames.apply_renames(attached, edges)
+    assert moved.count() == attached.count()
+    assert {r.path for r in moved.collect()} <= {"a", "b", "c", "e"}

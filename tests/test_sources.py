@@ -1,10 +1,11 @@
+import csv
 import json
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from repostrata.session import shared_dir, tune
+from repostrata.session import discard, pinned, shared_dir, tune
 from repostrata.sources import readers, writers
 from repostrata.sources.rawstore import RawStore, in_parts
 
@@ -119,6 +120,9 @@ def test_raw_store(spark, tmp_path, rows):
         store.append_tests(files, commits, run)
         store.append_lints(messages, stats, run)
 
+    before = store.read("metadata").count()
+    store.append_metadata(docs, "2024-01-01_00-01")  # a retried run replaces its own rows
+    assert store.read("metadata").count() == before == 2
     assert rows(store.read("repositories")) == [("g",), ("r",)]
     assert rows(store.read("metadata"), "repository_name", "data", "run_ts") == [
         ("r", '{"a":1}', "2024-01-01_00-00"), ("r", '{"a":1}', "2024-01-01_00-01"),
@@ -173,3 +177,25 @@ def test_tune_sizes_shuffles(spark):
         assert spark.conf.get("spark.sql.shuffle.partitions") == "80"
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_csv_text_keeps_its_shape(spark, tmp_path, rows):
+    path = str(tmp_path / "csv")
+    data = [("a", 'line1\nline2, "q"', ["x", 'y"z']), ("b", "back\\slash", [])]
+    writers.write_csv(spark.createDataFrame(data, "repo string, t string, l array<string>"), path, ["repo"])
+    want = [("a", data[0][1], '["x","y\\"z"]'), ("b", data[1][1], "[]")]
+    assert rows(readers.read_csv(spark, path, "repo string, t string, l string")) == want
+    read = []
+    for part in sorted((tmp_path / "csv").glob("*.csv")):
+        with open(part, newline="") as file:
+            read += [tuple(r) for r in csv.reader(file)][1:]
+    assert sorted(read) == want
+
+
+def test_scratch_tables_can_be_released(spark):
+    kept = pinned(spark.range(3))
+    assert kept.count() == 3
+    where = kept.inputFiles()[0].rpartition("/")[0]
+    discard(spark, where)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(where)
