@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 # Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,3 +49,28 @@ def keep_rows(docs: DataFrame, decide: Callable[[pa.RecordBatch], list[bool]]) -
             yield batch.filter(pa.array(decide(batch), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+_SCALE = 1 << 30
+
+
+def sampled(rows: DataFrame, by: str, need: dict | int) -> DataFrame:
+    """At most ``need`` rows per value of ``by``, those with the smallest hashes of ``doc_id``.
+
+    Values are few: their counts come to the driver. They set a share of the hashes within
+    which three times as many rows as needed are expected, so that what is ranked stays small
+    however many tasks there are. Equal rows count once.
+    """
+    sizes = {r[0]: r[1] for r in rows.groupBy(by).count().collect()}
+    share, most = F.lit(0), F.lit(0)
+    for value, size in sizes.items():
+        wanted = need if isinstance(need, int) else need.get(value, 0)
+        same = F.col(by) == F.lit(value)
+        share = F.when(same, min(_SCALE, math.ceil(3 * wanted * _SCALE / size))).otherwise(share)
+        most = F.when(same, wanted).otherwise(most)
+    digest = F.xxhash64("doc_id", F.lit("sample"))
+    near = rows.where(F.pmod(digest, F.lit(_SCALE)) < share).distinct()
+    place, wanted = fresh("place", rows), fresh("most", rows)
+    order = Window.partitionBy(by).orderBy(F.pmod(digest, F.lit(_SCALE)), "doc_id")
+    ranked = near.withColumn(place, F.row_number().over(order)).withColumn(wanted, most)
+    return ranked.where(F.col(place) <= F.col(wanted)).drop(place, wanted)

@@ -15,9 +15,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
-from repostrata.llm.common import as_bytes, settle
+from repostrata.llm.common import as_bytes, sampled, settle
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -40,17 +39,12 @@ def sample_windows(docs: DataFrame, allowed: Column, per_lang: int = 1500, windo
     Which documents, and where in the text the piece begins, follow from a hash of the id,
     so reruns agree. A piece has at most ``window`` characters, which bounds the sample.
     """
-    ranked = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     spread = F.greatest(F.length("text") - window, F.lit(0)) + 1
     start = (F.pmod(F.xxhash64("doc_id", F.lit("start")), spread) + 1).cast("int")
-    rows = (
-        docs.where(allowed & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-        .select("lang", "doc_id", F.col("text").substr(start, F.lit(window)).alias("piece"))
-        .withColumn("n", F.row_number().over(ranked))
-        .where(F.col("n") <= per_lang)
-        .select("lang", "piece", "n")
-    )
-    return sorted((r.lang, r.n, r.piece) for r in rows.collect())
+    piece = F.col("text").substr(start, F.lit(window)).alias("piece")
+    labelled = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", piece)
+    rows = sampled(labelled, "lang", per_lang).where(F.col("piece").rlike(r"\p{L}"))
+    return sorted((r.lang, r.doc_id, r.piece) for r in rows.collect())
 
 
 def _windows(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

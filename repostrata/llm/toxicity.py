@@ -15,9 +15,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
-from repostrata.llm.common import keep_rows, settle
+from repostrata.llm.common import keep_rows, sampled, settle
 from repostrata.llm.deobfuscation import CLASSES, CharModel, deobfuscate, trigrams
 from repostrata.session import pinned
 
@@ -62,11 +61,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column) -> Data
     """
     known = labels.where(allowed & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ranked = known.withColumn(
-        "n", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    )
-    most = F.when(F.col("toxic") == 1, SAMPLE[1]).otherwise(SAMPLE[0])
-    chosen = ranked.where(F.col("n") <= most).select("doc_id", "toxic")
+    chosen = sampled(known, "toxic", SAMPLE)
     texts = docs.select("doc_id", "text").join(F.broadcast(pinned(chosen)), "doc_id")
     return texts.select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).alias("half"))
 
