@@ -85,29 +85,32 @@ def _discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05 * k), 0.95 * k) for k, d in zip((1, 2, 3), raw))
 
 
-def model_levels(grams: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
+def model_levels(grams: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame | float]]:
     """For lengths ``order`` down to 1: ``(gram, alpha)`` and ``(context, gamma)``.
 
     ``alpha`` is the discounted probability of a seen n-gram, ``gamma`` the weight that its
-    context leaves to the shorter one. Shorter n-grams count how many bytes they follow.
+    context leaves to the shorter one; single bytes have one context, whose gamma is a number.
+    Shorter n-grams count how many bytes they follow.
     """
     levels, counts = [], grams
     for length in range(order, 0, -1):
         counts = pinned(counts)
         d1, d2, d3 = _discounts(counts)
         discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        context = F.shiftright("gram", 8) if length > 1 else F.lit(0).cast("long")
-        totals = counts.groupBy(context.alias("context")).agg(
-            F.sum("n").alias("total"), F.sum(discount).alias("given")
-        )
-        totals = pinned(totals)
+        sums = [F.sum("n").alias("total"), F.sum(discount).alias("given")]
+        if length == 1:
+            row = counts.agg(*sums).head()
+            share = (F.col("n") - discount) / F.lit(float(row.total or 1))
+            levels.append((counts.select("gram", share.alias("alpha")), row.given / row.total if row.total else 1.0))
+            break
+        context = F.shiftright("gram", 8)
+        totals = pinned(counts.groupBy(context.alias("context")).agg(*sums))
         gamma = totals.select("context", (F.col("given") / F.col("total")).alias("gamma"))
         seen = counts.withColumn("context", context).join(totals, "context")
         alpha = seen.select("gram", ((F.col("n") - discount) / F.col("total")).alias("alpha"))
         levels.append((alpha, gamma))
-        if length > 1:
-            shorter = F.col("gram").bitwiseAND((1 << 8 * (length - 1)) - 1)
-            counts = counts.groupBy(shorter.alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        shorter = F.col("gram").bitwiseAND((1 << 8 * (length - 1)) - 1)
+        counts = counts.groupBy(shorter.alias("gram")).agg(F.count(F.lit(1)).alias("n"))
     return levels
 
 
@@ -117,10 +120,13 @@ def probabilities(wanted: DataFrame, grams: DataFrame, order: int = ORDER) -> Da
     lengths = list(range(order, 0, -1))
     for length, (alpha, gamma) in zip(lengths, model_levels(grams, order)):
         tail = F.col("gram").bitwiseAND((1 << 8 * length) - 1)
-        context = F.shiftright(tail, 8) if length > 1 else F.lit(0).cast("long")
-        known = known.withColumn("tail", tail).withColumn("context", context)
+        known = known.withColumn("tail", tail).withColumn("context", F.shiftright(tail, 8))
         known = known.join(alpha.select(F.col("gram").alias("tail"), F.col("alpha").alias(f"a{length}")), "tail", "left")
-        known = known.join(gamma.withColumnRenamed("gamma", f"g{length}"), "context", "left").drop("tail", "context")
+        if isinstance(gamma, float):
+            known = known.withColumn(f"g{length}", F.lit(gamma))
+        else:
+            known = known.join(gamma.withColumnRenamed("gamma", f"g{length}"), "context", "left")
+        known = known.drop("tail", "context")
     # From the uniform distribution upwards; an unseen context passes everything on.
     chance: Column = reduce(
         lambda lower, n: F.coalesce(f"a{n}", F.lit(0.0)) + F.coalesce(f"g{n}", F.lit(1.0)) * lower,
