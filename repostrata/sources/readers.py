@@ -8,6 +8,7 @@ from repostrata.functions.documents import flatten_document, utc_timestamp
 from repostrata.functions.keys import clean_url, relative_path
 from repostrata.schemas import CANONICAL
 
+# Field names of stored star documents.
 _EDGES = (
     "data STRUCT<repository: STRUCT<stargazers: STRUCT<edges:"
     " ARRAY<STRUCT<cursor: STRING, starredAt: STRING, node: STRUCT<login: STRING>>>>>>"

@@ -30,11 +30,11 @@ def one(spark, value, column):
 
 
 @pytest.mark.parametrize(
-    "value", ["https://github.com/user/repo_name.git", "https://github.com/user/repo_name/",
-              "https://github.com/user/repo_name", "C:\\path\\to\\repo_name", "/path/to/repo_name/"]
+    "value", ["https://git.example/ada/engine.git", "https://git.example/ada/engine/",
+              "https://git.example/ada/engine", "D:\\src\\engine", "/srv/src/engine/"]
 )
 def test_repo_name(spark, value):
-    assert one(spark, value, keys.repo_name) == "repo_name"
+    assert one(spark, value, keys.repo_name) == "engine"
 
 
 def test_repo_name_keeps_git_inside_unless_legacy(spark):
@@ -44,10 +44,10 @@ def test_repo_name_keeps_git_inside_unless_legacy(spark):
 
 
 def test_owner_paths_and_clean_url(spark):
-    assert one(spark, "https://github.com/owner_name/repo_name", keys.repo_owner) == "owner_name"
+    assert one(spark, "https://git.example/ada/engine", keys.repo_owner) == "ada"
     assert one(spark, "repo", keys.repo_owner) is None
-    assert one(spark, "/base/repo/subfolder/file.py", lambda c: keys.relative_path(c, "/base/repo")) == "subfolder/file.py"
-    assert one(spark, "https://github.com/u/repo_name", lambda c: keys.repo_path(c, "/base/repo")) == "/base/repo/repo_name"
+    assert one(spark, "/srv/engine/core/mill.py", lambda c: keys.relative_path(c, "/srv/engine")) == "core/mill.py"
+    assert one(spark, "https://git.example/u/engine", lambda c: keys.repo_path(c, "/srv")) == "/srv/engine"
     assert one(spark, "https://h/u/r.git/", keys.clean_url) == "https://h/u/r.git"
     assert one(spark, "\n  https://h/u/r \n", keys.clean_url) == "https://h/u/r"
 
