@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from repostrata.llm import near_copies
 from repostrata.llm.common import as_bytes, fresh, settle
 from repostrata.llm.components import components
 from repostrata.session import pinned
@@ -224,8 +225,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     The row with the smallest id stays. Of several rows with that id, and of the rows of a
     group without ids, one stays. Other columns are never read, whatever they are called.
     """
-    grouped = pinned(groups(docs, id_col, text_col))
-    kept = grouped.where("doc_id <=> component_id").groupBy("component_id", "fp").agg(F.count(F.lit(1)).alias("n"))
+    grouped = pinned(near_copies.groups(docs, id_col, text_col))
+    kept = grouped.where("doc_id <=> component_id").groupBy("component_id", "node").agg(F.count(F.lit(1)).alias("n"))
     nameless = kept.where("component_id is null")
     clear = kept.where("component_id is not null").groupBy("component_id").agg(F.sum("n").alias("n"))
     name = fresh("keep_id", docs)
@@ -249,6 +250,6 @@ def _nameless(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     numbered = pinned(without.withColumn(key, F.monotonically_increasing_id()))
     # Rows with an id count as number -1, so a group that has one is not answered for here.
     others = docs.where(F.col(id_col).isNotNull()).select(F.lit(-1).cast("long").alias(key), text_col)
-    prints = groups(numbered.select(key, text_col).unionByName(others), key, text_col)
+    prints = near_copies.groups(numbered.select(key, text_col).unionByName(others), key, text_col)
     keep = prints.where("component_id >= 0").select(F.col("component_id").alias(key)).distinct()
     return numbered.join(keep, key, "left_semi").drop(key)
