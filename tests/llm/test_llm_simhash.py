@@ -105,3 +105,11 @@ def test_whole_table_by_brute_force(spark):
     want = roots(ids, links)
     assert {i: found[i].fp & (1 << 64) - 1 for i in ids} == prints
     assert {i: found[i].component_id for i in ids} == want
+
+
+def test_digest_of_many_links_does_not_overflow(spark):
+    from repostrata.llm.components import _digest
+
+    edges = spark.range(1_000_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert _digest(edges)[0] == 1_000_000
+    assert _digest(edges.where("a > 0"))[1:] != _digest(edges)[1:]
