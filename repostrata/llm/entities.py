@@ -50,7 +50,9 @@ _KEPT_PREFIX = re.compile(r"AKIA|ASIA|gh[pousr]_|sk-|pk_|xox[abpr]-")
 
 
 # What a text must hold before the patterns above are worth a try.
-_NAMES = frozenset(name.encode() for name in [*_TITLE, *_GIVEN])
+_NAME_WORDS = frozenset([*_TITLE, *_GIVEN])
+_NAMES = frozenset(name.encode() for name in _NAME_WORDS)
+_WORD = re.compile(r"\w+")
 _SPLIT = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _DIGIT = re.compile(r"\d")
 
@@ -89,15 +91,24 @@ def find(text: str) -> list[Mention]:
             if value:
                 found.append(Mention(value.start(1), value.end(1), "secret", value[1]))
             at = text.find(sign, at + 1)
+    found += [Mention(m.start(), m.end(), "secret", m[0]) for m in _PREFIXED.finditer(text)]
     if _DIGIT.search(text):
         found += _numbers(text)
-    if not _NAMES.isdisjoint(text.encode("utf-8", "replace").translate(_SPLIT).split()):
+    if _may_name(text):
         found += _people(text)
     return _settled(found)
 
 
+def _may_name(text: str) -> bool:
+    """Whether a title or given name stands as a word of its own, as every match of ``_PERSON`` needs."""
+    if not _NAMES.isdisjoint(text.encode("utf-8", "replace").translate(_SPLIT).split()):
+        return True
+    # Quotes and dashes outside ASCII are not blanks to the bytes above.
+    return not text.isascii() and not _NAME_WORDS.isdisjoint(_WORD.findall(text))
+
+
 def _numbers(text: str) -> list[Mention]:
-    found = [Mention(m.start(), m.end(), "secret", m[0]) for m in _PREFIXED.finditer(text)]
+    found = []
     for m in _IBAN.finditer(text):
         plain = m[0].replace(" ", "")
         if _mod97(plain) == 1:

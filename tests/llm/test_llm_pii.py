@@ -70,3 +70,9 @@ def test_clashes_are_drawn_again(spark):
     values = [r.value for r in got]
     assert len(got) == len(set(values)) == 3000
     assert not set(values) & {f"{i:04d}" for i in range(3000)}
+
+
+def test_gates_never_hide_a_match():
+    for text in ("“Mr Smith” came", "«Анна Иванова» пришла", "so—Mary Jones—said", "“Dr. Weber”"):
+        assert entities._PERSON.search(text) and any(m.kind == "surname" for m in entities.find(text))
+    assert [m.kind for m in entities.find("key sk-abcdefghijklmnopqrst end")] == ["secret"]
