@@ -28,11 +28,16 @@ _STRETCH = re.compile(
     rf"|(?:{_LETTER}|[{_SIGNS}])*(?:{_LETTER}[{_SIGNS}{_JOINERS}]+{_LETTER}|({_LETTER})\1\1"
     rf"|(?<!\S)[{_SIGNS}]+{_LETTER}{{2}}|{_LETTER}{{2}}[{_SIGNS}]{{1,2}}(?=$|[\s.,;:?]))(?:{_LETTER}|[{_SIGNS}{_JOINERS}]+(?={_LETTER})|[{_SIGNS}])*",
 )
-# Kinds of bytes for the hint: letters (and any non-ASCII character), signs, joiners, the rest.
-_KIND = np.zeros(256, np.uint8)
-_KIND[97:123] = _KIND[128:] = 1
-_KIND[[ord(c) for c in LEET if ord(c) < 128]] = 2
-_KIND[[ord(c) for c in ".-_~'"]] = 3
+# What the characters of the pattern above are to the hint, by code point; the last entry is for
+# all beyond the first 65,536, which may be letters or not.
+_IS_LETTER, _IS_SIGN, _IS_JOINER, _IS_WORD = 1, 2, 4, 8
+_KIND = np.zeros(1 << 16, np.uint8)
+for _c in map(chr, range(len(_KIND))):
+    if _c.isalnum():
+        _KIND[ord(_c)] = _IS_WORD if _c.isdecimal() else _IS_WORD | _IS_LETTER
+_KIND[[ord(c) for c in LEET]] |= _IS_SIGN
+_KIND[[ord(c) for c in _JOINERS if c != "\\"]] |= _IS_JOINER
+_KIND[-1] = _IS_LETTER
 # Costs in natural logarithms; a sign left as it is, or a gap kept, breaks the word.
 SIGN, DROP, LOSE, KEEP, REPEAT, GAP_KEPT = 1.0, 0.5, 14.0, 16.0, 1.5, 3.0
 CLASSES = 128
@@ -130,17 +135,19 @@ def restore(stretch: str, model: CharModel) -> str:
 
 def _hinted(text: str) -> np.ndarray:
     """Numbers of the lines in which a disguise may stand; lines without one are left out."""
-    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    raw = raw[(raw & 0xC0) != 0x80]  # one byte per character
-    raw = np.r_[raw, np.zeros(3, np.uint8)].astype(np.uint8)
-    kind = _KIND[raw]
-    a, b, c = kind[:-3], kind[1:-2], kind[2:-1]
-    close = ((a == 1) & (b == 2)) | ((a == 2) & (b == 1))
-    joined = (a == 1) & (b == 3) & (c != 0)
-    same = (a == 1) & (raw[:-3] == raw[1:-2]) & (raw[:-3] == raw[2:-1])
-    sound, gap = (kind == 1) | (kind == 2), raw == 32
-    before = np.r_[True, ~sound[:-4]]
-    spaced = before & sound[:-3] & gap[1:-2] & sound[2:-1] & gap[3:]
+    raw = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    raw = np.r_[raw, np.zeros(5, np.uint32)].astype(np.uint32)
+    kind = _KIND[np.minimum(raw, len(_KIND) - 1)]
+    letter, sign, joiner = ((kind & bit) > 0 for bit in (_IS_LETTER, _IS_SIGN, _IS_JOINER))
+    sound, gap = letter | sign, joiner | (raw == 32)
+    size = len(raw) - 5
+    s, g = ([values[i : i + size] for i in range(6)] for values in (sound, gap))
+    close = (letter[:size] & sign[1 : size + 1]) | (sign[:size] & letter[1 : size + 1])
+    joined = letter[:size] & joiner[1 : size + 1] & (s[2] | joiner[2 : size + 2])
+    same = letter[:size] & (raw[:size] == raw[1 : size + 1]) & (raw[:size] == raw[2 : size + 2])
+    before = np.r_[True, (kind[: size - 1] & _IS_WORD) == 0][:size]
+    after = (s[2] & g[3]) | (g[2] & s[3] & g[4]) | (g[2] & g[3] & s[4] & g[5])
+    spaced = before & s[0] & g[1] & after
     hits = np.flatnonzero(close | joined | same | spaced)
     if not len(hits):
         return hits

@@ -94,3 +94,16 @@ def test_edge_cases(spark, learned):
     assert toxicity.scores(docs.limit(0), learned).collect() == []
     blank = toxicity.fit(docs, spark.createDataFrame([(1, None)], "doc_id long, toxic int"), F.lit(True))
     assert toxicity.scores(docs, blank).agg(F.max("score")).head()[0] == 0.0
+
+
+def test_hint_covers_every_disguised_stretch():
+    import random
+
+    from repostrata.llm.deobfuscation import _STRETCH, _hinted
+
+    rng = random.Random(4)
+    lines = ["i·d·i·o·t", "b§tch", "id¡ot", "i - d - i - o - t", "i’d’i", "£ove", "1-2-3", "@i d i", "é é é", "a\U0001d41ac"]
+    assert all(_STRETCH.search(line) for line in lines[:6])
+    lines += ["".join(rng.choices("aaбß 1@§€·’-_.~ \U0001f600²\t", k=rng.randint(1, 9))) for _ in range(40_000)]
+    for line in lines:
+        assert not _STRETCH.search(line) or _hinted(line).tolist() == [0], line
