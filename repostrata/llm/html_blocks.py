@@ -12,7 +12,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe noembed noframes template svg math".split())
 DROPPED = frozenset(
     "head nav footer aside form script style title textarea noscript iframe noembed noframes template svg math "
-    "button select option label input fieldset dialog menu object canvas audio video figcaption".split()
+    "button select option label input fieldset dialog menu object canvas audio video".split()
 )
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption "
@@ -30,6 +30,10 @@ UNWANTED = frozenset(
     "promotion promoted recommended related respond share sharing sidebar signup skip social sponsor sponsored "
     "subscribe tags-nav toc toolbar widget alert complementary contentinfo search".split()
 )
+# These hold the article, whatever their classes say of the page.
+NEVER_UNWANTED = frozenset("html body main article".split())
+# First words of classes that tell of a layout, not of the element itself.
+STATES = frozenset("has no with without left right".split())
 _TOKEN = re.compile(
     r"<(?:(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*|[^>]*)(?:>|\Z)"
     r"|!--.*?(?:-->|\Z)|!\[CDATA\[(.*?)(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z))",
@@ -79,6 +83,8 @@ def unwanted(attributes: str) -> bool:
     for match in _MARKS.finditer(attributes):
         for token in _first(match).lower().split():
             words = _WORDS.findall(token)
+            if words and words[0] in STATES and len(words) > 1:
+                continue
             if token in UNWANTED or (words and (words[0] in UNWANTED or words[-1] in UNWANTED)):
                 return True
     return False
@@ -98,11 +104,18 @@ def _end(name: str) -> re.Pattern:
 
 
 def read(source: str) -> Page:
+    """The page by ``_read``, and by tags alone if its classes leave nothing."""
+    page = _read(source, True)
+    return page if page.blocks else _read(source, False)
+
+
+def _read(source: str, by_class: bool) -> Page:
     """Containers and text blocks of a page, boilerplate left out.
 
     Open tags are closed where HTML closes them or where an ancestor ends; stray end tags
     are ignored, and a page may break off anywhere. White space in a block becomes one
-    space. A header element is boilerplate unless it stands inside an article.
+    space. A header element, and a figure's caption, is boilerplate unless it stands inside an
+    article.
     """
     page, stack, buffer, linked = Page(), [], [], 0
     root = Element("", "", True, False, None, False)
@@ -172,7 +185,9 @@ def read(source: str) -> Page:
             at = end.end() if end else len(source)
             continue
         inside = top.article or name in ("article", "main")
-        refused = name in DROPPED or name == "header" and not top.article or attributes and unwanted(attributes)
+        refused = name in DROPPED or name in ("header", "figcaption") and not top.article
+        if by_class and attributes and name not in NEVER_UNWANTED:
+            refused = refused or unwanted(attributes)
         path = f"{top.path}>{step(name, attributes)}" if name in CONTAINERS else top.path
         container = top.container
         if name in CONTAINERS and top.wanted and not refused:

@@ -57,3 +57,16 @@ def test_whole_table_gives_the_articles(spark):
         parts = re.split(r"</?(?:p|br|h1)>", article[1])
         lines = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", p)).split()) for p in parts)
         assert got[page.page_id] == "\n".join(line for line in lines if line)
+
+
+def test_layout_classes_do_not_hide_the_page():
+    for source in (
+        '<body class="right-sidebar"><article><p>whole text</article></body>',
+        '<body class="has-sidebar"><div><p>whole text</div></body>',
+        '<body><main class="no-sidebar"><p>whole text</main></body>',
+        '<body><article class="no-comments"><p>whole text</article></body>',
+        '<body><div class="promo-story"><p>whole text</div></body>',
+        '<body><article><figure><img><figcaption>whole text</figcaption></figure></article></body>',
+    ):
+        assert text_of(source) == "whole text"
+    assert text_of('<article><p>text</p><div class="sidebar">x</div></article>') == "text"
