@@ -34,6 +34,7 @@ UNWANTED = frozenset(
 NEVER_UNWANTED = frozenset("html body main article".split())
 # First words of classes that tell of a layout, not of the element itself.
 STATES = frozenset("has no with without left right".split())
+SUBSTANTIAL = 0.05  # share of a page's text from which a container's own text may be a part of the article
 _TOKEN = re.compile(
     r"<(?:(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*|[^>]*)(?:>|\Z)"
     r"|!--.*?(?:-->|\Z)|!\[CDATA\[(.*?)(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z))",
@@ -227,11 +228,42 @@ def scores(page: Page) -> list[tuple[str, float]]:
     return sorted(((p, w / whole) for p, w in total.items() if w), key=lambda x: (-x[1], x[0].count(">"), x[0]))
 
 
-def extract(page: Page, path: str) -> str | None:
-    """Blocks inside the containers at ``path`` in page order, or None if the page has none."""
-    chosen = [False] * len(page.containers)
+def shares(page: Page) -> dict[str, float]:
+    """For each container path, the share of the page's unlinked text that stands in it directly."""
+    whole = sum(len(text) - linked for _, text, linked in page.blocks)
+    out = {path: 0.0 for path, _ in page.containers}
+    for container, text, linked in page.blocks:
+        if container is not None and whole:
+            out[page.containers[container][0]] += (len(text) - linked) / whole
+    return out
+
+
+def extract(page: Page, path: str | None, more: frozenset[str] = frozenset()) -> str | None:
+    """Blocks inside the containers at ``path`` or ``more`` in page order, or None if the page has none.
+
+    Of containers in ``more`` that lie around one at ``path``, only their own text counts.
+    Where a container stands in an article, or else in a main element, all of that belongs.
+    """
+    size = len(page.containers)
+    around, whole = [False] * size, [None] * size
+    for i in range(size - 1, -1, -1):
+        own, parent = page.containers[i]
+        if parent is not None and (around[i] or own == path):
+            around[parent] = True
+    chosen, direct = [False] * size, [False] * size
     for i, (own, parent) in enumerate(page.containers):
-        chosen[i] = own == path or parent is not None and chosen[parent]
-    if not any(chosen):
+        name = own.rpartition(">")[2].partition(".")[0]
+        above = whole[parent] if parent is not None else None
+        if name in ("article", "main") and (above is None or name == "article" and above[0] == "main"):
+            above = (name, i)
+        whole[i] = above
+        direct[i] = own in more
+        chosen[i] = own == path or own in more and not around[i]
+    for i in range(size):
+        if chosen[i] and whole[i] is not None:
+            chosen[whole[i][1]] = True
+    for i, (_, parent) in enumerate(page.containers):
+        chosen[i] = chosen[i] or parent is not None and chosen[parent]
+    if not any(chosen) and not any(direct):
         return None
-    return "\n".join(text for container, text, _ in page.blocks if container is not None and chosen[container])
+    return "\n".join(text for c, text, _ in page.blocks if c is not None and (chosen[c] or direct[c]))

@@ -70,3 +70,15 @@ def test_layout_classes_do_not_hide_the_page():
     ):
         assert text_of(source) == "whole text"
     assert text_of('<article><p>text</p><div class="sidebar">x</div></article>') == "text"
+
+
+def test_sibling_sections_and_other_templates_are_kept(spark):
+    lead, text = "lead words " * 27, "body text words " * 190
+    wide = f"<body><main><div class=wrap><div class=lead><p>{lead}</div><div class=text><p>{text}</div></div></main></body>"
+    soup = f"<body><div class=lead><p>{lead}</div><div class=text><p>{text}</div><div class=foot><p>short</div></body>"
+    other = f"<body><div class=text><p>a teaser</div><div class=review><p>{text}</div></body>"
+    rows = [(i, "http://wide.example.com/", wide, "x", 1) for i in range(4)]
+    rows += [(10 + i, "http://soup.example.com/", soup, "x", 1) for i in range(9)] + [(20, "http://soup.example.com/", other, "x", 1)]
+    got = {r.page_id: r.text for r in extraction.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got[0] == got[10] == f"{lead.strip()}\n{text.strip()}"
+    assert got[20] == f"a teaser\n{text.strip()}"
