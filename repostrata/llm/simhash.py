@@ -220,36 +220,25 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each near-duplicate group, all columns as they were.
+    """One row of each group of near copies (see ``near_copies``), all columns as they were.
 
-    The row with the smallest id stays. Of several rows with that id, and of the rows of a
-    group without ids, one stays. Other columns are never read, whatever they are called.
+    The row with the smallest id stays; in a group without ids, one row. Rows are told apart
+    by id and words, so an id may stand on different texts. Other columns are never read,
+    whatever they are called.
     """
-    grouped = pinned(near_copies.groups(docs, id_col, text_col))
-    kept = grouped.where("doc_id <=> component_id").groupBy("component_id", "node").agg(F.count(F.lit(1)).alias("n"))
-    nameless = kept.where("component_id is null")
-    clear = kept.where("component_id is not null").groupBy("component_id").agg(F.sum("n").alias("n"))
-    name = fresh("keep_id", docs)
-    once = clear.where("n = 1").select(F.col("component_id").alias(name))
-    single = docs.join(once, docs[id_col] == once[name], "left_semi")
-    several = clear.where("n > 1").select(F.col("component_id").alias(name))
-    repeated = docs.join(several, docs[id_col] == several[name], "left_semi").dropDuplicates([id_col])
-    parts = [single, repeated]
-    if not nameless.isEmpty():
-        parts.append(_nameless(docs, id_col, text_col))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _nameless(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row of each group in which no row has an id, by number of the rows without one."""
-    without = docs.where(F.col(id_col).isNull())
-    key = fresh("row_key", docs)
-    numbered = pinned(without.withColumn(key, F.monotonically_increasing_id()))
-    # Rows with an id count as number -1, so a group that has one is not answered for here.
-    others = docs.where(F.col(id_col).isNotNull()).select(F.lit(-1).cast("long").alias(key), text_col)
-    prints = near_copies.groups(numbered.select(key, text_col).unionByName(others), key, text_col)
-    keep = prints.where("component_id >= 0").select(F.col("component_id").alias(key)).distinct()
-    return numbered.join(keep, key, "left_semi").drop(key)
+    grouped = near_copies.groups(docs, id_col, text_col).where("doc_id <=> component_id")
+    counted = grouped.groupBy("root", "doc_id", "node").agg(F.count(F.lit(1)).alias("n"))
+    first = counted.groupBy("root", "doc_id").agg(F.min(F.struct("node", "n")).alias("row"))
+    keep_id, keep_node, node = (fresh(name, docs) for name in ("keep_id", "keep_node", "own_node"))
+    kept = pinned(first.select(F.col("doc_id").alias(keep_id), F.col("row.node").alias(keep_node), F.col("row.n").alias("n")))
+    marked = docs.withColumn(node, near_copies.digest(F.col(text_col)))
+
+    def rows(chosen: DataFrame) -> DataFrame:
+        match = marked[id_col].eqNullSafe(chosen[keep_id]) & (marked[node] == chosen[keep_node])
+        return marked.join(chosen, match, "left_semi")
+
+    out = rows(kept.where("n = 1").drop("n"))
+    several = kept.where("n > 1").drop("n")
+    if not several.isEmpty():
+        out = out.unionByName(rows(several).dropDuplicates([id_col, node]))
+    return out.drop(node)

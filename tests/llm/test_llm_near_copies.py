@@ -52,3 +52,10 @@ def test_groups_equal_brute_force_on_the_table(spark):
     got = {r.doc_id: r.component_id for r in near_copies.groups(docs).collect()}
     wrong = {i for i in got if got[i] != group[i] and len(sets[i]) > 1}
     assert len(links) > 12 and not wrong
+
+
+def test_an_id_on_different_texts_loses_none(spark):
+    rows = [(1, "one text"), (1, "another text"), (1, "Another  text"), (2, "one text"), (None, "third"), (None, "third"), (3, "fourth")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text.lower().split()[0]) for r in simhash.deduplicate(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(1, "one"), (1, "another"), (None, "third"), (3, "fourth")], key=str)
