@@ -25,11 +25,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from repostrata.llm.common import as_bytes, settle
 from repostrata.session import pinned
 
-ORDER = 4
+ORDER = 5
 FRAME = 8 * 1024 * 1024
 _PIECE = 1 << 20  # bytes of text worked on at a time
 QUANTILE = 0.99
-MIN_SUPPORT = 100  # held-out trusted documents of a language below which this quantile means little
+MIN_SUPPORT = 30  # held-out trusted documents of a language below which this quantile means little
 _FILTER_WORDS = 1 << 16  # 64-bit words of the filter that spares untrusted text the shuffle
 
 
