@@ -74,7 +74,59 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from judged left join cutoffs using (stratum)
 """
 
+_SEARCH = f"""
+with d as (select row_number() over () r, doc_id, {_BENCH_WORDS} w from documents),
+docs as (select r, doc_id, len(w) n from d where len(w) > 0),
+tf as (select r, term, count(*) tf from (select r, unnest(w) term from d) group by all),
+df as (select term, count(*) df from tf group by term),
+total as (select count(*) n_docs, sum(n) n_terms from docs),
+asked as (select distinct item_id, unnest({_BENCH_WORDS}) term from benchmark),
+weighted as (select item_id, term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::bigint w
+  from asked join df using (term), total),
+scored as (select item_id, r, doc_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::bigint score
+  from weighted join tf using (term) join docs using (r), total group by all)
+select item_id, place::int rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id nulls last) place
+  from scored where score > 0) where place <= 10
+"""
+
+
+def _assigned(number: int) -> str:
+    """Entry and distance of each part for codebook ``number``, packed as distance * 64 + entry."""
+    return f"""a{number} as (select r, part, min(dist * 64 + entry) best
+  from (select r, part, entry, sum((v - c) * (v - c)) dist from comps join book{number} using (part, pos) group by all)
+  group by all)"""
+
+
+def _moved(number: int) -> str:
+    """Codebook ``number`` from the assignment before it, rounded down."""
+    return f"""s{number} as (select part, best % 64 entry, pos, sum(v) s, count(*) n
+  from comps join a{number - 1} using (r, part) group by all),
+book{number} as (select part, entry, pos,
+    coalesce(case when s >= 0 or s % n = 0 then s // n else s // n - 1 end, c)::bigint c
+  from book{number - 1} left join s{number} using (part, entry, pos))"""
+
+
+_CODES = f"""
+with k as (select row_number() over (order by vec_id, embedding) r, vec_id, label, embedding e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+size as (select max(len(e)) // 16 d from k),
+comps as (select r, (i - 1) // d part, (i - 1) % d pos, floor(256 * e[i]::double)::bigint v
+  from (select r, e, unnest(range(1, len(e) + 1)) i from k), size),
+book0 as (select part, r - 1 entry, pos, v c from comps where r <= 64),
+{_assigned(0)}, {_moved(1)}, {_assigned(1)}, {_moved(2)}, {_assigned(2)},
+coded as (select r, string_agg(printf('%02x', (best % 64)::int), '' order by part) code, sum(best // 64)::bigint error
+  from a2 group by r),
+labels as (select label, sum(error)::bigint label_error from k join coded using (r) group by label)
+select vec_id, code, error, label_error,
+  (select sha256(string_agg(c::varchar, ',' order by part, entry, pos)) from book2) codebooks_sha256
+from k join coded using (r) join labels on k.label is not distinct from labels.label
+"""
+
 ORACLES: dict[str, str] = {
     "op9_decontaminate": _DECONTAMINATE,
     "op10_quality_rules": _QUALITY_RULES,
+    "op11_search": _SEARCH,
+    "op12_codes": _CODES,
 }

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from repostrata.llm import decontaminate, extraction, langid, mixing, ngram_quality, passages, pii, rules, simhash, toxicity
+from repostrata.llm import (
+    decontaminate, extraction, hadamard_codes, langid, lexical_search, mixing, ngram_quality, passages, pii, rules,
+    simhash, token_counts, toxicity,
+)
 from repostrata.llm.common import in_bucket, table
 
 
@@ -70,6 +74,21 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return lexical_search.rank(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Code and error of every vector."""
+    return hadamard_codes.report(table(spark, folder, "embeddings"))
+
+
+def op13_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Number of tokens of every document."""
+    return token_counts.counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_langid": op2_langid,
@@ -81,4 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality_rules": op10_quality_rules,
+    "op11_search": op11_search,
+    "op12_codes": op12_codes,
+    "op13_tokens": op13_tokens,
 }
