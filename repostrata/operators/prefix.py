@@ -4,7 +4,8 @@
 group to a single task. Here the rows are range-partitioned on (keys, order) into
 blocks, each block gets its own window, and what earlier blocks hold of the same key is
 added as a carry. Blocks follow the sort order, so only the first key of a block can
-have a carry: the broadcast carry table never has more rows than there are blocks.
+have a carry: the carry table never has more rows than there are blocks, and is broadcast
+while these are few.
 """
 
 from __future__ import annotations
@@ -15,20 +16,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from repostrata.session import pinned
+from repostrata.session import discard, pinned, scratch_path
 
-_BLOCK_BYTES = 256 * 1024 * 1024
+_BLOCK_BYTES = 64 * 1024 * 1024  # as written, that is compressed
+_BROADCAST_BLOCKS = 10_000
 _BLOCK = "__block"
 _ROWS = "__rows"
-# The carry has one row per block and is broadcast; joins make estimates far too large.
-_MOST_BLOCKS = 100_000
 
 
-def _blocks(df: DataFrame) -> int:
-    """Shuffle partitions of the session, or more where the input is estimated to be larger."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(partitions, min(size // _BLOCK_BYTES, _MOST_BLOCKS))
+def _blocks(written: DataFrame) -> int:
+    """Shuffle partitions of the session, or more where the written rows are larger.
+
+    Only of a plain table: its size is that of its files, not an estimate of a plan.
+    """
+    size = int(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    partitions = int(written.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(partitions, -(-size // _BLOCK_BYTES))
 
 
 def running(
@@ -45,14 +48,20 @@ def running(
     ``sums`` and ``lasts`` map a new column to its input column: the inclusive running
     sum, and the latest non-null value seen before or at the row. ``number`` names a
     1-based row number. ``keys`` may be empty. Rows equal on keys and order share a
-    block, so ``order`` should be (close to) unique per key. The placed rows are written
-    when this is called.
+    block, so ``order`` should be (close to) unique per key. The rows are written when this is
+    called, first as they come: sampling them for the ranges then computes nothing twice, and
+    the number of blocks follows from their size.
     """
     sums, lasts, keys, order = sums or {}, lasts or {}, list(keys), list(order)
-    blocks = blocks or _blocks(df)
+    spark = df.sparkSession
+    path = scratch_path(spark, "rows")
+    df.write.parquet(path)
+    fixed = spark.read.schema(df.schema).parquet(path)
+    blocks = blocks or _blocks(fixed)
     placed = pinned(
-        df.repartitionByRange(blocks, *keys, *order).withColumn(_BLOCK, F.spark_partition_id())
+        fixed.repartitionByRange(blocks, *keys, *order).withColumn(_BLOCK, F.spark_partition_id())
     )
+    discard(spark, path)
 
     summary = placed.groupBy(*keys, _BLOCK).agg(
         F.count(F.lit(1)).alias(_ROWS),
@@ -87,7 +96,9 @@ def running(
     )
     same: list[Column] = [local[_BLOCK] == carry["__carry_block"]]
     same += [local[k].eqNullSafe(carry[f"__key_{k}"]) for k in keys]
-    joined = local.join(F.broadcast(carry), reduce(lambda a, b: a & b, same), "left")
+    # The carry has a row per block, so its size is known.
+    near = F.broadcast(carry) if blocks <= _BROADCAST_BLOCKS else carry
+    joined = local.join(near, reduce(lambda a, b: a & b, same), "left")
 
     def total(inner: str, outer: str, name: str) -> Column:
         return F.when(

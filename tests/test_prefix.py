@@ -37,3 +37,18 @@ def test_null_keys_and_no_rows(spark, rows):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1)], "k string, at long")
     assert rows(running(df, ["k"], ["at"], number="n")) == [("a", 1, 1), (None, 1, 1), (None, 2, 2)]
     assert rows(running(df.where("at > 5"), ["k"], ["at"], number="n")) == []
+
+
+def test_blocks_follow_the_written_size_not_the_estimate(spark, monkeypatch):
+    """A plan above a join is estimated at the product of its sides."""
+    from repostrata.operators import prefix
+
+    chosen, count = [], prefix._blocks
+    monkeypatch.setattr(prefix, "_blocks", lambda df: chosen.append(count(df)) or chosen[-1])
+    left = spark.range(20_000).selectExpr("id % 50 as k", "id as at")
+    joined = left.join(spark.range(50).selectExpr("id as k", "repeat('x', 200) as name"), "k")
+    got = running(joined.groupBy("k", "at").count(), ["k"], ["at"], number="n")
+    assert got.agg({"n": "max"}).head()[0] == 400
+    assert chosen == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
+    monkeypatch.setattr(prefix, "_BLOCK_BYTES", 1000)
+    assert count(joined.sparkSession.read.parquet("/root/testdata/sf0.001/events.parquet")) > 4
