@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from repostrata.session import discard, scratch_path
-
-BUCKET = "bucket"
+from repostrata.operators.buckets import TARGET, BucketTable
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -42,57 +39,32 @@ def new_keys(incoming: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     return incoming.select(key).distinct().join(existing.select(key), key, "left_anti")
 
 
-def bucket_of(columns: Sequence[str], buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
-
-
 def upsert_table(
     new: DataFrame,
     path: str,
     keys: Sequence[str],
     order: Sequence[str] = (),
     bucket_by: Sequence[str] = ("repo",),
-    buckets: int = 64,
-) -> None:
-    """Merge rows into a parquet table laid out in hash buckets of ``bucket_by``.
-
-    Only buckets with new rows are read and rewritten. The merged rows are fixed in the
-    shared folder before the overwrite starts, so a lost executor never re-reads files
-    that are being replaced; adaptive rebalancing splits a bucket that holds most of them.
-    ``bucket_by`` must be among ``keys``, and it and ``buckets`` must stay the same for
-    the life of the table.
+    buckets: int = 4,
+    target: int = TARGET,
+    batch: tuple[str, int] | None = None,
+) -> bool:
+    """Merge rows into a stored table laid out in hash buckets of ``bucket_by``.
+
+    Only buckets with new rows are read and rewritten; the number of buckets, ``buckets`` at
+    first, grows with the table so that they keep about ``target`` bytes. ``bucket_by`` must
+    be among ``keys`` and stay the same for the life of the table. A ``batch`` (name of a
+    stream and number) that the table has applied before is left out; then the result is False.
     """
     if not set(bucket_by) <= set(keys):
         raise ValueError("bucket_by must be among the keys")
-    spark = new.sparkSession
-    placed = new.withColumn(BUCKET, bucket_of(bucket_by, buckets)).persist()
-    touched = [row[BUCKET] for row in placed.select(BUCKET).distinct().collect()]
-    try:
-        existing = _stored(spark, path).where(F.col(BUCKET).isin(touched))
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        existing = None
-    fixed = scratch_path(spark, "upsert-rows")
-    merge(existing, placed, keys, order).write.parquet(fixed)
-    placed.unpersist()
-    (
-        spark.read.parquet(fixed)
-        .hint("rebalance", BUCKET)
-        .sortWithinPartitions(BUCKET, *keys)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(BUCKET)
-        .parquet(path)
-    )
-    discard(spark, fixed)
+    table = BucketTable(new.sparkSession, path, bucket_by, buckets=buckets, target=target)
+    return table.commit(new, lambda old, rows: merge(old, rows, keys, order), batch)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A table written by ``upsert_table``, without its layout column."""
-    return _stored(spark, path).drop(BUCKET)
-
-
-def _stored(spark: SparkSession, path: str) -> DataFrame:
-    # Buckets written before a column was added do not have it.
-    return spark.read.option("mergeSchema", "true").parquet(path)
+    """A table written by ``upsert_table``; columns added later are NULL in older rows."""
+    rows = BucketTable(spark, path).read()
+    if rows is None:
+        raise ValueError(f"no stored table at {path}")
+    return rows

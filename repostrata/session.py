@@ -58,7 +58,8 @@ def _base(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/repostrata-{spark.sparkContext.applicationId}"
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path and the path as an object of it."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
@@ -69,7 +70,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     They are deleted when the application ends, or before that by ``release``.
     """
     base = _base(spark)
-    files, place = _file_system(spark, base)
+    files, place = file_system(spark, base)
     files.mkdirs(place)
     files.deleteOnExit(place)
     return f"{base}/{label}-{uuid.uuid4().hex}"
@@ -77,13 +78,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def release(spark: SparkSession) -> None:
     """Delete all scratch tables of this application: results built on them must be written by now."""
-    files, place = _file_system(spark, _base(spark))
+    files, place = file_system(spark, _base(spark))
     files.delete(place, True)
 
 
 def discard(spark: SparkSession, path: str) -> None:
     """Delete one scratch table that no later plan reads."""
-    files, place = _file_system(spark, path)
+    files, place = file_system(spark, path)
     files.delete(place, True)
 
 

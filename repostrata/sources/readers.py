@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from repostrata.functions.documents import flatten_document, utc_timestamp
 from repostrata.functions.keys import clean_url, relative_path
+from repostrata.operators.buckets import BucketTable
 from repostrata.schemas import CANONICAL
 
 # Field names of stored star documents.
@@ -51,7 +52,10 @@ def read_source_tree(spark: SparkSession, root: str, commit_hash: str, committer
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines ``{"repo": ..., "doc": {...}}`` as ``(repo, doc VARIANT)``."""
+    """JSON lines ``{"repo": ..., "doc": {...}}`` as ``(repo, doc VARIANT)``, plain or stored in buckets."""
+    stored = BucketTable(spark, path).read()
+    if stored is not None:
+        return stored
     return spark.read.schema("repo STRING, doc VARIANT").json(path)
 
 

@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from repostrata.operators.upsert import merge, upsert_table
-from repostrata.session import pinned
+from repostrata.operators.buckets import TARGET, BucketTable
+from repostrata.operators.upsert import keep_last, merge, upsert_table
 
 FORMATS = ("csv", "json", "parquet")
 
@@ -49,18 +48,16 @@ def write_documents(df: DataFrame, path: str, key: str = "repo", mode: str = "ov
     ).json(path)
 
 
-def update_documents(docs: DataFrame, path: str, key: str = "repo") -> None:
-    """Put ``(repo, doc VARIANT)`` rows into a folder of JSON lines; a new document
-    replaces the old one of its repository as a whole."""
-    spark = docs.sparkSession
-    try:
-        existing = spark.read.schema(f"{key} STRING, doc VARIANT").json(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        existing = None
-    # The folder is about to be replaced, so its content is fixed elsewhere first.
-    pinned(merge(existing, docs.select(key, "doc"), [key])).write.mode("overwrite").json(path)
+def update_documents(docs: DataFrame, path: str, key: str = "repo", buckets: int = 4, target: int = TARGET) -> None:
+    """Put ``(repo, doc VARIANT)`` rows into a stored folder of JSON lines.
+
+    A new document replaces the old one of its repository as a whole. Only the buckets of the
+    new keys are rewritten; ``read_documents`` reads such a folder. Of several new documents
+    of one key one stays, the last by its text.
+    """
+    table = BucketTable(docs.sparkSession, path, (key,), "json", buckets, target)
+    new = keep_last(docs.select(key, "doc", F.to_json("doc").alias("__text")), [key], ["__text"]).drop("__text")
+    table.commit(new, lambda old, rows: merge(old, rows, [key]))
 
 
 def write_outputs(
@@ -98,7 +95,7 @@ RESULT_KEYS = {
 }
 
 
-def upsert_outputs(tables: dict[str, DataFrame], path: str, buckets: int = 64) -> dict[str, str]:
+def upsert_outputs(tables: dict[str, DataFrame], path: str, buckets: int = 4) -> dict[str, str]:
     """Merge every result of ``analyze`` into its stored table below ``path``; returns the folders.
 
     A repeated run replaces the rows with its keys and leaves all others; see ``upsert_table``.

@@ -17,16 +17,18 @@ def upsert_stream(
     keys: Sequence[str],
     order: Sequence[str],
     bucket_by: Sequence[str] = ("repo",),
-    buckets: int = 64,
+    buckets: int = 4,
 ) -> StreamingQuery:
     """Upsert every micro-batch of a streaming DataFrame into the table at ``path``.
 
-    ``order`` decides which row of a key is last, so a replayed batch leaves the table as
-    it is. The query stops once all available files are read.
+    ``order`` decides which row of a key is last, at equal rank the later batch. The table
+    lists the batches of this stream, named by its checkpoint, that it holds: one that is
+    replayed, even after a later one, leaves it as it is. The query stops once all available
+    files are read.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        upsert_table(batch, path, keys, order, bucket_by, buckets)
+        upsert_table(batch, path, keys, order, bucket_by, buckets, batch=(checkpoint, batch_id))
 
     return (
         rows.writeStream.foreachBatch(apply)
