@@ -2,7 +2,11 @@
 
 A run is keyed by ``run_ts`` and a commit by ``(run_ts, repository_name, hash)``, so a
 re-run never attaches to the rows of an older one. Documents that list many entries are
-cut into parts of bounded size; the parts of a key together hold every entry.
+cut into parts of bounded size; the parts of a key together hold every entry. Totals are kept
+apart from the entries and always count the whole commit, however its entries are cut.
+
+What was stored can be read back in the shape it was appended in: of all runs, of one run, or
+of the newest run of each repository.
 """
 
 from __future__ import annotations
@@ -12,8 +16,10 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from repostrata.functions.documents import utc_timestamp
 from repostrata.operators.upsert import new_keys
 from repostrata.session import pinned
+from repostrata.sources.readers import STAR_EDGES
 
 TABLES = ("repositories", "metadata", "stargazers", "tests", "test_commits", "lints", "lint_commits", "gits")
 
@@ -67,27 +73,63 @@ def test_documents(classified: DataFrame, max_rows: int = 10_000) -> DataFrame:
     )
 
 
-def lint_documents(messages: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Messages of each commit by module, category and id as JSON documents in parts.
+_FOUND = ["symbol", "msg", "confidence", "path"]
+_PLACE = ["module", "category", "msg_id"]
+# Shapes of the stored documents.
+_ENTRIES = (
+    "map<string, map<string, map<string, array<struct<symbol: string, msg: string, confidence: string, path: string,"
+    " occurrences: bigint>>>>>"
+)
+_TOTALS = (
+    "map<string, struct<total_messages: bigint, categories: map<string, struct<total: bigint, message_ids: map<string, bigint>>>>>"
+)
+_FILES = (
+    "map<string, struct<imports: array<string>, unittest_classes: array<string>, pytest_functions: array<string>,"
+    " production_statements: bigint, test_statements: bigint>>"
+)
+
+
+def distinct_messages(messages: DataFrame) -> DataFrame:
+    """Equal messages of a commit as one row with their number of ``occurrences``.
 
-    Equal messages are one entry with their number of occurrences. Totals count the
-    messages of the part.
+    A missing module, category or id becomes an empty text, since keys of a document cannot
+    be missing.
     """
-    keys, found = ["repo", "commit_hash"], ["symbol", "msg", "confidence", "path"]
-    counted = messages.groupBy(*keys, "module", "category", "msg_id", *found).agg(F.count(F.lit(1)).alias("occurrences"))
-    by_id = in_parts(counted, keys, max_rows, messages).groupBy(*keys, "part", "module", "category", "msg_id").agg(
-        F.sum("occurrences").alias("n"), F.collect_list(F.struct(*found, "occurrences")).alias("entries")
-    )
-    by_category = by_id.groupBy(*keys, "part", "module", "category").agg(
-        F.sum("n").alias("n"), _mapped("msg_id", F.col("entries")).alias("message_ids")
+    keys = ["repo", "commit_hash"]
+    named = messages.withColumns({c: F.coalesce(c, F.lit("")) for c in _PLACE})
+    return named.groupBy(*keys, *_PLACE, *_FOUND).agg(F.count(F.lit(1)).alias("occurrences"))
+
+
+def lint_entries(distinct: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """Messages of each commit by module, category and id as JSON documents in parts."""
+    keys = ["repo", "commit_hash"]
+    nested = in_parts(distinct, keys, max_rows).withColumn("at", F.struct(*_FOUND, "occurrences"))
+    nested = nested.groupBy(*keys, "part", *_PLACE).agg(F.collect_list("at").alias("at"))
+    for level in range(3, 0, -1):
+        nested = nested.groupBy(*keys, "part", *_PLACE[: level - 1]).agg(_mapped(_PLACE[level - 1], F.col("at")).alias("at"))
+    return nested.select(*keys, "part", F.to_json("at").alias("messages"))
+
+
+def lint_totals(distinct: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """Message counts of each commit by module, category and id as JSON documents.
+
+    A module is never cut, so every total is that of the commit; commits with very many
+    modules have several parts.
+    """
+    keys = ["repo", "commit_hash"]
+    counted = distinct.repartition(*keys, "module").groupBy(*keys, *_PLACE).agg(F.sum("occurrences").alias("n"))
+    by_category = counted.groupBy(*keys, "module", "category").agg(
+        F.sum("n").alias("n"), _mapped("msg_id", F.col("n")).alias("message_ids")
     )
-    by_module = by_category.groupBy(*keys, "part", "module").agg(
+    by_module = by_category.groupBy(*keys, "module").agg(
         F.sum("n").alias("n"),
         _mapped("category", F.struct(F.col("n").alias("total"), "message_ids")).alias("categories"),
     )
-    return by_module.groupBy(*keys, "part").agg(
-        F.to_json(_mapped("module", F.struct(F.col("n").alias("total_messages"), "categories"))).alias("messages")
-    )
+    found = F.struct(F.col("n").alias("total_messages"), "categories")
+    # A part is chosen by the module alone, and maps are no input of a hash.
+    placed = in_parts(by_module.select(*keys, "module", F.to_json(found).alias("found")), keys, max_rows)
+    shape = _TOTALS.removeprefix("map<string, ").removesuffix(">")
+    return placed.groupBy(*keys, "part").agg(F.to_json(_mapped("module", F.from_json("found", shape))).alias("totals"))
 
 
 def _mapped(key: str, value: Column) -> Column:
@@ -111,20 +153,37 @@ def stat_documents(stats: DataFrame, max_rows: int = 10_000) -> DataFrame:
 
 
 class RawStore:
-    """Appends results to the eight tables below ``path``."""
+    """Appends results to the eight tables below ``path`` and reads them back.
+
+    ``max_rows`` bounds the entries of a document. Readers take a ``run``: None for all runs,
+    a run's name, or ``"latest"`` for the newest run of each repository.
+    """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, max_rows: int = 10_000):
         self.spark = spark
         self.path = path.rstrip("/")
+        self.max_rows = max_rows
 
-    def read(self, table: str) -> DataFrame | None:
+    def read(self, table: str, run: str | None = None) -> DataFrame | None:
         """Rows of a table, or None before the first append."""
         try:
-            return self.spark.read.parquet(f"{self.path}/{table}")
+            rows = self.spark.read.parquet(f"{self.path}/{table}")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             return None
+        rows = rows.withColumn("run_ts", F.col("run_ts").cast("string")) if "run_ts" in rows.columns else rows
+        if run == "latest":
+            newest = rows.groupBy("repository_name").agg(F.max("run_ts").alias("run_ts"))
+            return rows.join(newest, ["repository_name", "run_ts"])
+        return rows if run is None else rows.where(F.col("run_ts") == run)
+
+    def _stored(self, table: str, run: str | None) -> DataFrame:
+        """Rows under the names that results have."""
+        rows = self.read(table, run)
+        if rows is None:
+            raise ValueError(f"nothing was stored in {table}")
+        return rows.withColumnsRenamed({"repository_name": "repo", "hash": "commit_hash"})
 
     def _append(self, table: str, rows: DataFrame, run_ts: str) -> None:
         """The rows of a run; a retried run replaces what it wrote before."""
@@ -148,7 +207,7 @@ class RawStore:
 
     def append_stargazers(self, events: DataFrame, run_ts: str) -> None:
         self.add_repositories(events)
-        self._append("stargazers", stargazer_documents(events), run_ts)
+        self._append("stargazers", stargazer_documents(events, self.max_rows), run_ts)
 
     def append_git(self, table: DataFrame, run_ts: str) -> None:
         self.add_repositories(table)
@@ -158,7 +217,7 @@ class RawStore:
         """``commits`` has ``repo, commit_hash, date, test_to_code_ratio``."""
         self.add_repositories(commits)
         self._append("tests", commits.select("repo").distinct(), run_ts)
-        documents = test_documents(classified)
+        documents = test_documents(classified, self.max_rows)
         facts = commits.select("repo", "commit_hash", "date", "test_to_code_ratio")
         self._append("test_commits", facts.join(documents, ["repo", "commit_hash"], "left"), run_ts)
 
@@ -167,10 +226,81 @@ class RawStore:
         self._append("lints", stats.select("repo").distinct(), run_ts)
         keys = ["repo", "commit_hash"]
         dates = stats.groupBy(*keys).agg(F.max("committer_date").alias("date"))
-        documents = stat_documents(stats).join(lint_documents(messages), [*keys, "part"], "full")
+        distinct = pinned(distinct_messages(messages))
+        documents = stat_documents(stats, self.max_rows)
+        for more in (lint_entries(distinct, self.max_rows), lint_totals(distinct, self.max_rows)):
+            documents = documents.join(more, [*keys, "part"], "full")
         self._append("lint_commits", documents.join(dates, keys, "left"), run_ts)
 
     def commits_of(self, kind: str) -> DataFrame:
         """Commit rows of ``test`` or ``lint`` with the parent row of their own run."""
         parents = self.read(f"{kind}s").select("run_ts", "repository_name")
         return self.read(f"{kind}_commits").join(parents, ["run_ts", "repository_name"])
+
+    def documents(self, run: str | None = None) -> DataFrame:
+        """Metadata documents: ``(run_ts, repo, doc VARIANT)``."""
+        return self._stored("metadata", run).select("run_ts", "repo", F.parse_json("data").alias("doc"))
+
+    def star_events(self, run: str | None = None) -> DataFrame:
+        """Star events ``(run_ts, repo, starred_at, user_login)``, each once."""
+        rows = self._stored("stargazers", run)
+        edge = F.explode(F.from_json("data", STAR_EDGES)["data"]["repository"]["stargazers"]["edges"])
+        return rows.select("run_ts", "repo", edge.alias("e")).select(
+            "run_ts", "repo", utc_timestamp(F.col("e.starredAt")).alias("starred_at"), F.col("e.node.login").alias("user_login")
+        )
+
+    def git_rows(self, schema: str, run: str | None = None) -> DataFrame:
+        """Rows of the git table, whose other columns ``schema`` names with their types."""
+        rows = self._stored("gits", run)
+        return rows.select("run_ts", "repo", F.from_json("data", schema).alias("d")).select("run_ts", "repo", "d.*")
+
+    def classified_files(self, run: str | None = None) -> DataFrame:
+        """Statement counts and names per file of each commit, as classified."""
+        rows = self._stored("test_commits", run).where(F.col("files").isNotNull())
+        listed = rows.select("run_ts", "repo", "commit_hash", F.explode(F.from_json("files", _FILES)).alias("path", "f"))
+        return listed.select("run_ts", "repo", "commit_hash", "path", "f.*", F.lit(True).alias("parsed"))
+
+    def lint_messages(self, run: str | None = None) -> DataFrame:
+        """Messages as they were appended, one row per occurrence.
+
+        The documents' four levels (module, category, id, entry) are unnested within the row;
+        nothing is shuffled, whatever parts a commit was cut into.
+        """
+        own = ["run_ts", "repo", "commit_hash", F.col("date").alias("committer_date")]
+        rows = self._stored("lint_commits", run).where(F.col("messages").isNotNull())
+        found = rows.select(*own, F.from_json("messages", _ENTRIES).alias("at"))
+        keys = ["run_ts", "repo", "commit_hash", "committer_date"]
+        for depth, name in enumerate(_PLACE):
+            found = found.select(*keys, *_PLACE[:depth], F.explode("at").alias(name, "at"))
+        found = found.select(*keys, *_PLACE, F.explode("at").alias("at"))
+        each = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "at.occurrences")))
+        return each.select(*keys, *_PLACE, *[f"at.{c}" for c in _FOUND])
+
+    def lint_counts(self, run: str | None = None) -> DataFrame:
+        """Stored totals ``(run_ts, repo, commit_hash, module, category, msg_id, level, messages)``.
+
+        ``level`` is 0 for a message id, 1 for a category and 3 for a module, as in
+        ``message_counts``.
+        """
+        keys = ["run_ts", "repo", "commit_hash"]
+        rows = self._stored("lint_commits", run).where(F.col("totals").isNotNull())
+        modules = rows.select(*keys, F.explode(F.from_json("totals", _TOTALS)).alias("module", "m"))
+        categories = modules.select(*keys, "module", F.explode("m.categories").alias("category", "c"))
+        ids = categories.select(*keys, "module", "category", F.explode("c.message_ids").alias("msg_id", "messages"))
+        none = F.lit(None).cast("string")
+        levels = [
+            modules.select(*keys, "module", none.alias("category"), none.alias("msg_id"), F.col("m.total_messages").alias("messages")),
+            categories.select(*keys, "module", "category", none.alias("msg_id"), F.col("c.total").alias("messages")),
+            ids,
+        ]
+        out = None
+        for level, part in zip((3, 1, 0), levels):
+            own = part.withColumn("level", F.lit(level).cast("bigint"))
+            out = own if out is None else out.unionByName(own)
+        return out
+
+    def lint_stats(self, run: str | None = None) -> DataFrame:
+        """Statistics of each commit in rows: ``(run_ts, repo, commit_hash, committer_date, key, value)``."""
+        rows = self._stored("lint_commits", run).where(F.col("stats").isNotNull())
+        entry = F.explode(F.from_json("stats", "map<string, double>")).alias("key", "value")
+        return rows.select("run_ts", "repo", "commit_hash", F.col("date").alias("committer_date"), entry)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from repostrata.functions.documents import flatten_document, utc_timestamp
-from repostrata.functions.keys import clean_url, relative_path
+from repostrata.functions.filters import IGNORED_DIRECTORIES, IGNORED_PREFIXES
+from repostrata.functions.keys import clean_url
 from repostrata.operators.buckets import BucketTable
 from repostrata.schemas import CANONICAL
+from repostrata.sources.tree import SourceTree, with_content
 
 # Field names of stored star documents.
-_EDGES = (
+STAR_EDGES = (
     "data STRUCT<repository: STRUCT<stargazers: STRUCT<edges:"
     " ARRAY<STRUCT<cursor: STRING, starredAt: STRING, node: STRUCT<login: STRING>>>>>>"
 )
@@ -28,25 +33,35 @@ def read_urls(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(clean_url(F.col("value")).alias("repo_url")).where(F.col("repo_url") != "")
 
 
-def read_source_tree(spark: SparkSession, root: str, commit_hash: str, committer_date: str) -> DataFrame:
-    """Python files below ``root/<repo>/`` as ``source_files`` of one commit.
-
-    Files that are not UTF-8 have NULL content.
+def read_source_tree(
+    spark: SparkSession,
+    root: str,
+    commit_hash: str,
+    committer_date: str,
+    deny: Sequence[str] = IGNORED_DIRECTORIES,
+    prefixes: Sequence[str] = IGNORED_PREFIXES,
+    depth: str = "root",
+) -> DataFrame:
+    """Analysed Python files below ``root/<repo>/`` as ``source_files`` of one commit.
+
+    Left out directories (see ``python_sources``) are never listed or opened. Folders are
+    listed in tasks; the files found are dealt out anew, so that reading them is balanced
+    whatever the shape of the tree. Files that are not UTF-8 have NULL content. ``root`` is a
+    local folder or a store that Arrow can read.
     """
-    base = root.rstrip("/")
+    spark.dataSource.register(SourceTree)
+    tasks = spark.sparkContext.defaultParallelism
     found = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.py")
-        .option("recursiveFileLookup", "true")
-        .load(base)
+        spark.read.format(SourceTree.name())
+        .options(deny=json.dumps(list(deny)), prefixes="".join(prefixes), depth=depth, partitions=4 * tasks)
+        .load(root.rstrip("/"))
     )
-    local = F.regexp_replace("path", "^file:/*", "/")
-    inner = F.split(relative_path(local, base), "/", 2)
-    return found.select(
-        F.get(inner, F.lit(0)).alias("repo"),
+    dealt = found.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "repo", "path")
+    return with_content(dealt, root).select(
+        "repo",
         F.lit(commit_hash).alias("commit_hash"),
         F.lit(committer_date).cast("timestamp").alias("committer_date"),
-        F.get(inner, F.lit(1)).alias("path"),
+        "path",
         F.try_validate_utf8(F.col("content").cast("string")).alias("content"),
     )
 
@@ -88,7 +103,7 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def star_events_of(docs: DataFrame) -> DataFrame:
     """Star events of stargazer documents ``(repo, doc)``; incomplete edges are dropped."""
     text = F.col("doc") if dict(docs.dtypes)["doc"] == "string" else F.to_json("doc")
-    edges = docs.select("repo", F.explode(F.from_json(text, _EDGES)["data"]["repository"]["stargazers"]["edges"]).alias("edge"))
+    edges = docs.select("repo", F.explode(F.from_json(text, STAR_EDGES)["data"]["repository"]["stargazers"]["edges"]).alias("edge"))
     return edges.select(
         "repo", utc_timestamp(F.col("edge.starredAt")).alias("starred_at"), F.col("edge.node.login").alias("user_login")
     ).where(F.col("user_login").isNotNull() & F.col("starred_at").isNotNull())

@@ -26,6 +26,38 @@ def test_source_tree(spark, tmp_path, rows):
     ]
 
 
+def test_left_out_folders_are_never_opened(spark, tmp_path, rows, monkeypatch):
+    """Same rows as the path filters on the full list, and no call names a left out folder."""
+    from repostrata.functions.filters import python_sources
+    from repostrata.sources import tree
+
+    names = []
+    for repo in ("r1", "r2"):
+        for folder in ("", "src/", "src/venv/", "src/deep/er/", "venv/", "VENV/x/", "Build/", ".git/", "src/.hid/", "src/_x/y/", "lib2/"):
+            for file in ("a.py", "b.PY", "c.txt"):
+                target = tmp_path / repo / folder / file
+                target.parent.mkdir(parents=True, exist_ok=True)
+                target.write_text("x = 1\n")
+                names.append((repo, f"{folder}{file}"))
+    (tmp_path / "stray.py").write_text("no repository")
+    everything = spark.createDataFrame(names, "repo string, path string")
+    for depth in ("root", "any"):
+        found = readers.read_source_tree(spark, str(tmp_path), "c", "2020-01-01", depth=depth)
+        assert rows(found, "repo", "path") == rows(python_sources(everything, depth=depth))
+
+    called = []
+    listed = tree.TreeReader._listed
+    monkeypatch.setattr(tree.TreeReader, "_listed", lambda self, folder: called.append(folder) or listed(self, folder))
+    for wanted in ("1", "5", "100"):
+        reader = tree.TreeReader({"path": str(tmp_path), "deny": '["venv", "build"]', "prefixes": "._", "partitions": wanted})
+        called.clear()
+        files = [f for p in reader.partitions() for f in reader.read(p)]
+        assert len(files) == len(set(files)) == 2 * 5
+        assert called and not any("/." in f"/{c}" or "/_" in c or c.split("/")[1:2] in (["venv"], ["VENV"], ["Build"]) for c in called)
+    with pytest.raises(ValueError):
+        tree.TreeReader({"path": str(tmp_path), "depth": "some"})
+
+
 @pytest.mark.parametrize("documents", [{}, {"r1": {}}, {
     "r1": {"a": 1, "b": {"c": None, "d": [1, 2]}, "text": 'line\n    "quoted": {\n}'},
     'odd "name"': {"z": {"y": {}}}, "empty": {}, "list": [1, {"x": 2}], "text": "v", "null": None,
@@ -133,13 +165,60 @@ def test_raw_store(spark, tmp_path, rows):
     test = store.commits_of("test")
     assert test.count() == 2 and set(json.loads(test.first().files)) == {"f0.py", "f1.py", "f2.py"}
     lint = store.commits_of("lint")
-    found = json.loads(lint.first().messages)["m"]
+    found = json.loads(lint.first().totals)["m"]
     assert lint.count() == 2 and found["total_messages"] == 5 and found["categories"]["warning"]["total"] == 5
-    ids = found["categories"]["warning"]["message_ids"]
+    assert found["categories"]["warning"]["message_ids"] == {"W0": 3, "W1": 2}
+    ids = json.loads(lint.first().messages)["m"]["warning"]
     assert {k: v[0]["occurrences"] for k, v in ids.items()} == {"W0": 3, "W1": 2}
     assert json.loads(lint.first().stats) == {"stats.warning": 5.0}
 
 
+def test_stored_runs_are_read_back(spark, tmp_path, rows):
+    """In small parts and over two runs, everything comes back as it was appended."""
+    store = RawStore(spark, str(tmp_path / "raw"), max_rows=3)
+    messages = spark.sql(
+        "select concat('r', id % 2) as repo, 'c' as commit_hash, timestamp '2020-01-01 00:00:00' as committer_date,"
+        " concat('m', id % 7) as module, if(id % 3 = 0, 'warning', 'refactor') as category, concat('W', id % 2) as msg_id,"
+        " 's' as symbol, if(id % 10 = 0, null, concat('say \"', id % 5, '\"')) as msg, 'HIGH' as confidence, 'm.py' as path from range(60)"
+    )
+    stats = spark.sql(
+        "select repo, 'c' as commit_hash, timestamp '2020-01-01 00:00:00' as committer_date, concat('stats.k', id) as key,"
+        " cast(id as double) as value from values ('r0'), ('r1') as t(repo) cross join range(8)"
+    )
+    files = spark.sql(
+        "select 'r0' as repo, 'c' as commit_hash, concat('f', id, '.py') as path, true as parsed, array('pytest') as imports,"
+        " array('T') as unittest_classes, array() as pytest_functions, id as production_statements, 2L as test_statements from range(9)"
+    )
+    commits = spark.sql("select 'r0' as repo, 'c' as commit_hash, timestamp '2020-01-01 00:00:00' as date, 1.0D as test_to_code_ratio")
+    stars = spark.sql("select 'r0' as repo, timestamp '2020-01-01 00:00:00' + make_dt_interval(id) as starred_at, 'u' as user_login from range(8)")
+    git = spark.sql("select 'r0' as repo, 3L as total_commits, 0.5D as average_hunks")
+    for run in ("1", "2"):
+        store.append_lints(messages if run == "1" else messages.where("repo = 'r0'"), stats, run)
+        store.append_tests(files, commits, run)
+        store.append_stargazers(stars, run)
+        store.append_git(git.withColumn("total_commits", F.lit(int(run)).cast("long")), run)
+        store.append_metadata(git.select("repo", F.lit('{"a":1}').alias("doc")), run)
+
+    columns = [c for c in messages.columns]
+    assert rows(store.lint_messages("1"), *columns) == rows(messages, *columns)
+    assert rows(store.lint_messages("latest"), *columns) == rows(messages.where("repo = 'r0'"), *columns)
+    assert store.lint_messages().count() == 90
+    from repostrata.operators.lint import message_counts
+
+    want = message_counts(messages).where("level < 7")
+    level = ["repo", "commit_hash", "module", "category", "msg_id", "level", "messages"]
+    assert rows(store.lint_counts("1"), *level) == rows(want, *level)
+    assert store.read("lint_commits", "1").where("messages is not null").count() > 10
+    assert rows(store.lint_stats("1"), *stats.columns) == rows(stats)
+    kept = [c for c in files.columns]
+    assert rows(store.classified_files("2"), *kept) == rows(files, *kept)
+    assert rows(store.star_events("2"), *stars.columns) == rows(stars)
+    assert rows(store.git_rows("total_commits bigint, average_hunks double", "latest")) == [("2", "r0", 2, 0.5)]
+    assert store.documents("latest").count() == 1
+    with pytest.raises(ValueError, match="nothing was stored"):
+        RawStore(spark, str(tmp_path / "none")).star_events()
+
+
 class Unset:
     """A session without a checkpoint folder."""
 
