@@ -23,6 +23,7 @@ from repostrata.session import discard, file_system, scratch_path
 
 BUCKET = "__bucket"
 TARGET = 256 * 1024 * 1024  # bytes a bucket may have on average
+LEAST = 8192
 _MANIFEST = "_manifest.json"
 Merge = Callable[[DataFrame | None, DataFrame], DataFrame]
 
@@ -50,6 +51,8 @@ class BucketTable:
         self, spark: SparkSession, path: str, bucket_by: Sequence[str] = ("repo",), kind: str = "parquet",
         buckets: int = 4, target: int = TARGET,
     ):
+        if target < LEAST:
+            raise ValueError(f"a bucket needs a target of {LEAST} bytes or more: files have a size of their own")
         self.spark, self.path, self.target = spark, path.rstrip("/"), target
         start = {"kind": kind, "by": list(bucket_by), "buckets": buckets, "schema": None, "in": {}, "bytes": {}, "applied": {}}
         self.state = self._load() or start

@@ -6,9 +6,13 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 
-from repostrata.operators import history
+from repostrata.functions.filters import python_sources
+from repostrata.operators import history, testcode
 from repostrata.operators.stars import growth_long
 from repostrata.plans import tables as plans
+from repostrata.session import pinned
+from repostrata.sources.rawstore import RawStore
+from repostrata.sources.writers import FORMATS, write_outputs
 
 ANALYSES = ("git", "lint", "test", "stars", "metadata")
 
@@ -54,3 +58,49 @@ def analyze(
         else:
             results["metadata"] = plans.metadata_table(tables["repo_metadata"])
     return results
+
+
+def store_raw(
+    tables: dict[str, DataFrame], results: dict[str, DataFrame], store: RawStore, run_ts: str, which: Iterable[str]
+) -> None:
+    """Append what the chosen analyses are made of, and the git results, to a raw store."""
+    for name in which:
+        if name == "git":
+            store.append_git(results["git"], run_ts)
+        elif name == "lint":
+            store.append_lints(tables["lint_messages"], pinned(tables["lint_stats"]), run_ts)
+        elif name == "test":
+            files = pinned(testcode.classify(python_sources(tables["source_files"])))
+            commits = results["test"].select("repo", "commit_hash", "date", "test_to_code_ratio")
+            store.append_tests(files, commits, run_ts)
+        elif name == "stars":
+            store.append_stargazers(tables["star_events"], run_ts)
+        else:
+            store.append_metadata(tables["repo_metadata"], run_ts)
+
+
+def run(
+    tables: dict[str, DataFrame],
+    path: str,
+    run_ts: str,
+    which: Iterable[str] = ANALYSES,
+    formats: Sequence[str] = ("csv",),
+    **options,
+) -> dict[str, str]:
+    """Analyse and write the results in every format: csv, json, parquet or raw.
+
+    Tables go below ``path/run_ts``. The raw store at ``path/raw`` takes the facts behind
+    them as one more run, see ``RawStore``. ``options`` are those of ``analyze``. Returns the
+    folders that were written.
+    """
+    unknown = set(formats) - {*FORMATS, "raw"}
+    if unknown:
+        raise ValueError(f"unknown formats: {sorted(unknown)}")
+    chosen = list(which)
+    results = analyze(tables, chosen, **options)
+    written = write_outputs(results, path, run_ts, [f for f in formats if f != "raw"])
+    if "raw" in formats:
+        written["raw"] = f"{path.rstrip('/')}/raw"
+        store = RawStore(next(iter(tables.values())).sparkSession, written["raw"])
+        store_raw(tables, results, store, run_ts, chosen)
+    return written

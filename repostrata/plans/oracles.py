@@ -440,6 +440,32 @@ from changes group by 1, 2""",
     "json_round_trip": "select s_name as repo, s_suppkey * 10 as disk_usage from supplier",
     "raw_store": _with(LINT) + """select repo as repository_name, commit_hash as hash,
   count(*) as messages from messages group by 1, 2""",
+    "raw_lint_totals": _with(LINT) + """select repo, commit_hash, module, category, msg_id,
+  grouping(module, category, msg_id) as level, count(*) as messages from messages
+group by grouping sets ((repo, commit_hash, module, category, msg_id), (repo, commit_hash, module, category),
+  (repo, commit_hash, module))""",
+    "raw_lint_messages": _with(LINT) + f"""select repo, commit_hash, {_text('d', 'committer_date')}, module, category,
+  msg_id, symbol, case when line = 1 then 'f is too complex. The McCabe rating is ' || rating else 'msg' end as msg,
+  'src/' || module || '.py' as path from messages""",
+    "raw_classified_files": _with(SOURCES) + """select repo, commit_hash, path,
+  case kind when 0 then 'unittest' when 2 then 'pytest' else '' end as imports,
+  case kind when 0 then 'T' else '' end as unittest_classes,
+  case kind when 0 then 'test_a' when 2 then 'test_b' else '' end as pytest_functions,
+  cast(prod as bigint) as production_statements, cast(test as bigint) as test_statements
+from counted where kind <> 3""",
+    "raw_git_table": f"""select repo, total_commits, developer_count, lines_added, change_set_max,
+  average_history_complexity, average_contributor_experience from ({_git('true', 'added - deleted', '')})""",
+    "raw_star_events": _with(STARS) + f"""select distinct repo, {_text('d', 'starred_at')}, u as user_login from stars""",
+    "document_updates": """select cast(o_orderkey as varchar) as repo,
+  case when o_orderkey % 100 = 7 then 'changed' else o_orderstatus end as status,
+  case when o_orderkey % 100 <> 7 then o_custkey end as customer,
+  case when o_orderkey % 100 = 7 then o_orderkey end as key from orders
+union all select 'new' || o_orderkey, 'changed', null, o_orderkey from orders where o_orderkey % 1000 = 1""",
+    "stream_replay": """select repo, strftime(cast(day as timestamp), '%Y-%m-%d %H:%M:%S') as day, batch, value from (
+  select user_id as repo, cast(ts as date) as day, event_id as batch, value,
+    row_number() over (partition by user_id, cast(ts as date) order by event_id % 4 desc, event_id desc) as place
+  from events) where place = 1""",
+    "growing_table": _latest("events"),
     "describe_metric": f"""select "column", count(*) as count, round(avg(value), 6) as mean,
   round(stddev_samp(value), 6) as std, min(value) as min, round(quantile_cont(value, 0.25), 6) as p25,
   round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.75), 6) as p75, max(value) as max

@@ -15,7 +15,7 @@ from repostrata.operators import (
     complexity, diffs, history, lint, metadata, ownership, renames, stars, stats, testcode, upsert,
 )
 from repostrata.plans import tables
-from repostrata.plans.api import analyze
+from repostrata.plans.api import analyze, run
 from repostrata.session import pinned, scratch_path, tune
 from repostrata.sources import readers, writers
 from repostrata.sources.adapters import TestTables
@@ -27,10 +27,10 @@ QUERIES: dict[str, Query] = {}
 
 
 def registered(build: Callable[[TestTables], DataFrame]) -> Callable[[TestTables], DataFrame]:
-    def run(spark: SparkSession, folder: str) -> DataFrame:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
         return build(TestTables(tune(spark), folder))
 
-    QUERIES[build.__name__] = run
+    QUERIES[build.__name__] = query
     return build
 
 
@@ -452,20 +452,123 @@ def json_round_trip(t: TestTables) -> DataFrame:
     )
 
 
+RUN = "2024-01-01_00-00"
+
+
+def _stored(t: TestTables, max_rows: int = 10_000) -> RawStore:
+    return RawStore(t.spark, scratch_path(t.spark, "raw"), max_rows)
+
+
 @registered
 def raw_store(t: TestTables) -> DataFrame:
-    """Lint commits of a run, read back: messages listed in the documents of each commit."""
-    store = RawStore(t.spark, scratch_path(t.spark, "raw"))
-    store.append_lints(t.lint_messages(), pinned(t.lint_stats()), "2024-01-01_00-00")
-    listed = F.regexp_extract_all(F.col("messages"), F.lit('"total_messages":([0-9]+)'))
-    return (
-        store.commits_of("lint")
-        .select("repository_name", "hash", F.aggregate(listed.cast("array<bigint>"), F.lit(0).cast("bigint"), lambda a, b: a + b).alias("n"))
-        .groupBy("repository_name", "hash")
-        .agg(F.sum("n").alias("messages"))
+    """Lint commits of a run, read back: messages in the totals of each commit."""
+    store = _stored(t)
+    store.append_lints(t.lint_messages(), pinned(t.lint_stats()), RUN)
+    totals = store.lint_counts(RUN).where("level = 3").groupBy("repo", "commit_hash").agg(F.sum("messages").alias("messages"))
+    return totals.withColumnsRenamed({"repo": "repository_name", "commit_hash": "hash"})
+
+
+@registered
+def raw_lint_totals(t: TestTables) -> DataFrame:
+    """Totals of commits whose entries are cut into parts of about three."""
+    store = _stored(t, max_rows=3)
+    store.append_lints(t.lint_messages(), pinned(t.lint_stats()), RUN)
+    return store.lint_counts(RUN).drop("run_ts")
+
+
+@registered
+def raw_lint_messages(t: TestTables) -> DataFrame:
+    """Messages of two runs, the older one read back."""
+    store = _stored(t)
+    for name, messages in ((RUN, t.lint_messages()), ("2024-01-01_00-01", t.lint_messages().where("msg_id = 'R2'"))):
+        store.append_lints(messages, t.lint_stats(), name)
+    found = store.lint_messages(RUN)
+    return found.select("repo", "commit_hash", text_of("committer_date"), "module", "category", "msg_id", "symbol", "msg", "path")
+
+
+@registered
+def raw_classified_files(t: TestTables) -> DataFrame:
+    """Statements per file after a run with raw output, read back."""
+    path = scratch_path(t.spark, "run")
+    written = run({"source_files": t.source_files()}, path, RUN, ["test"], ["raw"])
+    files = RawStore(t.spark, written["raw"]).classified_files("latest")
+    lists = ("imports", "unittest_classes", "pytest_functions")
+    return files.select(
+        "repo", "commit_hash", "path", *[F.array_join(c, ",").alias(c) for c in lists], "production_statements", "test_statements"
     )
 
 
+@registered
+def raw_git_table(t: TestTables) -> DataFrame:
+    """The git table after a run with raw output, read back."""
+    facts = {"commits": t.commits(), "file_changes": t.file_changes()}
+    written = run(facts, scratch_path(t.spark, "run"), RUN, ["git"], ["raw"], author="author_id")
+    kinds = {"total_commits": "bigint", "developer_count": "bigint", "lines_added": "bigint", "change_set_max": "bigint",
+             "average_history_complexity": "double", "average_contributor_experience": "double"}
+    rows = RawStore(t.spark, written["raw"]).git_rows(", ".join(f"{n} {k}" for n, k in kinds.items()), "latest")
+    return rounded(rows.drop("run_ts"))
+
+
+@registered
+def raw_star_events(t: TestTables) -> DataFrame:
+    """Star events after a run with raw output, read back."""
+    events = t.star_events().withColumn("user_login", F.col("user_login").cast("string"))
+    written = run({"star_events": events}, scratch_path(t.spark, "run"), RUN, ["stars"], ["raw"])
+    found = RawStore(t.spark, written["raw"]).star_events(RUN)
+    return found.select("repo", text_of("starred_at"), F.col("user_login").cast("bigint").alias("user_login"))
+
+
+@registered
+def document_updates(t: TestTables) -> DataFrame:
+    """A document per order in a store of eight buckets; one in a hundred is replaced, a few are new."""
+    path = scratch_path(t.spark, "documents")
+    orders = t.raw("orders").withColumn("repo", F.col("o_orderkey").cast("string"))
+    first = F.to_json(F.struct(F.col("o_custkey").alias("customer"), F.col("o_orderstatus").alias("status")))
+    second = F.to_json(F.struct(F.lit("changed").alias("status"), F.struct(F.col("o_orderkey").alias("key")).alias("more")))
+    changed = orders.where("o_orderkey % 100 = 7").unionByName(
+        orders.where("o_orderkey % 1000 = 1").withColumn("repo", F.concat(F.lit("new"), "repo"))
+    )
+    for rows, text in ((orders, first), (changed, second)):
+        writers.update_documents(rows.select("repo", F.parse_json(text).alias("doc")), path, buckets=8)
+    value = lambda name, kind: F.try_variant_get("doc", f"$.{name}", kind)
+    return readers.read_documents(t.spark, path).select(
+        "repo", value("status", "string").alias("status"), value("customer", "bigint").alias("customer"),
+        value("more.key", "bigint").alias("key"),
+    )
+
+
+@registered
+def stream_replay(t: TestTables) -> DataFrame:
+    """Four files in four micro-batches, of which the second is replayed after the last.
+
+    Nothing but the batch ranks rows: each file has one row per key, and the last file wins.
+    """
+    source, path = scratch_path(t.spark, "arriving"), scratch_path(t.spark, "replayed")
+    events = t.raw("events").withColumn("file", F.col("event_id") % 4)
+    rows = events.groupBy("file", F.col("user_id").alias("repo"), F.col("ts").cast("date").alias("day")).agg(
+        F.max("event_id").alias("batch"), F.max_by("value", "event_id").alias("value")
+    )
+    rows = pinned(rows)
+    for file in range(4):
+        rows.where(F.col("file") == file).drop("file").coalesce(1).write.mode("append").parquet(source)
+    arriving = t.spark.readStream.schema(rows.drop("file").schema).option("maxFilesPerTrigger", 1).parquet(source)
+    checkpoint = f"{path}-progress"
+    upsert_stream(arriving, path, checkpoint, ["repo", "day"], []).awaitTermination()
+    upsert.upsert_table(rows.where("file = 1").drop("file"), path, ["repo", "day"], batch=(checkpoint, 1))
+    return upsert.read_table(t.spark, path).select("repo", text_of("day"), "batch", "value")
+
+
+@registered
+def growing_table(t: TestTables) -> DataFrame:
+    """Rows upserted in three lots into a table whose buckets split past 8 KB."""
+    path = scratch_path(t.spark, "growing")
+    for lot in range(3):
+        upsert.upsert_table(
+            t.updates().where(F.col("batch") % 3 == lot), path, ["repo", "day"], ["batch"], buckets=1, target=8192
+        )
+    return upsert.read_table(t.spark, path).select("repo", text_of("day"), "batch", "value")
+
+
 # -- statistics ---------------------------------------------------------------------
 
 _METRICS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

@@ -1,6 +1,8 @@
 import pytest
 
 from repostrata.operators import upsert
+from repostrata.operators.buckets import BucketTable, bucket_of, split_from
+from repostrata.sources import readers, writers
 from repostrata.streaming.refresh import upsert_stream
 
 ROWS = "repo string, day long, v long, at long"
@@ -64,3 +66,82 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_path, rows):
         stream = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", 1).parquet(source)
         upsert_stream(stream, path, str(tmp_path / run), ["repo", "day"], ["at"], buckets=4).awaitTermination()
         assert rows(upsert.read_table(spark, path).select("repo", "day", "v", "at")) == want
+
+
+def contents(root):
+    """Modification time and bytes of every data file."""
+    return {str(p): (p.stat().st_mtime_ns, p.read_bytes()) for p in root.rglob("part-*")}
+
+
+def test_buckets_split_as_the_table_grows(spark, tmp_path, rows):
+    """From 4 to 64 buckets over six upserts; the rows are those of one merge."""
+    path, seen, want, size = tmp_path / "t", [], None, 16 * 1024
+    for step in range(6):
+        key = f"(id * 7 + {step} * 311) % 1900"
+        note = "concat_ws('', transform(sequence(1, 12), k -> sha2(concat(id, k), 256)))"
+        lot = spark.range(400).selectExpr(f"concat('r', {key}) as repo", "1L as day", f"id + {step} as v", f"{step}L as at", f"{note} as note")
+        upsert.upsert_table(lot, str(path), ["repo", "day"], ["at"], buckets=4, target=size)
+        want = lot if want is None else want.unionByName(lot)
+        seen.append(BucketTable(spark, str(path)).state["buckets"])
+    assert rows(upsert.read_table(spark, str(path))) == rows(upsert.keep_last(want, ["repo", "day"], ["at"]))
+    assert seen == sorted(seen) and seen[0] < 40 and 64 <= seen[-1] < 128
+    table = BucketTable(spark, str(path))
+    assert sum(table.state["bytes"].values()) <= size * table.state["buckets"]
+    assert max(table.state["bytes"].values()) < 4 * size
+    assert len(list(path.glob("generation-*/__bucket=*"))) == len(table.state["in"])
+    with pytest.raises(ValueError):
+        BucketTable(spark, str(path), target=100)
+
+
+@pytest.mark.parametrize("now", [1, 2, 3, 5, 8, 13])
+def test_a_new_bucket_takes_rows_of_one_other(spark, now):
+    df = spark.range(2000).select(bucket_of(["id"], now).alias("old"), bucket_of(["id"], now + 1).alias("new"))
+    moved = {(r.old, r.new) for r in df.where("old <> new").distinct().collect()}
+    assert moved == {(split_from(now), now)}
+    assert {r.new for r in df.select("new").distinct().collect()} == set(range(now + 1))
+
+
+def test_untouched_buckets_keep_their_files(spark, tmp_path):
+    path = tmp_path / "docs"
+    docs = spark.range(500).selectExpr("concat('r', id) as repo", "parse_json(concat('{\"a\":', id, '}')) as doc")
+    writers.update_documents(docs, str(path), buckets=16)
+    before = contents(path)
+    writers.update_documents(docs.where("repo in ('r3', 'r77')").selectExpr("repo", "parse_json('{\"b\":1}') as doc"), str(path))
+    after = contents(path)
+    same = set(before) & set(after)
+    assert len(same) >= 14 and len(set(after) - same) <= 2 and all(before[p] == after[p] for p in same)
+    got = {r.repo: r.doc for r in readers.read_documents(spark, str(path)).selectExpr("repo", "to_json(doc) as doc").collect()}
+    assert len(got) == 500 and got["r3"] == got["r77"] == '{"b":1}' and got["r4"] == '{"a":4}'
+
+
+def test_the_ledger_lists_what_was_applied(spark, tmp_path, rows):
+    path = str(tmp_path / "t")
+    lot = lambda v: spark.createDataFrame([("r", 1, v, 0)], ROWS)
+    done = [upsert.upsert_table(lot(v), path, ["repo", "day"], batch=("s", n)) for n, v in ((0, 10), (2, 12), (1, 11), (2, 99), (0, 98))]
+    assert done == [True, True, True, False, False]
+    assert rows(upsert.read_table(spark, path)) == [("r", 1, 11, 0)]
+    assert upsert.upsert_table(lot(50).limit(0), path, ["repo", "day"], batch=("s", 3))
+    assert BucketTable(spark, path).state["applied"] == {"s": [3, []]}
+    assert not upsert.upsert_table(lot(51), path, ["repo", "day"], batch=("s", 3))
+    assert upsert.upsert_table(lot(60), path, ["repo", "day"], batch=("other", 0))
+    assert rows(upsert.read_table(spark, path)) == [("r", 1, 60, 0)]
+
+
+def test_a_writer_lost_before_publishing_changes_nothing(spark, tmp_path, rows, monkeypatch):
+    path = str(tmp_path / "t")
+    first = spark.createDataFrame([(f"r{i}", 1, i, 1) for i in range(20)], ROWS)
+    upsert.upsert_table(first, path, ["repo", "day"])
+
+    def lost(self, state):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(BucketTable, "_publish", lost)
+        with pytest.raises(RuntimeError):
+            upsert.upsert_table(first.selectExpr("repo", "day", "v + 1 as v", "at"), path, ["repo", "day"], batch=("s", 0))
+    assert rows(upsert.read_table(spark, path)) == rows(first)
+    assert upsert.upsert_table(first.selectExpr("repo", "day", "v + 1 as v", "at"), path, ["repo", "day"], batch=("s", 0))
+    assert rows(upsert.read_table(spark, path).selectExpr("repo", "day", "v - 1", "at")) == rows(first)
+    # The manifest was written but not yet moved to its place.
+    (tmp_path / "t" / "_manifest.json").rename(tmp_path / "t" / "_manifest.json.new")
+    assert upsert.read_table(spark, path).count() == 20
