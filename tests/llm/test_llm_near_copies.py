@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from repostrata.llm import near_copies, simhash
 from repostrata.llm.common import table
 
@@ -59,3 +61,55 @@ def test_an_id_on_different_texts_loses_none(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = [(r.doc_id, r.text.lower().split()[0]) for r in simhash.deduplicate(docs).collect()]
     assert sorted(kept, key=str) == sorted([(1, "one"), (1, "another"), (None, "third"), (3, "fourth")], key=str)
+
+
+def brute(sets):
+    """Smallest id reachable over pairs of similar sets."""
+    group = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and slow_similar(sets[a], sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(group[a], group[b])
+            changed = changed or group[a] != low or group[b] != low
+            group[a] = group[b] = low
+    return group
+
+
+@pytest.mark.parametrize("block, hashes", [(near_copies.BLOCK, near_copies._HASHES), (7, 2000)])
+def test_texts_of_one_template_in_blocks(spark, monkeypatch, block, hashes):
+    """Texts around the limit, most of them unlinked, compared in whole keys and in small blocks."""
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    monkeypatch.setattr(near_copies, "_HASHES", hashes)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for at in rng.sample(range(200), rng.choice([1, 3, 6, 9, 14])):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in near_copies.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute({i: slow_shingles(t) for i, t in rows})
+    assert 10 < len(set(want.values())) < 80
+    assert got == want
+
+
+def test_a_template_costs_no_list_of_pairs(spark, monkeypatch):
+    """300 texts at a similarity of about 0.7: every pair is a candidate, none is written."""
+    written = []
+    pin = near_copies.pinned
+    monkeypatch.setattr(near_copies, "pinned", lambda df: written.append(pin(df)) or written[-1])
+    rng = random.Random(1)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for at in rng.sample(range(300), 10):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    got = near_copies.groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.select("component_id").distinct().count() == 300
+    pairs = [df.count() for df in written if df.columns == ["a", "b"]]
+    assert max(pairs, default=0) < 40 * 300

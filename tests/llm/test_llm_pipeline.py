@@ -5,8 +5,8 @@ import pytest
 import corpus_pipeline
 from repostrata.llm import decontaminate, entities, toxicity
 from repostrata.llm.common import in_bucket, table
-from repostrata.llm.simhash import fingerprint
 
+LOWER = {upper: upper + 32 for upper in range(65, 91)}
 FOLDER = "/root/testdata/sf0.001"
 
 
@@ -34,15 +34,18 @@ def test_each_stage_by_brute_force(spark, stages):
     toxic = {r.doc_id for r in toxicity.scores(stages[0], model).where("predicted = 1").collect()}
     assert set(rows[1]) == set(rows[0]) - toxic
 
-    prints = {i: fingerprint((r.text or "").encode()) for i, r in rows[1].items()}
-    group = {i: i for i in prints}
+    texts = {i: " ".join((r.text or "").translate(LOWER).split()) for i, r in rows[1].items()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts.items()}
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    group = {i: i for i in texts}
+    links = [(a, b) for a in texts for b in texts if a < b and (texts[a] == texts[b] or (sets[a] and sets[b] and near(a, b)))]
     changed = True
     while changed:
         changed = False
-        for a in prints:
-            low = min(group[b] for b in prints if (prints[a] ^ prints[b]).bit_count() <= 2)
-            if low < group[a]:
-                group[a], changed = low, True
+        for a, b in links:
+            low = min(group[a], group[b])
+            changed = changed or group[a] != low or group[b] != low
+            group[a] = group[b] = low
     assert set(rows[2]) == set(group.values())
 
     automaton = decontaminate.Automaton([(r.item_id, r.text) for r in table(spark, FOLDER, "benchmark").collect()])
