@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
@@ -74,3 +75,27 @@ def sampled(rows: DataFrame, by: str, need: dict | int) -> DataFrame:
     order = Window.partitionBy(by).orderBy(F.pmod(digest, F.lit(_SCALE)), "doc_id")
     ranked = near.withColumn(place, F.row_number().over(order)).withColumn(wanted, most)
     return ranked.where(F.col(place) <= F.col(wanted)).drop(place, wanted)
+
+
+def bit_filter(hashes: DataFrame, column: str, words: int) -> np.ndarray:
+    """A set of 64-bit hashes as ``words`` (a power of two) longs of bits; it may hold others as well.
+
+    Its size is fixed by ``words``, whatever the number of hashes.
+    """
+    slot = F.pmod(column, F.lit(words * 64))
+    bit = F.expr(f"shiftleft(1L, cast(pmod({column}, {words * 64}) % 64 as int))")
+    rows = hashes.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(words, np.int64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return out
+
+
+def in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes the filter may hold; all that were put in are among them."""
+    slots = hashes & (len(bits) * 64 - 1)
+    return (bits[slots >> 6] >> (slots & 63)) & 1 == 1
+
+
+def filter_words(n: int, most: int = 1 << 20) -> int:
+    """Longs for a filter of ``n`` hashes, eight bits each, at most 8 MB in all."""
+    return min(most, 1 << max(10, (n // 8).bit_length()))
