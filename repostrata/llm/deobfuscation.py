@@ -9,6 +9,7 @@ costs, is the restored text. Everything outside such stretches has one reading:
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -22,12 +23,19 @@ _JOINERS = r".\-_~'’·"
 _LETTER = r"[^\W\d_]"
 _SOUND = rf"(?:{_LETTER}|[{_SIGNS}])"
 # A disguised stretch: letters around signs, a letter three times or more, letters around
-# joiners within a word, or single letters in a row with the same gap.
+# joiners within a word, or single letters in a row with the same gap. Within a word a stretch
+# can only start where the run of letters and signs does, and what has been taken is not given
+# back, so a line of any length is read a fixed number of times.
+_IN_WORD = (
+    rf"(?:{_LETTER}|[{_SIGNS}])*(?:{_LETTER}[{_SIGNS}{_JOINERS}]++{_LETTER}|({_LETTER})\1\1"
+    rf"|(?<!\S)[{_SIGNS}]++{_LETTER}{{2}}|{_LETTER}{{2}}[{_SIGNS}]{{1,2}}(?=$|[\s.,;:?]))"
+    rf"(?:[{_SIGNS}{_JOINERS}]*+{_LETTER})*+[{_SIGNS}]*"
+)
 _STRETCH = re.compile(
     rf"(?<![^\W_])(?:{_SOUND}(?:[ ]|[{_JOINERS}]{{1,2}}|[ ][{_JOINERS}][ ])){{2,}}{_SOUND}(?![^\W_])"
-    rf"|(?:{_LETTER}|[{_SIGNS}])*(?:{_LETTER}[{_SIGNS}{_JOINERS}]+{_LETTER}|({_LETTER})\1\1"
-    rf"|(?<!\S)[{_SIGNS}]+{_LETTER}{{2}}|{_LETTER}{{2}}[{_SIGNS}]{{1,2}}(?=$|[\s.,;:?]))(?:{_LETTER}|[{_SIGNS}{_JOINERS}]+(?={_LETTER})|[{_SIGNS}])*",
+    rf"|(?<!{_LETTER})(?<![{_SIGNS}]){_IN_WORD}"
 )
+_REST = re.compile(_IN_WORD)  # of a word whose beginning belongs to a stretch of single letters
 # What the characters of the pattern above are to the hint, by code point; the last entry is for
 # all beyond the first 65,536, which may be letters or not.
 _IS_LETTER, _IS_SIGN, _IS_JOINER, _IS_WORD = 1, 2, 4, 8
@@ -113,10 +121,13 @@ def _readings(stretch: str) -> list[list[tuple[str, float]]]:
 
 
 def restore(stretch: str, model: CharModel) -> str:
-    """The Viterbi path through the lattice of one stretch, in lower case."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
+    """The Viterbi path through the lattice of one stretch of any length, in lower case.
+
+    Paths are linked lists, so a step costs the same wherever it is.
+    """
+    states: dict[tuple[int, int], tuple[float, tuple]] = {(EDGE, EDGE): (0.0, ())}
     for options in _readings(stretch.lower()):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+        after: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (cost, path) in states.items():
             for letters, price in options:
                 x, y, total = a, b, cost + price
@@ -126,11 +137,15 @@ def restore(stretch: str, model: CharModel) -> str:
                         total += model.cost(x, y, z)
                     x, y = (EDGE, EDGE) if z == EDGE else (EDGE if y == EDGE else y, z)
                 best = after.get((x, y))
-                if best is None or (total, path + letters) < best:
-                    after[x, y] = (total, path + letters)
+                if best is None or total < best[0]:
+                    after[x, y] = (total, (path, letters))
         states = after
-    ends = [(c + (model.cost(a, b, EDGE) if b else 0.0), p) for (a, b), (c, p) in states.items()]
-    return min(ends)[1]
+    ends = [(c + (model.cost(a, b, EDGE) if b else 0.0), i) for i, ((a, b), (c, _)) in enumerate(states.items())]
+    path, parts = list(states.values())[min(ends)[1]][1], []
+    while path:
+        path, letters = path
+        parts.append(letters)
+    return "".join(reversed(parts))
 
 
 def _hinted(text: str) -> np.ndarray:
@@ -154,22 +169,31 @@ def _hinted(text: str) -> np.ndarray:
     return np.unique(np.searchsorted(np.flatnonzero(raw == 10), hits))
 
 
+def stretches(line: str) -> Iterator[tuple[int, int]]:
+    """Start and end of each disguised stretch of a line."""
+    at = 0
+    while match := _STRETCH.search(line, at):
+        while match:
+            yield match.span()
+            at = match.end()
+            match = _REST.match(line, at)
+
+
 def deobfuscate(text: str, model: CharModel, cache: dict[str, str], longest: int = 200) -> str:
     """``text`` in lower case with every disguised stretch restored.
 
-    Stretches are restored in pieces of ``longest`` characters. ``cache`` keeps results of
-    short ones and is emptied when it grows large.
+    ``cache`` keeps results of stretches of up to ``longest`` characters and is emptied when
+    it grows large.
     """
     text = text.lower()
     where = _hinted(text)
     if not len(where):
         return text
 
-    def fix(match: re.Match) -> str:
-        stretch = match[0]
+    def fix(stretch: str) -> str:
         if stretch in cache:
             return cache[stretch]
-        out = "".join(restore(stretch[i : i + longest], model) for i in range(0, len(stretch), longest))
+        out = restore(stretch, model)
         if len(stretch) <= longest:
             if len(cache) > 50_000:
                 cache.clear()
@@ -178,5 +202,9 @@ def deobfuscate(text: str, model: CharModel, cache: dict[str, str], longest: int
 
     lines = text.split("\n")
     for i in where.tolist():
-        lines[i] = _STRETCH.sub(fix, lines[i])
+        line, parts, at = lines[i], [], 0
+        for start, end in stretches(line):
+            parts += [line[at:start], fix(line[start:end])]
+            at = end
+        lines[i] = "".join([*parts, line[at:]])
     return "\n".join(lines)

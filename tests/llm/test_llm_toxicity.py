@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -107,3 +108,26 @@ def test_hint_covers_every_disguised_stretch():
     lines += ["".join(rng.choices("aaбß 1@§€·’-_.~ \U0001f600²\t", k=rng.randint(1, 9))) for _ in range(40_000)]
     for line in lines:
         assert not _STRETCH.search(line) or _hinted(line).tolist() == [0], line
+
+
+def test_a_line_of_a_million_signs_is_read_in_seconds():
+    rng = random.Random(2)
+    model = channel.CharModel(channel.CharModel.fit(np.arange(10), np.ones(10)))
+    for text in ("ab" * 500_000, "$" * 1_000_000, "aaa" + "$" * 300_000, "a." * 10 + "." * 500_000, "a$ " + "1" * 900_000, "a.b.c@" * 20_000):
+        start = time.process_time()
+        list(channel.stretches(text))
+        assert time.process_time() - start < 5
+    start = time.process_time()
+    assert len(channel.deobfuscate("ab" * 500_000 + "\n" + "1d10t " * 2_000, model, {})) > 1_000_000
+    assert time.process_time() - start < 5
+
+
+def test_a_long_stretch_is_one_lattice():
+    """A long stretch reads as its beginning and its end do by themselves, over any inner border."""
+    rng = np.random.default_rng(4)
+    model = channel.CharModel(channel.CharModel.fit(np.arange(128**3), rng.integers(1, 9, 128**3)))
+    stretch = "".join(rng.choice(list("abe1$"), 6_000)) + "e"
+    whole = channel.restore(stretch, model)
+    for border in range(150, 1_000, 50):
+        assert whole.startswith(channel.restore(stretch[:border], model)[: border // 2])
+        assert whole.endswith(channel.restore(stretch[-border:], model)[-border // 2 :])
