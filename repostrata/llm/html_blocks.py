@@ -7,12 +7,14 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import xxhash
+
 # Element names of the HTML standard, grouped by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes template svg math".split())
+RAW = frozenset("script style textarea title noscript iframe noembed noframes template svg".split())
 DROPPED = frozenset(
-    "head nav footer aside form script style title textarea noscript iframe noembed noframes template svg math "
-    "button select option label input fieldset dialog menu object canvas audio video".split()
+    "head nav footer aside form script style title textarea noscript iframe noembed noframes template svg "
+    "button select option input fieldset dialog menu object canvas audio video annotation annotation-xml".split()
 )
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption "
@@ -30,6 +32,20 @@ UNWANTED = frozenset(
     "promotion promoted recommended related respond share sharing sidebar signup skip social sponsor sponsored "
     "subscribe tags-nav toc toolbar widget alert complementary contentinfo search".split()
 )
+# Second words that make a name such as comment-list one of a part of the page; other words, as
+# in notice-period, make it the name of a subject.
+PARTS = frozenset(
+    "area bar block body box button buttons column container content feed footer form group header holder icons inner "
+    "item items left link links list main menu outer overlay panel post posts primary right row secondary section slot "
+    "space strip top bottom tray unit wrap wrapper zone".split()
+)
+# First words of the same kind.
+PLACES = frozenset(
+    "site page main top bottom left right global primary secondary header footer sticky user reader mobile desktop "
+    "side post entry article blog local page".split()
+)
+# In these, only a class or role that is one of the words as a whole counts: names tell of a subject.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption li dd dt td th".split())
 # These hold the article, whatever their classes say of the page.
 NEVER_UNWANTED = frozenset("html body main article".split())
 # First words of classes that tell of a layout, not of the element itself.
@@ -80,17 +96,29 @@ def _first(match: re.Match) -> str:
 
 
 @_remembered
-def unwanted(attributes: str) -> bool:
+def unwanted(attributes: str, textual: bool = False) -> bool:
     for match in _MARKS.finditer(attributes):
+        if textual and match[0][:2].lower() == "id":
+            continue
         for token in _first(match).lower().split():
             words = _WORDS.findall(token)
-            if words and words[0] in STATES and len(words) > 1:
-                continue
-            if token in UNWANTED or (words and (words[0] in UNWANTED or words[-1] in UNWANTED)):
+            if token in UNWANTED or not textual and _compound(words):
                 return True
     return False
 
 
+def _compound(words: list[str]) -> bool:
+    """Whether the words of a name tell of a part of the page that is no article."""
+    if not words or words[0] in STATES and len(words) > 1:
+        return False
+    if len(words) == 1:
+        return words[0] in UNWANTED
+    first, last = words[0] in UNWANTED, words[-1] in UNWANTED
+    return first and all(w in PARTS or w in UNWANTED for w in words[1:]) or last and all(
+        w in PLACES or w in UNWANTED for w in words[:-1]
+    )
+
+
 @_remembered
 def step(name: str, attributes: str) -> str:
     """One step of a path: the tag and its sorted classes, with digits generalised."""
@@ -99,6 +127,16 @@ def step(name: str, attributes: str) -> str:
     return ".".join([name, *classes])
 
 
+def below(path: str, last: str) -> str:
+    """The path of a container inside the one at ``path``: ``depth:hash>step``."""
+    depth = int(path.partition(":")[0] or 0) + 1
+    return f"{depth}:{xxhash.xxh64_hexdigest(f'{path}>{last}')}>{last}"
+
+
+def depth_of(path: str) -> int:
+    return int(path.partition(":")[0])
+
+
 @_remembered
 def _end(name: str) -> re.Pattern:
     return re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I)
@@ -115,8 +153,9 @@ def _read(source: str, by_class: bool) -> Page:
 
     Open tags are closed where HTML closes them or where an ancestor ends; stray end tags
     are ignored, and a page may break off anywhere. White space in a block becomes one
-    space. A header element, and a figure's caption, is boilerplate unless it stands inside an
-    article.
+    space. A header element is boilerplate unless it stands inside an article. A container's
+    path is named by its depth, a hash of its steps, and its last step, so that what is kept
+    of a page grows with its size and not with its depth.
     """
     page, stack, buffer, linked = Page(), [], [], 0
     root = Element("", "", True, False, None, False)
@@ -186,10 +225,10 @@ def _read(source: str, by_class: bool) -> Page:
             at = end.end() if end else len(source)
             continue
         inside = top.article or name in ("article", "main")
-        refused = name in DROPPED or name in ("header", "figcaption") and not top.article
+        refused = name in DROPPED or name == "header" and not top.article
         if by_class and attributes and name not in NEVER_UNWANTED:
-            refused = refused or unwanted(attributes)
-        path = f"{top.path}>{step(name, attributes)}" if name in CONTAINERS else top.path
+            refused = refused or unwanted(attributes, name in TEXTUAL)
+        path = below(top.path, step(name, attributes)) if name in CONTAINERS else top.path
         container = top.container
         if name in CONTAINERS and top.wanted and not refused:
             page.containers.append((path, container))
@@ -225,7 +264,7 @@ def scores(page: Page) -> list[tuple[str, float]]:
     whole = sum(total.values())
     if not whole:
         return []
-    return sorted(((p, w / whole) for p, w in total.items() if w), key=lambda x: (-x[1], x[0].count(">"), x[0]))
+    return sorted(((p, w / whole) for p, w in total.items() if w), key=lambda x: (-x[1], depth_of(x[0]), x[0]))
 
 
 def shares(page: Page) -> dict[str, float]:

@@ -1,5 +1,8 @@
 import html
 import re
+import tracemalloc
+
+import pytest
 
 from repostrata.llm import extraction, html_blocks
 
@@ -82,3 +85,38 @@ def test_sibling_sections_and_other_templates_are_kept(spark):
     got = {r.page_id: r.text for r in extraction.extract(spark.createDataFrame(rows, PAGES)).collect()}
     assert got[0] == got[10] == f"{lead.strip()}\n{text.strip()}"
     assert got[20] == f"a teaser\n{text.strip()}"
+
+
+@pytest.mark.parametrize("kept", [
+    '<article><h2 class="banner-title">{}</h2></article>', '<article><p id="search-and-rescue">{}</p></article>',
+    '<article><div class="ad-hoc-network">{}</div></article>', '<article><p class="notice-period">{}</p></article>',
+    "<body><div><figure><figcaption>{}</figcaption></figure></div></body>", "<article><p><math><mi>{}</mi></math></p></article>",
+    "<article><p><label>{}</label></p></article>", '<div class="comment-on-law"><p>{}</p></div>', '<div class="share-price">{}</div>',
+    '<div class="promo-story"><p id="footer-of-a-mountain">{}</p></div>',
+])
+def test_names_of_subjects_are_no_boilerplate(kept):
+    page = html_blocks.read(kept.format("Whole text of it"))
+    assert [b[1] for b in page.blocks] == ["Whole text of it"]
+
+
+@pytest.mark.parametrize("gone", [
+    '<div class="comment-list">{}</div>', '<div id="site-footer">{}</div>', '<ul class="nav-menu"><li>{}</ul>', '<p class="ad">{}</p>',
+    '<div class="cookie-banner">{}</div>', '<section class="related-posts"><p>{}</section>', '<div class="sidebar-2">{}</div>',
+    "<form><label>{}</label></form>", '<div role="navigation">{}</div>', '<div class="newsletter-signup-box">{}</div>',
+    "<article><math><annotation>{}</annotation></math></article>",
+])
+def test_names_of_page_parts_are(gone):
+    page = html_blocks.read(f"<body><article><p>The article.</p></article>{gone.format('Not of it')}</body>")
+    assert [b[1] for b in page.blocks] == ["The article."]
+
+
+def test_memory_follows_the_size_of_a_page_not_its_depth():
+    source = "<div class='level'>" * 20_000 + "text" + "</div>" * 20_000
+    tracemalloc.start()
+    try:
+        page = html_blocks.read(source)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [b[1] for b in page.blocks] == ["text"] and peak < 60_000_000
+    assert len({p for p, _ in page.containers}) == 20_000
