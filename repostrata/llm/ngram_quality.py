@@ -5,16 +5,18 @@ of up to seven bytes is packed into a long, so counts, continuation counts, disc
 back-off weights are exact aggregates and joins over longs, sharded by n-gram.
 
 Scoring does not ship the model to the documents. Each task packs its documents into
-compressed frames of at most ``FRAME`` bytes and lists the distinct n-grams of every frame;
-those are joined with the model, shard by shard, and only the values a frame asked for meet
-it again. A frame that misses one of its n-grams fails the job rather than be misjudged.
+compressed frames of at most ``FRAME`` bytes and lists the distinct n-grams of every frame,
+sorted and packed, one list per shard. A shard is told by the two bytes before the last: the
+n-gram, its shorter tails and all their contexts lie in the same one, so a list meets all the
+model it needs at once. What is shorter than that has at most 65,536 values and travels with
+the tasks. Only the values a frame asked for, in the order of its lists, meet it again. A frame
+that misses one of its n-grams fails the job rather than be misjudged.
 """
 
 from __future__ import annotations
 
 import io
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,10 @@ ORDER = 5
 FRAME = 8 * 1024 * 1024
 _PIECE = 1 << 20  # bytes of text worked on at a time
 QUANTILE = 0.99
-MIN_SUPPORT = 30  # held-out trusted documents of a language below which this quantile means little
+PRIOR = 30  # held-out trusted documents that the common quantile counts for beside a language's own
+SHARDS = 256
+BLOCK = 1024  # frames whose lists meet one copy of a shard's model
+_SMALL = 2  # up to this length n-grams are few enough to travel
 _FILTER_WORDS = 1 << 16  # 64-bit words of the filter that spares untrusted text the shuffle
 
 
@@ -114,26 +119,98 @@ def model_levels(grams: DataFrame, order: int = ORDER) -> list[tuple[DataFrame,
     return levels
 
 
-def probabilities(wanted: DataFrame, grams: DataFrame, order: int = ORDER) -> DataFrame:
-    """``(gram, logp)`` for every n-gram of ``wanted(gram)``, seen in training or not."""
-    known = wanted
-    lengths = list(range(order, 0, -1))
-    for length, (alpha, gamma) in zip(lengths, model_levels(grams, order)):
-        tail = F.col("gram").bitwiseAND((1 << 8 * length) - 1)
-        known = known.withColumn("tail", tail).withColumn("context", F.shiftright(tail, 8))
-        known = known.join(alpha.select(F.col("gram").alias("tail"), F.col("alpha").alias(f"a{length}")), "tail", "left")
+def _pair_shard(pair):
+    """Shard of the two bytes before the last of an n-gram, for arrays and columns."""
+    mixed = pair * 40503
+    return F.shiftright(mixed.bitwiseAND(65535), 8) if isinstance(mixed, Column) else (mixed & 65535) >> 8
+
+
+def sharded_model(grams: DataFrame, order: int) -> tuple[DataFrame, dict[tuple[int, str], tuple[np.ndarray, np.ndarray]], float]:
+    """The model as ``(shard, length, kind, gram, value)``, what is short as arrays, and the last gamma.
+
+    ``kind`` is ``a`` for alphas and ``g`` for gammas, whose ``gram`` is the context.
+    """
+    parts, small, last = [], {}, 1.0
+    for length, (alpha, gamma) in zip(range(order, 0, -1), model_levels(grams, order)):
+        tables = {"a": alpha.select("gram", F.col("alpha").alias("value"))}
         if isinstance(gamma, float):
-            known = known.withColumn(f"g{length}", F.lit(gamma))
+            last = gamma
         else:
-            known = known.join(gamma.withColumnRenamed("gamma", f"g{length}"), "context", "left")
-        known = known.drop("tail", "context")
-    # From the uniform distribution upwards; an unseen context passes everything on.
-    chance: Column = reduce(
-        lambda lower, n: F.coalesce(f"a{n}", F.lit(0.0)) + F.coalesce(f"g{n}", F.lit(1.0)) * lower,
-        reversed(lengths),
-        F.lit(1 / 256),
-    )
-    return known.select("gram", F.ln(chance).alias("logp"))
+            tables["g"] = gamma.select(F.col("context").alias("gram"), F.col("gamma").alias("value"))
+        for kind, table in tables.items():
+            if length <= _SMALL:
+                found = table.orderBy("gram").toArrow()
+                small[length, kind] = tuple(found.column(c).to_numpy() for c in ("gram", "value"))
+            else:
+                pair = F.col("gram") if kind == "g" else F.shiftright("gram", 8)
+                shard = _pair_shard(pair.bitwiseAND(65535)).cast("int").alias("shard")
+                parts.append(table.select(shard, F.lit(length).alias("length"), F.lit(kind).alias("kind"), "gram", "value"))
+    schema = "shard int, length int, kind string, gram long, value double"
+    model = grams.sparkSession.createDataFrame([], schema)
+    for part in parts:
+        model = model.unionByName(part)
+    return model, small, last
+
+
+def log_probabilities(grams: np.ndarray, tables: dict, last: float, order: int) -> np.ndarray:
+    """Natural logarithms of the n-grams' probabilities, from the uniform distribution upwards.
+
+    ``tables`` has sorted n-grams and values by ``(length, kind)``. An unseen context passes
+    everything on to the shorter one.
+    """
+
+    def value(length: int, kind: str, wanted: np.ndarray, default: float) -> np.ndarray:
+        known, values = tables.get((length, kind), (np.empty(0, np.int64), np.empty(0)))
+        if not len(known):
+            return np.full(len(wanted), default)
+        at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+        return np.where(known[at] == wanted, values[at], default)
+
+    chance = np.full(len(grams), 1 / 256)
+    for length in range(1, order + 1):
+        tail = grams & ((1 << 8 * length) - 1)
+        weight = last if length == 1 else value(length, "g", tail >> 8, 1.0)
+        chance = value(length, "a", tail, 0.0) + weight * chance
+    return np.log(chance)
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Ascending longs as compressed differences, the equal bytes of all of them together."""
+    steps = np.diff(values, prepend=np.int64(0))
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack_sorted(packed_values: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed_values, 8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view(np.int64).reshape(-1))
+
+
+def answered(asked: DataFrame, grams: DataFrame, order: int) -> DataFrame:
+    """``(frame, n, grams, logs)`` for each list ``(frame, shard, n, grams)``, values in its order."""
+    model, small, last = sharded_model(grams, order)
+    model = pinned(model)
+    blocks = max(1, -(-asked.select("frame").distinct().count() // BLOCK))
+    block = F.pmod(F.xxhash64("frame"), F.lit(blocks)).cast("int").alias("block")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+
+    def answer(lists: pa.Table, model: pa.Table) -> pa.Table:
+        sizes = lists.column("n").to_pylist()
+        wanted = [unpack_sorted(g, n) for g, n in zip(lists.column("grams").to_pylist(), sizes)]
+        tables = dict(small)
+        lengths, kinds = model.column("length").to_numpy(), np.array(model.column("kind").to_pylist(), object)
+        known, values = model.column("gram").to_numpy(), model.column("value").to_numpy()
+        for length in range(_SMALL + 1, order + 1):
+            for kind in "ag":
+                own = np.flatnonzero((lengths == length) & (kinds == kind))
+                own = own[np.argsort(known[own])]
+                tables[length, kind] = (known[own], values[own])
+        logs = [log_probabilities(g, tables, last, order).tobytes() for g in wanted]
+        return lists.select(["frame", "n", "grams"]).append_column("logs", pa.array(logs, pa.binary()))
+
+    left = asked.withColumn("block", block).groupBy("shard", "block")
+    right = model.withColumn("block", copies).groupBy("shard", "block")
+    return left.cogroup(right).applyInArrow(answer, "frame long, n long, grams binary, logs binary")
 
 
 def trusted_text(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -164,21 +241,21 @@ def trusted_text(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return slotted.mapInArrow(maybe, f"doc_id {kind}, text string").join(good, "doc_id", "left_semi").select("text")
 
 
-def _frames(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[str, list[pa.RecordBatch]]]:
-    """Named runs of batches with at most ``limit`` bytes; a longer row is a frame of its own."""
-    task, number, held, size = pyspark.TaskContext.get(), 0, [], 0
+def _frames(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Numbered runs of batches with at most ``limit`` bytes; a longer row is a frame of its own."""
+    number, held, size = pyspark.TaskContext.get().partitionId() << 32, [], 0
     for batch in batches:
         lengths = np.fromiter((len(t) for t in as_bytes(batch.column(1))), np.int64, batch.num_rows)
         start = 0
         for i, length in enumerate(lengths.tolist()):
             if size and size + length > limit:
                 held.append(batch.slice(start, i - start))
-                yield f"{task.partitionId()}-{number}", held
+                yield number, held
                 start, number, held, size = i, number + 1, [], 0
             size += length
         held.append(batch.slice(start))
     if held:
-        yield f"{task.partitionId()}-{number}", held
+        yield number, held
 
 
 def _distinct(frame: list[pa.RecordBatch], order: int) -> np.ndarray:
@@ -199,25 +276,34 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, frame:
     rows = docs.select("doc_id", "text", "lang")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, held in _frames(batches, frame):
-            grams = _distinct(held, order)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams)], ["frame", "gram"])
+        for number, held in _frames(batches, frame):
+            grams = np.sort(_distinct(held, order))
+            shard = _pair_shard((grams >> 8) & 65535)
+            by = np.argsort(shard, kind="stable")
+            cuts = np.flatnonzero(np.diff(shard[by])) + 1
+            lists = [grams[own] for own in np.split(by, cuts)] if len(grams) else []
+            columns = [
+                pa.array([number] * len(lists), pa.int64()), pa.array([_pair_shard((g[0] >> 8) & 65535) for g in lists], pa.int32()),
+                pa.array(map(len, lists), pa.int64()), pa.array(map(pack_sorted, lists), pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["frame", "shard", "n", "grams"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, held in _frames(batches, frame):
+        for number, held in _frames(batches, frame):
             sink = io.BytesIO()
             with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 for batch in held:
                     out.write_batch(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([sink.getvalue()], pa.binary())], ["frame", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue()], pa.binary())], ["frame", "docs"])
 
-    asked = pinned(rows.mapInArrow(ask, "frame string, gram long"))
-    grams = gram_counts(trusted, order)
-    values = pinned(probabilities(asked.select("gram").distinct(), grams, order))
-    answers = asked.join(values, "gram").select("frame", "gram", "logp")
+    asked = pinned(rows.mapInArrow(ask, "frame long, shard int, n long, grams binary"))
+    answers = answered(asked, gram_counts(trusted, order), order)
 
     def score(frames: pa.Table, answers: pa.Table) -> pa.Table:
-        known, logs = answers.column("gram").to_numpy(), answers.column("logp").to_numpy()
+        lists = zip(*(answers.column(c).to_pylist() for c in ("n", "grams", "logs")))
+        found = [(unpack_sorted(g, n), np.frombuffer(v)) for n, g, v in lists]
+        known, logs = (np.concatenate([f[i] for f in found] or [np.empty(0)]) for i in (0, 1))
+        known = known.astype(np.int64, copy=False)
         sort = np.argsort(known)
         known, logs = known[sort], logs[sort]
         out = []
@@ -239,19 +325,21 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, frame:
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, n_tokens long, perplexity double"
-    frames = rows.mapInArrow(pack, "frame string, docs binary")
+    frames = rows.mapInArrow(pack, "frame long, docs binary")
     return frames.groupBy("frame").cogroup(answers.groupBy("frame")).applyInArrow(score, schema)
 
 
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """``(doc_id, lang, n_tokens, perplexity, threshold, kept)`` per row of ``docs``.
 
-    A document is kept when its perplexity is at most the ``quantile`` of trusted documents of
-    its language. Those are a fifth of the ids, which the model has not seen: documents it was
-    counted on look likelier than new ones of the same quality. A language with fewer than ``MIN_SUPPORT`` of
-    them, or a null one, takes the quantile over all of them. Without trusted documents
-    at all everything with text is kept. Texts without a byte are not kept. Repeated rows get
-    equal results.
+    A document is kept when its perplexity is at most the threshold of its language: the
+    ``quantile`` of trusted documents of the language, drawn towards the one over all of them
+    as if that came from ``PRIOR`` further documents (a mean of logarithms). So a language with
+    few or no trusted documents, or a null one, is judged by the common quantile, and its own
+    counts the more the more there are. Those documents are a fifth of the ids, which the model
+    has not seen: documents it was counted on look likelier than new ones of the same quality.
+    Without trusted documents at all everything with text is kept. Texts without a byte are not
+    kept. Repeated rows get equal results.
     """
     seen = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)) != 0
     scored = pinned(perplexities(docs, trusted_text(docs, labels.where(seen))))
@@ -259,10 +347,11 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Dat
     good = good.select(F.col("doc_id").alias("good_id")).distinct()
     trusted = scored.join(good, F.col("doc_id") == F.col("good_id"), "left_semi").where("perplexity is not null")
     cut = F.percentile_approx("perplexity", quantile, 100_000)
-    overall = trusted.agg(cut.alias("c")).head().c
+    overall = F.lit(trusted.agg(cut.alias("c")).head().c).cast("double")
     by_lang = trusted.where("lang is not null").groupBy(F.col("lang").alias("lang_"))
-    by_lang = by_lang.agg(F.when(F.count(F.lit(1)) >= MIN_SUPPORT, cut).alias("cut"))
-    rows = scored.join(by_lang, F.col("lang") == F.col("lang_"), "left")
-    limit = F.coalesce("cut", F.lit(overall).cast("double"))
+    n = F.count(F.lit(1))
+    shrunk = F.exp((n * F.ln(cut) + PRIOR * F.ln(overall)) / (n + PRIOR))
+    rows = scored.join(by_lang.agg(shrunk.alias("cut")), F.col("lang") == F.col("lang_"), "left")
+    limit = F.coalesce("cut", overall)
     kept = F.col("perplexity").isNotNull() & (limit.isNull() | (F.col("perplexity") <= limit))
     return rows.select("doc_id", "lang", "n_tokens", "perplexity", limit.alias("threshold"), kept.alias("kept"))

@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,8 +44,9 @@ def slow_model(texts, order):
     return chance
 
 
-@pytest.mark.parametrize("order", [2, 3, 5])
-def test_perplexities_equal_brute_force(spark, order):
+@pytest.mark.parametrize("order, block", [(2, 1024), (3, 1024), (5, 1024), (5, 1)])
+def test_perplexities_equal_brute_force(spark, monkeypatch, order, block):
+    monkeypatch.setattr(nq, "BLOCK", block)
     rng = random.Random(order)
     trusted = [bytes(rng.choice(b"abcde f") for _ in range(rng.randint(0, 80))) for _ in range(40)]
     asked = trusted[:5] + [b"zebra \xc3\xa9", b"a", b"ab\nab"]
@@ -90,3 +92,26 @@ def test_good_documents_are_told_from_bad(spark):
     got = nq.judge(docs, seen).join(labels.where("doc_id % 4 = 1"), "doc_id")
     rates = {r.quality: r.rate for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("rate")).collect()}
     assert rates[1] > 0.95 and rates[0] < 0.2
+
+
+def test_lists_are_packed_without_loss():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 7, 5000):
+        values = np.sort(rng.choice(1 << 40, n, replace=False).astype(np.int64))
+        assert (nq.unpack_sorted(nq.pack_sorted(values), n) == values).all()
+
+
+def test_a_small_language_is_drawn_towards_the_common_threshold(spark):
+    """No switch: the threshold moves with every trusted document of a language."""
+    rng = random.Random(3)
+    text = lambda letters: "".join(rng.choice(letters) for _ in range(200))
+    rows = [(i, text("abcd e"), "aa") for i in range(400)] + [(1000 + i, text("tuvwxyz q"), "tt") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    limits = []
+    for known in (0, 20, 60):
+        labels = spark.createDataFrame([(i, 1) for i in range(400)] + [(1000 + i, 1) for i in range(known)], "doc_id long, quality int")
+        found = nq.judge(docs, labels).select("lang", "threshold").distinct().collect()
+        limits.append({r.lang: r.threshold for r in found})
+    assert limits[0]["tt"] == pytest.approx(limits[0]["aa"])
+    assert limits[0]["tt"] < limits[1]["tt"] != limits[2]["tt"]
+    assert all(found["aa"] < found["tt"] for found in limits[1:])
