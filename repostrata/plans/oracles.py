@@ -6,6 +6,7 @@ Written from the definitions (windows, recursion, joins), not from the Spark pla
 from repostrata.functions.distributions import (
     ACKLAM_BREAK, ACKLAM_MIDDLE, ACKLAM_TAIL, ROYSTON_LARGEST, ROYSTON_SECOND,
 )
+from repostrata.operators.stats import MOST_VALUES
 
 COMMITS = """
 commits as (
@@ -258,7 +259,8 @@ def _power_sum(coefficients: tuple) -> str:
 
 
 # The Shapiro-Wilk statistic from all values in order, for more than five of them.
-_NORMALITY = f"""with metrics as {METRICS.replace(", 'l_discount', 'l_tax'", "").replace(", l_discount, l_tax", "")},
+_TWO_METRICS = METRICS.replace(", 'l_discount', 'l_tax'", "").replace(", l_discount, l_tax", "")
+_NORMALITY = f"""with metrics as {_TWO_METRICS},
 placed as (select "column", value, row_number() over (partition by "column" order by value) as i,
   count(*) over (partition by "column") as n from metrics),
 scored as (select *, {_score("i")} as m from placed),
@@ -498,15 +500,29 @@ from {_ranked('l_quantity', 'l_extendedprice')}""",
   case when r > 0 then 'positive' when r < 0 then 'negative' else 'none' end as direction
 from (select count(*) as n, corr(rx, ry) as r from {_ranked('l_quantity', 'l_discount')})""",
     "normality": _NORMALITY,
+    "normality_sampled": _NORMALITY.replace(_TWO_METRICS, f"""(select "column", value from (
+  select *, row_number() over (partition by "column" order by hash, value) as place from (
+    select unnest(['l_quantity', 'l_extendedprice']) as "column", unnest([l_quantity, l_extendedprice]) as value,
+      md5(l_orderkey || '|' || l_linenumber) as hash from lineitem)) where place <= {MOST_VALUES})"""),
+    "describe_batches": f"""select "column", count(*) as count, round(avg(value), 4) as mean, round(stddev_samp(value), 4) as std,
+  round(min(value), 4) as min, round(max(value), 4) as max, true as p25_close, true as p50_close, true as p75_close
+from {METRICS} group by 1""",
+    "stars_stream": _with(STARS) + f"""select repo, {_text('d', 'date')},
+  cast(sum(n) over (partition by repo order by d) as bigint) as stargazers_count
+from (select repo, d, count(*) as n from stars group by 1, 2)""",
     "correlation_report": _CORRELATION_REPORT,
     "describe_approximately": _DESCRIBE_APPROXIMATELY,
     "outputs_upsert": _with(STARS) + f"""select repo, {_text('d', 'date')},
   cast(sum(n) over (partition by repo order by d) + case when repo = 'click' then 0 else 1 end as bigint) as stargazers_count
 from (select repo, d, count(*) as n from stars group by 1, 2)""",
-    "analyze_all": _with(COMMITS, STARS, LINT) + """select 'git' as result, count(distinct repo) as rows from commits
-union all select 'git_developers', count(*) from (select distinct repo, author_name from commits)
-union all select 'star_growth', count(*) from (select distinct repo, d from stars)
+    "analyze_all": _with(COMMITS, STARS, LINT, _FIRST_SEEN) + """select 'git' as result, count(distinct repo) as rows,
+  cast(count(*) as double) as total from commits
+union all select 'git_developers', count(*), sum(place) from (
+  select row_number() over (partition by repo order by first_seq, author_name) as place from seen)
+union all select 'star_growth', count(*), sum(n) from (
+  select sum(n) over (partition by repo order by d) as n from (select repo, d, count(*) as n from stars group by 1, 2))
 union all select 'lint_rows', (select count(*) from (select distinct repo, d, commit_hash from messages)) * 3
   + (select count(*) from (select distinct repo, d, commit_hash, category from messages))
-  + (select count(*) from (select distinct repo, d, commit_hash, symbol from messages where line <> 7))""",
+  + (select count(*) from (select distinct repo, d, commit_hash, symbol from messages where line <> 7)),
+  (select count(*) * 3 + count(*) filter (where line <> 7) from messages)""",
 }

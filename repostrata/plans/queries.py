@@ -20,7 +20,7 @@ from repostrata.session import pinned, scratch_path, tune
 from repostrata.sources import readers, writers
 from repostrata.sources.adapters import TestTables
 from repostrata.sources.rawstore import RawStore, stargazer_documents
-from repostrata.streaming.refresh import upsert_stream
+from repostrata.streaming.refresh import growth_stream, upsert_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -384,6 +384,23 @@ def stream_upsert(t: TestTables) -> DataFrame:
     return upsert.read_table(t.spark, path).select("repo", text_of("day"), "batch", "value")
 
 
+@registered
+def stars_stream(t: TestTables) -> DataFrame:
+    """Star growth kept up to date over four files, each with stars of all days."""
+    source, path = scratch_path(t.spark, "stars"), scratch_path(t.spark, "growth")
+    events = pinned(t.raw("events").withColumn("file", F.col("event_id") % 4))
+    for file in range(4):
+        events.where(F.col("file") == file).drop("file").coalesce(1).write.mode("append").parquet(source)
+    arriving = (
+        t.spark.readStream.schema(events.drop("file").schema)
+        .option("maxFilesPerTrigger", 1)
+        .parquet(source)
+        .selectExpr("event_type as repo", "cast(date_trunc('hour', ts) as timestamp) as starred_at", "user_id as user_login")
+    )
+    growth_stream(arriving, path, f"{path}-progress").awaitTermination()
+    return upsert.read_table(t.spark, path).select("repo", text_of("date"), "stargazers_count")
+
+
 def _results(t: TestTables) -> dict[str, DataFrame]:
     facts = {
         "commits": t.commits(), "file_changes": t.file_changes(), "lint_stats": t.lint_stats(),
@@ -394,8 +411,16 @@ def _results(t: TestTables) -> dict[str, DataFrame]:
 
 @registered
 def analyze_all(t: TestTables) -> DataFrame:
-    """Rows of each result table of several analyses."""
-    counts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("result"), "rows") for name, df in _results(t).items()]
+    """Rows of each result table of several analyses, and the sum of what they count."""
+    counted = {
+        "git": F.col("total_commits"), "git_developers": F.col("position"), "star_growth": F.col("stargazers_count"),
+        "lint_rows": F.when(F.col("key") != "avg_mccabe_complexity", F.col("value")),
+    }
+    counts = [
+        df.agg(F.count(F.lit(1)).alias("rows"), F.sum(counted[name].cast("double")).alias("total"))
+        .select(F.lit(name).alias("result"), "rows", "total")
+        for name, df in _results(t).items()
+    ]
     found = counts[0]
     for more in counts[1:]:
         found = found.unionByName(more)
@@ -635,6 +660,13 @@ def normality_p_values(t: TestTables) -> DataFrame:
     return rounded(stats.shapiro(t.raw("orders").select(*prices), ["price_F", "price_O", "price_P"]), 6)
 
 
+@registered
+def normality_sampled(t: TestTables) -> DataFrame:
+    """The test on the 5,000 line items with the smallest hashes, for which the p-value is made."""
+    found = stats.shapiro(t.raw("lineitem"), ["l_quantity", "l_extendedprice"], ["l_orderkey", "l_linenumber"])
+    return rounded(found.drop("p_value"), 6)
+
+
 @registered
 def correlation_report(t: TestTables) -> DataFrame:
     found = stats.correlate(t.raw("orders"), "o_totalprice", "o_custkey")
@@ -653,3 +685,18 @@ def describe_approximately(t: TestTables) -> DataFrame:
     joined = rough.join(bounds, "column")
     inside = [F.col(q).between(F.col(f"{q}_low"), F.col(f"{q}_high")).alias(f"{q}_close") for q in ("p25", "p50", "p75")]
     return joined.select("column", "count", *inside)
+
+
+@registered
+def describe_batches(t: TestTables) -> DataFrame:
+    """Summaries of three batches, stored and merged; whether each quartile is close as above."""
+    path = scratch_path(t.spark, "summaries")
+    stats.summaries(t.raw("lineitem"), _METRICS, ["l_returnflag"]).write.parquet(path)
+    whole = stats.merged(t.spark.read.parquet(path))
+    exact = {}
+    for name, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
+        exact[f"{name}_low"], exact[f"{name}_high"] = p - 0.005, p + 0.005
+    joined = whole.join(stats.quantiles(t.raw("lineitem"), _METRICS, exact), "column")
+    inside = [F.col(q).between(F.col(f"{q}_low"), F.col(f"{q}_high")).alias(f"{q}_close") for q in ("p25", "p50", "p75")]
+    numbers = [F.round(c, 4).alias(c) for c in ("mean", "std", "min", "max")]
+    return joined.select("column", "count", *numbers, *inside)

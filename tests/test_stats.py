@@ -1,3 +1,4 @@
+import hashlib
 import random
 import statistics
 
@@ -130,3 +131,35 @@ def test_correlate_chooses_the_method(spark):
     assert (normal.method, normal.strength, normal.direction, normal.significant) == ("Pearson", "strong", "positive", True)
     ranked = stats.correlate(df, "x", "skew").first()
     assert (ranked.method, ranked.coefficient, ranked.direction) == ("Spearman", pytest.approx(-1.0), "negative")
+
+
+def test_summaries_of_batches_add_up(spark):
+    rng = np.random.default_rng(3)
+    data = pd.DataFrame({"batch": rng.integers(0, 5, 20_000), "x": rng.normal(5, 2, 20_000), "y": rng.integers(0, 9, 20_000).astype(float)})
+    df = spark.createDataFrame(data)
+    parts = stats.summaries(df, ["x", "y"], ["batch"])
+    assert parts.count() == 10
+    got = {r.column: r for r in stats.merged(parts).collect()}
+    error = 0.005  # of the ranks; the sketches promise 0.0028 with a probability of 0.99
+    for name in ("x", "y"):
+        values = data[name]
+        row = got[name]
+        assert row["count"] == 20_000 and row.mean == pytest.approx(values.mean()) and row.std == pytest.approx(values.std())
+        assert (row.min, row.max) == (values.min(), values.max())
+        for q, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
+            assert values.quantile(p - error) <= row[q] <= values.quantile(p + error)
+    one = stats.merged(stats.summaries(df.where("x > 100").unionByName(df.limit(1)), ["x"])).head()
+    assert one["count"] == 1 and one.std is None and one.p50 == one.min == one.max
+    assert stats.merged(stats.summaries(df.limit(0), ["x"])).count() == 0
+
+
+def test_a_sample_by_hash_does_not_depend_on_the_order(spark, rows):
+    df = spark.range(3000).selectExpr("id", "cast(id % 77 as double) as x", "if(id % 3 = 0, null, cast(id as double)) as y")
+    got = rows(stats.smallest(df, ["x", "y"], ["id"], 100))
+    assert got == rows(stats.smallest(df.repartition(7).orderBy(F.rand(1)), ["x", "y"], ["id"], 100))
+    hashes = sorted((hashlib.md5(str(i).encode()).hexdigest(), i) for i in range(3000))
+    want = [("x", float(i % 77)) for _, i in hashes[:100]] + [("y", float(i)) for _, i in [h for h in hashes if h[1] % 3][:100]]
+    assert got == sorted(want, key=repr)
+    small = df.where("id < 50")
+    assert rows(stats.shapiro(small, ["x"], ["id"])) == rows(stats.shapiro(small, ["x"]))
+    assert {r.column: r.n for r in stats.shapiro(df, ["x", "y"], ["id"], 200).collect()} == {"x": 200, "y": 200}

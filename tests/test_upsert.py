@@ -145,3 +145,24 @@ def test_a_writer_lost_before_publishing_changes_nothing(spark, tmp_path, rows,
     # The manifest was written but not yet moved to its place.
     (tmp_path / "t" / "_manifest.json").rename(tmp_path / "t" / "_manifest.json.new")
     assert upsert.read_table(spark, path).count() == 20
+
+
+def test_star_growth_is_carried_over_batches(spark, tmp_path, rows):
+    """In order, late, repeated and incomplete events: after every batch the table is that of all so far."""
+    from repostrata.operators.stars import growth_long
+    from repostrata.streaming.refresh import growth_stream
+
+    day = "timestamp '2020-01-01 00:00:00' + make_dt_interval(%s)"
+    lots = [
+        f"select concat('r', id % 2) as repo, {day % 'cast(id % 5 as int)'} as starred_at, concat('u', id) as user_login from range(20)",
+        f"select 'r0' as repo, {day % 'cast(id as int) + 7'} as starred_at, 'v' as user_login from range(3)",
+        f"select concat('r', id) as repo, {day % 'cast(2 * id as int)'} as starred_at, if(id = 2, null, 'late') as user_login from range(4)",
+        f"select 'r1' as repo, {day % '-9'} as starred_at, 'first' as user_login union all select 'r1', {day % '30'}, 'last'",
+    ]
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    for lot in lots:
+        spark.sql(lot).coalesce(1).write.mode("append").parquet(source)
+        arriving = spark.readStream.schema("repo string, starred_at timestamp, user_login string").parquet(source)
+        growth_stream(arriving, path, str(tmp_path / "progress")).awaitTermination()
+        want = growth_long(spark.read.parquet(source)).select("repo", "date", "stargazers_count")
+        assert rows(upsert.read_table(spark, path)) == rows(want)
