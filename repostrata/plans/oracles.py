@@ -440,6 +440,7 @@ where not exists (select 1 from customer where c_custkey = o_orderkey)""",
   repo || ':' || chr(10) || '"line, two"\' || path as note, '["' || repo || '","a \"b\", ' || path || '"]' as list
 from changes group by 1, 2""",
     "json_round_trip": "select s_name as repo, s_suppkey * 10 as disk_usage from supplier",
+    "keyed_json": "select s_name as repo, s_suppkey * 10 as disk_usage, '/acme/' || s_name as path from supplier",
     "raw_store": _with(LINT) + """select repo as repository_name, commit_hash as hash,
   count(*) as messages from messages group by 1, 2""",
     "raw_lint_totals": _with(LINT) + """select repo, commit_hash, module, category, msg_id,

@@ -484,6 +484,20 @@ def _stored(t: TestTables, max_rows: int = 10_000) -> RawStore:
     return RawStore(t.spark, scratch_path(t.spark, "raw"), max_rows)
 
 
+@registered
+def keyed_json(t: TestTables) -> DataFrame:
+    """Documents in one object per file, compact or spread over lines, cut into blocks of 700 bytes."""
+    path = scratch_path(t.spark, "keyed")
+    member = F.concat(F.to_json(F.array("repo")), F.lit(" :"), F.regexp_replace("doc", ",", ",\n  "))
+    key = F.regexp_replace(member, r"^\[(.*?)\] :", "$1 :")
+    objects = t.repo_metadata().select((F.xxhash64("repo") % 5).alias("part"), key.alias("member")).groupBy("part")
+    whole = F.concat(F.lit("{\n"), F.array_join(F.collect_list("member"), ","), F.lit("}"))
+    objects.agg(whole.alias("value")).select("value").repartition(3).write.option("lineSep", "\n\n").text(path)
+    for_each = readers.read_keyed_json(t.spark, path, 700)
+    value = lambda name, kind: F.try_variant_get("doc", f"$.{name}", kind)
+    return for_each.select("repo", value("diskUsage", "bigint").alias("disk_usage"), value("resourcePath", "string").alias("path"))
+
+
 @registered
 def raw_store(t: TestTables) -> DataFrame:
     """Lint commits of a run, read back: messages in the totals of each commit."""

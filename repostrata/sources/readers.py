@@ -12,6 +12,7 @@ from repostrata.functions.filters import IGNORED_DIRECTORIES, IGNORED_PREFIXES
 from repostrata.functions.keys import clean_url
 from repostrata.operators.buckets import BucketTable
 from repostrata.schemas import CANONICAL
+from repostrata.sources.keyed_json import BLOCK, read_members
 from repostrata.sources.tree import SourceTree, with_content
 
 # Field names of stored star documents.
@@ -20,8 +21,6 @@ STAR_EDGES = (
     " ARRAY<STRUCT<cursor: STRING, starredAt: STRING, node: STRUCT<login: STRING>>>>>>"
 )
 
-_JSON_TEXT = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
-
 
 def read_canonical(spark: SparkSession, name: str, path: str, source: str = "parquet") -> DataFrame:
     """A canonical table in its fixed schema."""
@@ -74,25 +73,12 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("repo STRING, doc VARIANT").json(path)
 
 
-def read_keyed_json(spark: SparkSession, path: str) -> DataFrame:
-    """One object ``{repo: document}`` printed with an indent of four, as ``(repo, doc VARIANT)``.
+def read_keyed_json(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
+    """One object ``{repo: document}`` of any layout as ``(repo, doc VARIANT)``.
 
-    A newline, four spaces and a quote start every top-level key and occur nowhere else,
-    since JSON text cannot hold a raw newline. Used as the line separator, it makes the
-    file splittable: no task reads it whole.
+    The file is cut into blocks of ``block`` bytes wherever that falls; see ``read_members``.
     """
-    records = spark.read.option("lineSep", '\n    "').text(path)
-    # The last record also carries the closing brace of the file.
-    body = F.when(F.col("value").rlike(r"(?s)\n\}\s*$"), F.regexp_replace("value", r"(?s)\n\}\s*$", "")).otherwise(
-        F.regexp_replace("value", r"(?s),\s*$", "")
-    )
-    key = F.from_json(
-        F.concat(F.lit('["'), F.regexp_extract("value", rf'(?s)^({_JSON_TEXT})"', 1), F.lit('"]')), "array<string>"
-    )
-    document = F.regexp_replace(body, rf'(?s)^{_JSON_TEXT}":\s*', "")
-    return records.where(~F.col("value").rlike(r"(?s)^\s*\{\s*\}?\s*$")).select(
-        F.element_at(key, 1).alias("repo"), F.parse_json(document).alias("doc")
-    )
+    return read_members(spark, path, block).select(F.col("key").alias("repo"), "doc")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -1,12 +1,13 @@
 import csv
 import json
+import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from repostrata.session import discard, pinned, shared_dir, tune
-from repostrata.sources import readers, writers
+from repostrata.sources import keyed_json, readers, writers
 from repostrata.sources.rawstore import RawStore, in_parts
 
 
@@ -60,15 +61,46 @@ def test_left_out_folders_are_never_opened(spark, tmp_path, rows, monkeypatch):
 
 @pytest.mark.parametrize("documents", [{}, {"r1": {}}, {
     "r1": {"a": 1, "b": {"c": None, "d": [1, 2]}, "text": 'line\n    "quoted": {\n}'},
-    'odd "name"': {"z": {"y": {}}}, "empty": {}, "list": [1, {"x": 2}], "text": "v", "null": None,
+    'odd "name" é': {"z": {"y": {}}, "tail": "ends in \\\\"}, "empty": {}, "list": [1, {"x": 2}], "text": "v", "null": None,
 }])
-def test_keyed_json_is_split_by_document(spark, tmp_path, documents):
+@pytest.mark.parametrize("indent, block", [(None, 7), (2, 64), (4, 1 << 20), ("\t", 1)])
+def test_keyed_json_is_split_by_document(spark, tmp_path, documents, indent, block):
     path = tmp_path / "raw.json"
-    path.write_text(json.dumps(documents, indent=4))
-    read = readers.read_keyed_json(spark, str(path)).select("repo", F.to_json("doc").alias("doc"))
+    path.write_text(json.dumps(documents, indent=indent, ensure_ascii=indent is None))
+    read = readers.read_keyed_json(spark, str(path), block).select("repo", F.to_json("doc").alias("doc"))
     assert {r.repo: json.loads(r.doc) for r in read.collect()} == documents
 
 
+def test_blocks_are_cut_alike_wherever_they_end():
+    """Pieces put together again give the same members for every size of block."""
+    rng = random.Random(9)
+    signs = ['"', "\\", "{", "}", "[", "]", ",", ":", "a", "é", "\n", " "]
+    documents = {}
+    for i in range(40):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(30)))
+        documents[f"k{i}{text}"] = rng.choice([text, [text, {text: [i, text]}], {"a": {}, text: None}, i, [], {}])
+    for indent in (None, 3):
+        raw = f" {json.dumps(documents, indent=indent, ensure_ascii=False)}\n".encode()
+        for size in (1, 2, 3, 11, 100, len(raw)):
+            members, inside, depth = [b""], False, 0
+            for at in range(0, len(raw), size):
+                before = raw[:at]
+                escaped = (len(before) - len(before.rstrip(b"\\"))) % 2 == 1
+                block = raw[at : at + size]
+                first, *rest = keyed_json.cut(block, escaped, inside, depth)
+                members[-1] += first
+                members += rest
+                parity, outside, within = keyed_json.summary(block, escaped)
+                depth += within if inside else outside
+                inside ^= parity == 1
+            assert (inside, depth) == (False, 0)
+            own = {}
+            for member in members[1:]:
+                if member.strip().startswith(b'"'):
+                    own |= json.loads(b"{" + member + b"}")
+            assert own == documents
+
+
 def test_canonical_schema(spark, tmp_path):
     path = str(tmp_path / "stars")
     spark.sql("select 'r' as repo, timestamp '2020-01-01 00:00:00' as starred_at, 'u' as user_login, 1 as other").write.parquet(path)
