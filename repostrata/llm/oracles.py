@@ -62,7 +62,7 @@ base as (select d.r, doc_id, coalesce(lang, '') stratum, len(w)::bigint n_words,
   from d left join reps using (r) left join dups using (r)),
 judged as (select *, n_words < {rules.MIN_WORDS}
   or 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words base_failed from base),
-good as (select * from judged where not base_failed
+good as (select distinct * exclude (r) from judged where not base_failed
   and doc_id in (select doc_id from labels where quality = 1 and doc_id is not null)),
 counted as (select stratum, count(*) n,
   {", ".join(f"count(*) filter (where {rules.RULES[r][0]} {_SIGN[r]} {c!r}) k_{r}_{i}" for r, i, c in _CELLS)}

@@ -169,11 +169,13 @@ def verdicts(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
     Rows of ``labels(doc_id, quality)`` with quality 1 are the good documents; null ids and
     qualities are left out, a document labelled twice counts if any label is 1. The stratum of
     a null language is the empty string. Without labels only the base rules reject. Repeated
-    rows get equal verdicts.
+    rows get equal verdicts and count once for the thresholds.
     """
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("good_id")).distinct()
     staged = stats.withColumn("stratum", F.coalesce("lang", F.lit(""))).withColumn("base_failed", base_failed())
     passed = staged.where(~F.col("base_failed")).join(good, F.col("doc_id") == F.col("good_id"), "left_semi")
+    # Equal rows are one trial: the binomial bound counts on independent ones.
+    passed = passed.distinct()
     cutoffs = thresholds(passed, alpha, delta)
     strata = staged.join(cutoffs.withColumnRenamed("stratum", "stratum_"), F.col("stratum") == F.col("stratum_"), "left")
     fails = F.lit(False)

@@ -73,3 +73,13 @@ def test_no_python_in_the_plan(spark):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     for frame in (rules.base_statistics(docs), rules.judge(docs, labels)):
         assert not any(w in frame._jdf.queryExecution().toString() for w in ("Python", "Pandas", "ArrowEval"))
+
+
+def test_repeated_rows_are_one_trial(spark):
+    """A document on many rows weighs in the thresholds as much as on one."""
+    rows = [(i, " ".join(f"word{i}x{k}" for k in range(60 + i % 7)) + "\n" + "same line\n" * (i % 3), "en") for i in range(300)]
+    labels = spark.createDataFrame([(i, 1) for i in range(300)], "doc_id long, quality int")
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    once = {tuple(r) for r in rules.judge(make(rows), labels).collect()}
+    often = rules.judge(make(rows + rows[:5] * 200), labels).collect()
+    assert len(often) == 1300 and {tuple(r) for r in often} == once
