@@ -26,7 +26,8 @@ from repostrata.llm.common import WORD, as_bytes, settle
 from repostrata.session import pinned
 
 BLOCK = 64
-SHARDS = 64
+SHARDS = 64  # at least
+SHARD_SLOTS = 1 << 18
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 SEED = 20240229
@@ -143,10 +144,13 @@ def placed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def slots(sources: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
-    """``(shard, slot, number, block)``: which block of which source fills each output slot."""
+    """``(shard, slot, number, block)``: which block of which source fills each output slot.
+
+    There are ``shards`` output shards, or as many as keep each within ``SHARD_SLOTS``.
+    """
     known = sorted(sources.select("number", "n_slots", "n_blocks").collect())
     wanted = [r.n_slots for r in known]
-    shards = max(1, min(shards, sum(wanted)))
+    shards = max(1, min(max(shards, -(-sum(wanted) // SHARD_SLOTS)), sum(wanted)))
     draws = shard_draws(wanted, shards, seed)
     starts = np.cumsum(draws, axis=0) - draws
     places = np.cumsum(draws, axis=1) - draws

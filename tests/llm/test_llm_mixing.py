@@ -74,3 +74,13 @@ def test_empty_tables(spark):
     assert mixing.report(docs).collect() == [] and mixing.mixed(docs).collect() == []
     blank = spark.createDataFrame([(1, None, None, "x", 1)], DOCS)
     assert tuple(mixing.report(blank).head()) == (1, 0, 0, 0.0, 0) and mixing.mixed(blank).collect() == []
+
+
+def test_shards_grow_with_the_slots(spark, monkeypatch):
+    sources = spark.createDataFrame([(0, 900, 300), (1, 400, 200)], "number int, n_slots long, n_blocks long")
+    count = lambda: mixing.slots(sources, 4).select("shard").distinct().count()
+    assert count() == 4
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 100)
+    found = mixing.slots(sources, 4)
+    assert count() == 13 and found.count() == 1300
+    assert found.select("shard", "slot").distinct().count() == 1300
