@@ -500,6 +500,10 @@ from {_ranked('l_quantity', 'l_extendedprice')}""",
   case when abs(r) > 0.7 then 'strong' when abs(r) > 0.3 then 'moderate' when abs(r) > 0.1 then 'weak' else 'no' end as strength,
   case when r > 0 then 'positive' when r < 0 then 'negative' else 'none' end as direction
 from (select count(*) as n, corr(rx, ry) as r from {_ranked('l_quantity', 'l_discount')})""",
+    # Prose is no Python: only blank lines, lone words and what stands behind a # would parse.
+    "unparsable_sources": """select source as repo, doc_id as commit_hash, 'src/d' || doc_id || '.py' as path from documents
+where len(list_filter(string_split(text, chr(10)),
+  lambda line: not regexp_matches(regexp_replace(line, '#.*', ''), '^([\\pL_][\\pL\\pN_]*)?\\s*$'))) > 0""",
     "normality": _NORMALITY,
     "normality_sampled": _NORMALITY.replace(_TWO_METRICS, f"""(select "column", value from (
   select *, row_number() over (partition by "column" order by hash, value) as place from (
