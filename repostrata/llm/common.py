@@ -14,9 +14,18 @@ from pyspark.sql.window import Window
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def settle(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches by bytes as well as rows, so long texts do not pile up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 * 1024 * 1024))
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH_BYTES = 16 * 1024 * 1024
+
+
+def settle(spark: SparkSession, most: int = _BATCH_BYTES) -> SparkSession:
+    """Bound Arrow batches by bytes as well as rows, so long texts do not pile up in a worker.
+
+    A smaller bound that the session has already stays.
+    """
+    now = int(spark.conf.get(_BATCH, "-1"))
+    if not 0 < now <= most:
+        spark.conf.set(_BATCH, str(most))
     return spark
 
 
