@@ -21,10 +21,10 @@ _BATCH_BYTES = 16 * 1024 * 1024
 def settle(spark: SparkSession, most: int = _BATCH_BYTES) -> SparkSession:
     """Bound Arrow batches by bytes as well as rows, so long texts do not pile up in a worker.
 
-    A smaller bound that the session has already stays.
+    A smaller bound in bytes that was set before stays.
     """
-    now = int(spark.conf.get(_BATCH, "-1"))
-    if not 0 < now <= most:
+    now = spark.conf.get(_BATCH)
+    if not now.isdecimal() or int(now) > most:
         spark.conf.set(_BATCH, str(most))
     return spark
 
