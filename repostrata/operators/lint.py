@@ -102,5 +102,6 @@ def lint_wide(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     columns = ordered_columns(sorted(set(keys) | set(FIXED_COLUMNS)))
     values = [c for c in columns if c not in identity]
     grouped = table_keys(stats).groupBy("repo", F.col("committer_date").alias("date"), "commit_hash")
-    wide = grouped.pivot("key", values).agg(F.max("value"))
+    # One aggregate instead of a pivot, which would shuffle every statistic of a commit by itself.
+    wide = grouped.agg(*[F.max(F.when(F.col("key") == v, F.col("value"))).alias(v) for v in values])
     return wide.select(*[F.col(f"`{c}`") for c in columns])
