@@ -11,7 +11,7 @@ of the newest run of each repository.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -100,40 +100,96 @@ def distinct_messages(messages: DataFrame) -> DataFrame:
     return named.groupBy(*keys, *_PLACE, *_FOUND).agg(F.count(F.lit(1)).alias("occurrences"))
 
 
-def lint_entries(distinct: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Messages of each commit by module, category and id as JSON documents in parts."""
-    keys = ["repo", "commit_hash"]
-    nested = in_parts(distinct, keys, max_rows).withColumn("at", F.struct(*_FOUND, "occurrences"))
-    nested = nested.groupBy(*keys, "part", *_PLACE).agg(F.collect_list("at").alias("at"))
-    for level in range(3, 0, -1):
-        nested = nested.groupBy(*keys, "part", *_PLACE[: level - 1]).agg(_mapped(_PLACE[level - 1], F.col("at")).alias("at"))
-    return nested.select(*keys, "part", F.to_json("at").alias("messages"))
-
+def lint_documents(distinct: DataFrame, stats: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """``(repo, commit_hash, part, stats, messages, totals, date)``: the JSON documents of each commit.
 
-def lint_totals(distinct: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Message counts of each commit by module, category and id as JSON documents.
-
-    A module is never cut, so every total is that of the commit; commits with very many
-    modules have several parts.
+    Messages are nested by module, category and id; totals count them at the same levels. A
+    module is never cut in the totals, so every total is that of the commit. The rows of a
+    part are brought together once and nested within their list, which ``max_rows`` bounds.
     """
-    keys = ["repo", "commit_hash"]
-    counted = distinct.repartition(*keys, "module").groupBy(*keys, *_PLACE).agg(F.sum("occurrences").alias("n"))
-    by_category = counted.groupBy(*keys, "module", "category").agg(
-        F.sum("n").alias("n"), _mapped("msg_id", F.col("n")).alias("message_ids")
+    keys = ["commit_hash", "repo"]
+    # Most commits fit in one part; those that do not are listed with what their parts share.
+    one, zero = F.lit(1), F.lit(0)
+    sizes = stats.select(*keys, one.alias("s"), zero.alias("m"), F.col("committer_date").alias("whole_date"))
+    sizes = sizes.unionByName(distinct.select(*keys, zero.alias("s"), one.alias("m")), allowMissingColumns=True)
+    long = pinned(
+        sizes.groupBy(*keys)
+        .agg(
+            F.ceil(F.sum("s") / max_rows).alias("stat_parts"),
+            F.ceil(F.sum("m") / max_rows).alias("message_parts"),
+            F.max("whole_date").alias("whole_date"),
+        )
+        .where("stat_parts > 1 or message_parts > 1")
     )
-    by_module = by_category.groupBy(*keys, "module").agg(
-        F.sum("n").alias("n"),
-        _mapped("category", F.struct(F.col("n").alias("total"), "message_ids")).alias("categories"),
+
+    def placed(rows: DataFrame, parts: str, *by: str) -> DataFrame:
+        """Rows with their part; a row's part is a hash of it."""
+        part = F.pmod(F.xxhash64(*by), F.greatest(F.coalesce(parts, one), one).cast("bigint"))
+        return rows.withColumn("part", part)
+
+    joined = stats.join(long, keys, "left").withColumn("date", F.coalesce("whole_date", "committer_date"))
+    found = distinct.join(long, keys, "left").withColumn("date", F.col("whole_date"))
+    cut = F.coalesce(F.col("message_parts") > 1, F.lit(False))
+    sides = [
+        placed(joined, "stat_parts", "key", "value").select(*keys, "part", "date", F.struct("key", "value").alias("stat")),
+        placed(found, "message_parts", *_PLACE, *_FOUND, "occurrences").select(
+            *keys, "part", "date", cut.alias("cut"), F.struct(*_PLACE, *_FOUND, "occurrences").alias("message")
+        ),
+        # Only where the messages of a commit are cut do its totals need rows of their own.
+        placed(found.where(cut), "message_parts", "module").select(
+            *keys, "part", "date", cut.alias("cut"), F.struct(*_PLACE, "occurrences").alias("counted")
+        ),
+    ]
+    rows = sides[0]
+    for side in sides[1:]:
+        rows = rows.unionByName(side, allowMissingColumns=True)
+    by = [*keys, "part"]
+    listed = rows.repartition(*by).sortWithinPartitions(*by).groupBy(*by).agg(
+        F.max("date").alias("date"),
+        F.max("cut").alias("cut"),
+        F.collect_list("stat").alias("stat"),
+        F.sort_array(F.collect_list("message")).alias("message"),
+        F.sort_array(F.collect_list("counted")).alias("counted"),
     )
-    found = F.struct(F.col("n").alias("total_messages"), "categories")
-    # A part is chosen by the module alone, and maps are no input of a hash.
-    placed = in_parts(by_module.select(*keys, "module", F.to_json(found).alias("found")), keys, max_rows)
-    shape = _TOTALS.removeprefix("map<string, ").removesuffix(">")
-    return placed.groupBy(*keys, "part").agg(F.to_json(_mapped("module", F.from_json("found", shape))).alias("totals"))
+    whole = F.transform("message", lambda x: F.struct(*[x[c].alias(c) for c in (*_PLACE, "occurrences")]))
+    listed = listed.withColumn("counted", F.when(F.col("cut"), F.col("counted")).otherwise(whole))
+    texts = {"stats": ("stat", F.map_from_entries), "messages": ("message", _entries), "totals": ("counted", _totals)}
+    made = [F.when(F.size(at) > 0, F.to_json(nest(F.col(at)))).alias(name) for name, (at, nest) in texts.items()]
+    return listed.select("repo", "commit_hash", "part", *made, "date")
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _stretches(rows: Column, key: str, body: Callable[[Column], Column]) -> Column:
+    """A map from each ``key`` to ``body`` of its rows, in time linear in the sorted rows."""
+    first = lambda i: (i == 1) | (F.get(rows, i - 1)[key] != F.get(rows, i - 2)[key])
+    starts = F.filter(F.sequence(F.lit(1), F.size(rows)), first)
+
+    def stretch(at: Column, s: Column, j: Column) -> Column:
+        length = F.coalesce(F.get(at, j + 1), F.size(rows) + 1) - s
+        return _bound(F.slice(rows, s, length), lambda own: F.struct(F.get(own, F.lit(0))[key], body(own)))
+
+    several = F.map_from_entries(_bound(starts, lambda at: F.transform(at, lambda s, j: stretch(at, s, j))))
+    low, high = F.get(rows, F.lit(0))[key], F.get(rows, F.size(rows) - 1)[key]
+    return F.when(low == high, F.create_map(low, body(rows))).otherwise(several)
 
 
-def _mapped(key: str, value: Column) -> Column:
-    return F.map_from_entries(F.collect_list(F.struct(F.col(key), value)))
+def _entries(rows: Column) -> Column:
+    """Messages by module, category and id."""
+    entry = lambda x: F.struct(*[x[c].alias(c) for c in (*_FOUND, "occurrences")])
+    by_id = lambda own: _stretches(own, "msg_id", lambda same: F.transform(same, entry))
+    return _stretches(rows, "module", lambda own: _stretches(own, "category", by_id))
+
+
+def _totals(rows: Column) -> Column:
+    """Counts of messages by module, category and id."""
+    total = lambda own: F.aggregate(own, F.lit(0).cast("bigint"), lambda n, x: n + x["occurrences"])
+    ids = lambda own: F.struct(total(own).alias("total"), _stretches(own, "msg_id", total).alias("message_ids"))
+    found = lambda own: F.struct(total(own).alias("total_messages"), _stretches(own, "category", ids).alias("categories"))
+    return _stretches(rows, "module", found)
 
 
 def row_documents(table: DataFrame, key: str = "repo") -> DataFrame:
@@ -142,16 +198,6 @@ def row_documents(table: DataFrame, key: str = "repo") -> DataFrame:
     return table.select(key, F.to_json(F.struct(*rest)).alias("data"))
 
 
-def stat_documents(stats: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Statistics of each commit as JSON documents in parts."""
-    keys = ["repo", "commit_hash"]
-    return (
-        in_parts(stats.select(*keys, "key", "value"), keys, max_rows)
-        .groupBy(*keys, "part")
-        .agg(F.to_json(_mapped("key", F.col("value"))).alias("stats"))
-    )
-
-
 class RawStore:
     """Appends results to the eight tables below ``path`` and reads them back.
 
@@ -224,13 +270,8 @@ class RawStore:
     def append_lints(self, messages: DataFrame, stats: DataFrame, run_ts: str) -> None:
         self.add_repositories(stats)
         self._append("lints", stats.select("repo").distinct(), run_ts)
-        keys = ["repo", "commit_hash"]
-        dates = stats.groupBy(*keys).agg(F.max("committer_date").alias("date"))
         distinct = pinned(distinct_messages(messages))
-        documents = stat_documents(stats, self.max_rows)
-        for more in (lint_entries(distinct, self.max_rows), lint_totals(distinct, self.max_rows)):
-            documents = documents.join(more, [*keys, "part"], "full")
-        self._append("lint_commits", documents.join(dates, keys, "left"), run_ts)
+        self._append("lint_commits", lint_documents(distinct, stats, self.max_rows), run_ts)
 
     def commits_of(self, kind: str) -> DataFrame:
         """Commit rows of ``test`` or ``lint`` with the parent row of their own run."""
@@ -284,20 +325,21 @@ class RawStore:
         """
         keys = ["run_ts", "repo", "commit_hash"]
         rows = self._stored("lint_commits", run).where(F.col("totals").isNotNull())
-        modules = rows.select(*keys, F.explode(F.from_json("totals", _TOTALS)).alias("module", "m"))
-        categories = modules.select(*keys, "module", F.explode("m.categories").alias("category", "c"))
-        ids = categories.select(*keys, "module", "category", F.explode("c.message_ids").alias("msg_id", "messages"))
+        # One reading of a document gives the rows of all levels.
         none = F.lit(None).cast("string")
-        levels = [
-            modules.select(*keys, "module", none.alias("category"), none.alias("msg_id"), F.col("m.total_messages").alias("messages")),
-            categories.select(*keys, "module", "category", none.alias("msg_id"), F.col("c.total").alias("messages")),
-            ids,
-        ]
-        out = None
-        for level, part in zip((3, 1, 0), levels):
-            own = part.withColumn("level", F.lit(level).cast("bigint"))
-            out = own if out is None else out.unionByName(own)
-        return out
+
+        def row(level: int, category: Column, msg_id: Column, messages: Column) -> Column:
+            own = (("category", category), ("msg_id", msg_id), ("level", F.lit(level).cast("bigint")), ("messages", messages))
+            return F.struct(*[value.alias(name) for name, value in own])
+
+        def of_category(c: Column) -> Column:
+            ids = F.transform(F.map_entries(c.value.message_ids), lambda i: row(0, c.key, i.key, i.value))
+            return F.concat(F.array(row(1, c.key, none, c.value.total)), ids)
+
+        modules = rows.select(*keys, F.explode(F.from_json("totals", _TOTALS)).alias("module", "m"))
+        categories = F.flatten(F.transform(F.map_entries("m.categories"), of_category))
+        found = F.concat(F.array(row(3, none, none, F.col("m.total_messages"))), categories)
+        return modules.select(*keys, "module", F.inline(found))
 
     def lint_stats(self, run: str | None = None) -> DataFrame:
         """Statistics of each commit in rows: ``(run_ts, repo, commit_hash, committer_date, key, value)``."""

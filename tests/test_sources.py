@@ -251,6 +251,38 @@ def test_stored_runs_are_read_back(spark, tmp_path, rows):
         RawStore(spark, str(tmp_path / "none")).star_events()
 
 
+def test_lint_documents_are_grouped_once(spark):
+    """One sort and one pass over neighbours makes all documents, cut or not, with whole totals."""
+    from repostrata.session import tune
+    from repostrata.sources.rawstore import distinct_messages, lint_documents
+
+    messages = spark.sql(
+        "select 'r' as repo, concat('c', if(id < 90, 0, id)) as commit_hash, concat('m', id % 3) as module, if(id % 2 = 0, 'warning', null)"
+        " as category, concat('W', id % 5) as msg_id, 's' as symbol, concat('x', id) as msg, 'HIGH' as confidence, 'm.py' as path from range(93)"
+    )
+    stats = spark.sql("select 'r' as repo, 'c0' as commit_hash, timestamp '2020-01-01 00:00:00' as committer_date, 'k' as key, 1.0D as value")
+    tune(spark)
+    found = lint_documents(distinct_messages(messages), stats, max_rows=20)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate") == 1 and "SortMergeJoin" not in plan and "collect_list" not in plan.split("SortAggregate")[0]
+    got = found.collect()
+    big = [r for r in got if r.commit_hash == "c0"]
+    assert 3 <= len(big) <= 5 and len({r.part for r in big}) == len(big) and len({r.date for r in big}) == 1
+    totals, entries = {}, []
+    for r in big:
+        found = json.loads(r.totals or "{}")
+        assert not set(found) & set(totals)
+        totals |= found
+        for module, categories in json.loads(r.messages or "{}").items():
+            entries += [(module, c, i, e["msg"]) for c, ids in categories.items() for i, es in ids.items() for e in es]
+    want = [(f"m{i % 3}", "warning" if i % 2 == 0 else "", f"W{i % 5}", f"x{i}") for i in range(90)]
+    assert sorted(entries) == sorted(want)
+    assert {m: t["total_messages"] for m, t in totals.items()} == {"m0": 30, "m1": 30, "m2": 30}
+    assert totals["m0"]["categories"][""] == {"total": 15, "message_ids": {f"W{i}": 3 for i in range(5)}}
+    small = [r for r in got if r.commit_hash != "c0"]
+    assert len(small) == 3 and all(json.loads(r.totals).popitem()[1]["total_messages"] == 1 and r.stats is None for r in small)
+
+
 class Unset:
     """A session without a checkpoint folder."""
 
