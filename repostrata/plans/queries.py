@@ -518,9 +518,9 @@ def raw_lint_totals(t: TestTables) -> DataFrame:
 @registered
 def raw_lint_messages(t: TestTables) -> DataFrame:
     """Messages of two runs, the older one read back."""
-    store = _stored(t)
+    store, stats = _stored(t), pinned(t.lint_stats())
     for name, messages in ((RUN, t.lint_messages()), ("2024-01-01_00-01", t.lint_messages().where("msg_id = 'R2'"))):
-        store.append_lints(messages, t.lint_stats(), name)
+        store.append_lints(messages, stats, name)
     found = store.lint_messages(RUN)
     return found.select("repo", "commit_hash", text_of("committer_date"), "module", "category", "msg_id", "symbol", "msg", "path")
 
