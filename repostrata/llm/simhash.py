@@ -27,39 +27,39 @@ _KEYED = "key long, sub long, a long"
 _FOUND = "key long, sub long, a long, b long"
 
 
-def fingerprint(text: bytes) -> int:
-    """SimHash of the three-word shingles of UTF-8 text, as an unsigned number.
+def fingerprint(text: bytes, width: int = 3) -> int:
+    """SimHash of the shingles of ``width`` words of UTF-8 text, as an unsigned number.
 
-    ASCII letters count as lower case, shingles as often as they occur; one or two words
-    form one shingle, and a text without words has fingerprint 0.
+    ASCII letters count as lower case, shingles as often as they occur; fewer words than a
+    shingle has form one, and a text without words has fingerprint 0.
     """
     words = text.lower().split()
     if not words:
         return 0
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
-    if len(words) < 3:
+    if len(words) < width:
         return digest(joined, 42)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     counts = np.zeros(64, np.int64)
-    total = len(words) - 2
+    total = len(words) - width + 1
     for at in range(0, total, 1 << 16):
         stop = min(total, at + (1 << 16))
-        spans = zip(starts[at:stop].tolist(), ends[at + 2 : stop + 2].tolist())
+        spans = zip(starts[at:stop].tolist(), ends[at + width - 1 : stop + width - 1].tolist())
         hashes = np.array([digest(joined[s:e], 42) for s, e in spans], "<u8")
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
     return sum(1 << bit for bit in np.flatnonzero(2 * counts > total).tolist())
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """``(doc_id, fp)`` for every row; ``fp`` is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(t) for t in as_bytes(batch.column(1))], np.uint64)
+            values = np.array([fingerprint(t, width) for t in as_bytes(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
     settle(docs.sparkSession)
@@ -219,14 +219,31 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(node, key)``: texts whose fingerprints are joined by links of at most two bits share a key.
+
+    Fingerprints of five-word shingles, as ``near_copies`` compares them; ``node`` is its
+    digest of the text.
+    """
+    texts = docs.select(near_copies.digest(F.col(text_col)).alias("doc_id"), F.col(text_col).alias("text"))
+    marked = pinned(fingerprints(texts, width=near_copies.WORDS).distinct())
+    roots = components(near_links(pinned(marked.select("fp").distinct())))
+    root = F.coalesce("root", "fp")
+    rooted = marked.join(roots, marked.fp == roots.node, "left")
+    return rooted.select(F.col("doc_id").alias("node"), F.xxhash64(F.lit("fingerprint"), root).alias("key"))
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near copies (see ``near_copies``), all columns as they were.
 
+    Texts of one group of fingerprints meet and are compared exactly; pairs whose fingerprints
+    differ in more bits although their texts are similar enough meet by MinHash keys.
+
     The row with the smallest id stays; in a group without ids, one row. Rows are told apart
     by id and words, so an id may stand on different texts. Other columns are never read,
     whatever they are called.
     """
-    grouped = near_copies.groups(docs, id_col, text_col).where("doc_id <=> component_id")
+    grouped = near_copies.groups(docs, id_col, text_col, candidates(docs, text_col)).where("doc_id <=> component_id")
     counted = grouped.groupBy("root", "doc_id", "node").agg(F.count(F.lit(1)).alias("n"))
     first = counted.groupBy("root", "doc_id").agg(F.min(F.struct("node", "n")).alias("row"))
     keep_id, keep_node, node = (fresh(name, docs) for name in ("keep_id", "keep_node", "own_node"))

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from repostrata.llm import near_copies, simhash
 from repostrata.llm.common import table
@@ -113,3 +114,24 @@ def test_a_template_costs_no_list_of_pairs(spark, monkeypatch):
     assert got.select("component_id").distinct().count() == 300
     pairs = [df.count() for df in written if df.columns == ["a", "b"]]
     assert max(pairs, default=0) < 40 * 300
+
+
+def test_fingerprints_propose_pairs_that_are_verified(spark, monkeypatch):
+    """With no MinHash keys in common, texts of linked fingerprints still meet and are compared exactly."""
+    words = [f"w{i}" for i in range(400)]
+    edited = [*words[:399], "other"]
+    texts = [" ".join(words), " ".join(edited), " ".join(f"v{i}" for i in range(400))]
+    prints = [simhash.fingerprint(t.encode(), near_copies.WORDS) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= 2 < (prints[0] ^ prints[2]).bit_count()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = {r.node: r.key for r in simhash.candidates(docs).collect()}
+    assert len(keys) == 3 and len(set(keys.values())) == 2
+
+    real = near_copies._signed
+
+    def unkeyed(*args):
+        found = real(*args)
+        return found.withColumn("keys", F.array(F.col("node")))  # a key that no other text has
+
+    monkeypatch.setattr(near_copies, "_signed", unkeyed)
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == [0, 2]
