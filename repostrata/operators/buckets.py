@@ -35,9 +35,12 @@ def bucket_of(columns: Sequence[str], buckets: int) -> Column:
     return F.when(value < buckets, value).otherwise(F.pmod(value, F.lit(max(top // 2, 1)))).cast("int")
 
 
-def split_from(bucket: int) -> int:
-    """The bucket that gives rows to a new one."""
-    return bucket - (1 << bucket.bit_length() - 1)
+def split_from(bucket: int, existing: int | None = None) -> int:
+    """The bucket that gives rows to a new one, of the ``existing`` ones or among all lower ones."""
+    source = bucket - (1 << bucket.bit_length() - 1)
+    while existing is not None and source >= existing:
+        source -= 1 << source.bit_length() - 1
+    return source
 
 
 class BucketTable:
@@ -144,9 +147,11 @@ class BucketTable:
                 state["bytes"][str(b)] = files.getContentSummary(written[f"{BUCKET}={b}"]).getLength()
         gone = [(b, g) for b, g in self.state["in"].items() if state["in"].get(b) != g]
         self._publish(state)
+        used = set(state["in"].values())
         for b, g in gone:
-            files.delete(file_system(self.spark, f"{self.path}/{g}/{BUCKET}={b}")[1], True)
-        for g in old - set(state["in"].values()):
+            if g in used:
+                files.delete(file_system(self.spark, f"{self.path}/{g}/{BUCKET}={b}")[1], True)
+        for g in old - used:
             files.delete(file_system(self.spark, f"{self.path}/{g}")[1], True)
 
     def _publish(self, state: dict) -> None:
@@ -160,12 +165,12 @@ class BucketTable:
         self.state = state
 
     def _grow(self) -> bool:
-        """Add buckets until they have the target size on average, at most as many as there are."""
+        """Add buckets until they have the target size on average, all that are wanted in one rewriting."""
         now = self.state["buckets"]
-        wanted = min(-(-sum(self.state["bytes"].values()) // self.target), 2 * now)
+        wanted = -(-sum(self.state["bytes"].values()) // self.target)
         if wanted <= now:
             return False
         fresh = range(now, wanted)
-        sources = sorted({split_from(b) for b in fresh})
+        sources = sorted({split_from(b, now) for b in fresh})
         self._store(self.read(sources), sorted({*sources, *fresh}), wanted)
         return True

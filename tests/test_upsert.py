@@ -166,3 +166,28 @@ def test_star_growth_is_carried_over_batches(spark, tmp_path, rows):
         growth_stream(arriving, path, str(tmp_path / "progress")).awaitTermination()
         want = growth_long(spark.read.parquet(source)).select("repo", "date", "stargazers_count")
         assert rows(upsert.read_table(spark, path)) == rows(want)
+
+
+def test_a_table_grows_in_few_rewritings(spark, tmp_path, rows, monkeypatch):
+    """From one bucket to dozens: not once more for every doubling."""
+    stored, real = [], BucketTable._store
+
+    def counted(self, rows, touched, buckets, batch=None):
+        stored.append(buckets)
+        real(self, rows, touched, buckets, batch)
+
+    monkeypatch.setattr(BucketTable, "_store", counted)
+    path = str(tmp_path / "t")
+    first = spark.range(60000).selectExpr("id as repo", "id % 7 as day", "id as at", "cast(xxhash64(id) as string) as value")
+    upsert.upsert_table(first, path, ["repo", "day"], ["at"], buckets=3, target=8192)
+    assert stored[0] == 3 and stored[-1] > 64 and len(stored) <= 5
+    assert rows(upsert.read_table(spark, path)) == rows(first)
+    table = BucketTable(spark, path)
+    for b in (0, 5, stored[-1] - 1):
+        own = table.read([b]).select(bucket_of(["repo"], stored[-1]).alias("b")).distinct().collect()
+        assert [r.b for r in own] == [b]
+
+
+def test_new_buckets_come_out_of_the_existing_ones():
+    assert [split_from(b) for b in (3, 5, 7, 12)] == [1, 1, 3, 4]
+    assert [split_from(b, 3) for b in (3, 5, 7, 12)] == [1, 1, 1, 0]
