@@ -16,7 +16,7 @@ from repostrata.operators import (
 )
 from repostrata.plans import tables
 from repostrata.plans.api import analyze, run
-from repostrata.session import pinned, scratch_path, tune
+from repostrata.session import file_system, pinned, scratch_path, tune
 from repostrata.sources import readers, writers
 from repostrata.sources.adapters import TestTables
 from repostrata.sources.rawstore import RawStore, stargazer_documents
@@ -34,6 +34,16 @@ def registered(build: Callable[[TestTables], DataFrame]) -> Callable[[TestTables
     return build
 
 
+SPREAD = 8  # bytes that shuffles of all lint messages move per stored byte of the tables, at most
+
+
+def spread(t: TestTables) -> TestTables:
+    """Let the number of shuffle partitions grow with the tables, so that a task's share of them does not."""
+    files, place = file_system(t.spark, t.folder)
+    tune(t.spark, SPREAD * files.getContentSummary(place).getLength())
+    return t
+
+
 def text_of(column: str) -> Column:
     return F.date_format(F.col(column), "yyyy-MM-dd HH:mm:ss").alias(column)
 
@@ -230,17 +240,17 @@ def git_table_window(t: TestTables) -> DataFrame:
 
 @registered
 def lint_rollup(t: TestTables) -> DataFrame:
-    return lint.message_counts(t.lint_messages())
+    return lint.message_counts(spread(t).lint_messages())
 
 
 @registered
 def mccabe(t: TestTables) -> DataFrame:
-    return lint.mccabe(t.lint_messages())
+    return lint.mccabe(spread(t).lint_messages())
 
 
 @registered
 def lint_long(t: TestTables) -> DataFrame:
-    named = lint.with_ids(t.lint_stats(), t.message_ids())
+    named = lint.with_ids(spread(t).lint_stats(), t.message_ids())
     return lint.table_keys(named).groupBy("repo", "key").agg(F.sum("value").alias("value"))
 
 
@@ -252,7 +262,7 @@ def lint_unknown_symbols(t: TestTables) -> DataFrame:
 @registered
 def lint_wide(t: TestTables) -> DataFrame:
     # The columns are known beforehand: one per message id of the linter.
-    ids = t.message_ids().select(F.concat("msg_id", F.lit("."), "symbol").alias("key"))
+    ids = spread(t).message_ids().select(F.concat("msg_id", F.lit("."), "symbol").alias("key"))
     names = column_names(ids, "key")
     table = tables.lint_table(t.lint_stats(), t.lint_messages(), t.message_ids(), [*names, "node_count.function"])
     plain = {c: c.replace(".", "_").replace("-", "_") for c in table.columns}
@@ -501,7 +511,7 @@ def keyed_json(t: TestTables) -> DataFrame:
 @registered
 def raw_store(t: TestTables) -> DataFrame:
     """Lint commits of a run, read back: messages in the totals of each commit."""
-    store = _stored(t)
+    store = _stored(spread(t))
     store.append_lints(t.lint_messages(), pinned(t.lint_stats()), RUN)
     totals = store.lint_counts(RUN).where("level = 3").groupBy("repo", "commit_hash").agg(F.sum("messages").alias("messages"))
     return totals.withColumnsRenamed({"repo": "repository_name", "commit_hash": "hash"})
@@ -510,7 +520,7 @@ def raw_store(t: TestTables) -> DataFrame:
 @registered
 def raw_lint_totals(t: TestTables) -> DataFrame:
     """Totals of commits whose entries are cut into parts of about three."""
-    store = _stored(t, max_rows=3)
+    store = _stored(spread(t), max_rows=3)
     store.append_lints(t.lint_messages(), pinned(t.lint_stats()), RUN)
     return store.lint_counts(RUN).drop("run_ts")
 
@@ -518,7 +528,7 @@ def raw_lint_totals(t: TestTables) -> DataFrame:
 @registered
 def raw_lint_messages(t: TestTables) -> DataFrame:
     """Messages of two runs, the older one read back."""
-    store, stats = _stored(t), pinned(t.lint_stats())
+    store, stats = _stored(spread(t)), pinned(t.lint_stats())
     for name, messages in ((RUN, t.lint_messages()), ("2024-01-01_00-01", t.lint_messages().where("msg_id = 'R2'"))):
         store.append_lints(messages, stats, name)
     found = store.lint_messages(RUN)

@@ -92,3 +92,19 @@ def test_source_text_is_scanned_once_and_never_sorted(canonical):
 def test_diff_counts_need_no_shuffle(canonical):
     text = plan(diffs.diff_stats(canonical["file_changes"]))
     assert "Exchange" not in text and "Python" not in text and "WholeStageCodegen" in text or "*(1)" in text
+
+
+def test_shuffle_partitions_grow_with_the_tables(spark, tmp_path):
+    from repostrata.plans import queries
+    from repostrata.sources.adapters import TestTables
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        for megabytes, partitions in ((16, "2"), (640, "40")):
+            with open(tmp_path / "lineitem.parquet", "wb") as file:
+                file.truncate(megabytes << 20)
+            queries.spread(TestTables(spark, str(tmp_path)))
+            assert spark.conf.get("spark.sql.shuffle.partitions") == partitions
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
