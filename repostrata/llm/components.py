@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from repostrata.session import pinned
+from repostrata.session import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,23 +14,27 @@ def components(links: DataFrame) -> DataFrame:
     smaller ones (small star); the number of rounds grows with the logarithm of the longest
     chain. Nodes with many links never meet in one task: minima are combined before the
     shuffle, and the joins have one row per node on one side. Rounds are written to the
-    shared folder. Links of a node with itself and null ends are ignored.
+    shared folder, where only the last one stays. Links of a node with itself and null ends
+    are ignored.
     """
     high, low = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     links = links.where("a is not null and b is not null")
-    edges = pinned(links.where("a <> b").select(high, low).distinct())
-    state = None
-    while True:
-        now = _digest(edges)
-        if now == state:
-            break
-        state = now
-        edges = pinned(_small_star(_large_star(edges)))
+    edges, path = stored(links.where("a <> b").select(high, low).distinct())
+    while not _starred(edges):
+        done = path
+        edges, path = stored(_small_star(_large_star(edges)))
+        discard(edges.sparkSession, done)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
 
 
+def _starred(edges: DataFrame) -> bool:
+    """Whether all larger ends have one link and none of them is a smaller end: rounds would change nothing."""
+    ends = edges.selectExpr("a as node", "1L as up", "0L as down").unionByName(edges.selectExpr("b as node", "0L as up", "1L as down"))
+    return ends.groupBy("node").agg((F.sum("up") + F.max("down")).alias("n")).where("n > 1").isEmpty()
+
+
 def _digest(edges: DataFrame) -> tuple:
     # Edges are distinct, so two hashes tell tables apart; a sum of longs would overflow.
     hashed = [F.bit_xor(F.xxhash64(F.lit(seed), "a", "b")) for seed in (1, 2)]

@@ -4,8 +4,9 @@ Candidates come from MinHash: ``BANDS`` keys of ``ROWS`` minima each, of which a
 limit shares one with probability 0.9994 and a closer pair with more. A candidate counts
 only if the exact similarity of the two texts reaches the limit.
 
-First each key links neighbours only, which joins nearly all of a group of copies at a few
-pairs a member. What is left are keys that hold texts of different components, such as texts
+First each text of a key is linked to one other only, which joins nearly all of a group of
+copies at a few pairs a member: at first as a tree of few levels, since a chain of neighbours
+takes components more rounds the longer it is, then neighbours. What is left are keys that hold texts of different components, such as texts
 of one template that resemble each other below the limit. There no list of pairs is made
 either: the texts of a key meet in bounded blocks, each with its set of shingles once, and only
 links come out. A key with more than a block holds is dealt out by pairs of blocks.
@@ -22,14 +23,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from repostrata.llm.common import as_bytes, settle
 from repostrata.llm.components import components
-from repostrata.session import pinned
+from repostrata.session import discard, pinned, stored
 
 WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 40, 8
 _SKETCH = [f"s{i}" for i in range(BANDS * ROWS // 64)]  # one bit per minimum
 APART = 53  # of 320 bits. At the limit 32 differ on average (deviation 5.4), between strangers 160
-FIRST = 8  # one of so many keys links neighbours before all do
+FIRST = 8  # one of so many keys makes links before all do
+_LEVEL = 5  # zero bits at the end of a node for each of its levels in a tree
 BLOCK = 8192  # texts of a key that are compared by sketch at a time
 _HASHES = 1 << 20  # shingles of a key that are compared exactly at a time
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -137,6 +139,41 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _table(held[:-1], names)
 
 
+def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each text and one before it in its key, of different components and near by their sketches.
+
+    The other one is the last of a higher level, or else the first of the key; where it is not near, the
+    neighbour. Levels follow from the node, so keys that hold the same texts make the same pairs, and the
+    links of a group are a tree whose depth grows with the logarithm of its size.
+    """
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns, old = _arrays(batch), 0
+        if held is not None:
+            old = len(held[0])
+            columns = [np.concatenate([h, c]) for h, c in zip(held, columns)]
+        key, node, root = columns[:3]
+        sketch = np.stack(columns[3:], axis=-1)
+        at = np.arange(len(key))
+        first = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], at, 0))
+        bits = node.view(np.uint64)
+        level = np.bitwise_count((bits & -bits) - np.uint64(1)) // _LEVEL
+        up = first.copy()
+        last = [at[key == key[-1]][0]]
+        for n in np.unique(level).tolist():
+            higher = np.maximum.accumulate(np.where(level > n, at, -1))
+            up = np.where(level == n, np.maximum(first, higher), up)
+            last += np.flatnonzero((level == n) & (key == key[-1]))[-1:].tolist()
+        before = np.maximum(at - 1, first)
+        up = np.where(_apart(sketch, sketch[up]) <= APART, up, before)
+        good = (at >= old) & (root != root[up]) & (_apart(sketch, sketch[up]) <= APART)
+        one, other = node[good], node[up[good]]
+        yield _table([np.minimum(one, other), np.maximum(one, other)], ["a", "b"])
+        held = [c[np.unique(last)] for c in columns]
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs next to each other in a key, of different components and near by their sketches."""
     held = None
@@ -299,14 +336,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more
     marked = pinned(_signed(docs, id_col, text_col))
     merged = [F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in [*_SKETCH, "keys"])]
     prints = pinned(marked.groupBy("node").agg(*merged))
-    keyed = prints.select(F.explode("keys").alias("key"), "node", *_SKETCH)
+    keyed = prints.select(F.explode("keys").alias("key"), "node")
     if more_keys is not None:
-        shingled = prints.where(F.size("keys") > 0).select("node", *_SKETCH)
-        keyed = keyed.unionByName(more_keys.join(shingled, "node").select("key", "node", *_SKETCH))
-    buckets = pinned(_sorted(keyed, tasks).mapInArrow(_shared, f"key long, node long, {_longs(_SKETCH)}"))
+        shingled = prints.where(F.size("keys") > 0).select("node")
+        keyed = keyed.unionByName(more_keys.join(shingled, "node").select("key", "node"))
+    # Most keys have one text: sketches follow those that are left.
+    shared = _sorted(keyed, tasks).mapInArrow(_shared, "key long, node long")
+    buckets, buckets_path = stored(shared.join(prints.select("node", *_SKETCH), "node").select("key", "node", *_SKETCH))
     wanted = prints.join(buckets.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("of"), "first")
-    sets = pinned(_sets(wanted, docs, id_col, text_col))
-    roots, links, tried = None, None, None
+    sets, sets_path = stored(_sets(wanted, docs, id_col, text_col))
+    roots, tried = None, None
 
     def rooted_rows(share: int = 1) -> DataFrame:
         rows = buckets.where(F.pmod("key", F.lit(share)) == 0)
@@ -315,12 +354,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more
         return rows.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), *_SKETCH)
 
     def more(found: DataFrame) -> None:
-        nonlocal links, roots
-        links = found if links is None else links.unionByName(found)
-        roots = pinned(components(links))
+        nonlocal roots
+        if not found.isEmpty():  # what was linked before is as well linked to its roots
+            links = found if roots is None else found.unionByName(roots.selectExpr("node as a", "root as b"))
+            roots = pinned(components(links))
 
-    for share in (FIRST, 1):
-        pairs = _sorted(rooted_rows(share), tasks).mapInArrow(_neighbours, _PAIR).distinct()
+    for share, linked in ((FIRST, _tree), (1, _neighbours)):
+        pairs = _sorted(rooted_rows(share), tasks).mapInArrow(linked, _PAIR).distinct()
         pairs = pinned(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             tried = pairs if tried is None else tried.unionByName(pairs)
@@ -331,6 +371,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more
         rows = rooted_rows().drop(*_SKETCH).join(near, ["key", "node"]).join(sets, "node").select("key", "node", "root", "hashes")
         met = _blocked(rows, F.octet_length("hashes") / 8, _HASHES)
         more(pinned(met.mapInArrow(_met(_links, ["a", "b"]), _PAIR).distinct()))
+    for path in (buckets_path, sets_path):
+        discard(spark, path)
     rooted = prints.select("node", "first", F.col("node").alias("root"))
     if roots is not None:
         rooted = prints.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))

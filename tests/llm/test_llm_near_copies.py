@@ -1,10 +1,13 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from repostrata import session
 from repostrata.llm import near_copies, simhash
 from repostrata.llm.common import table
+from repostrata.llm.components import components
 
 
 def slow_shingles(text):
@@ -135,3 +138,68 @@ def test_fingerprints_propose_pairs_that_are_verified(spark, monkeypatch):
 
     monkeypatch.setattr(near_copies, "_signed", unkeyed)
     assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == [0, 2]
+
+
+def batches_of(keys, nodes, size):
+    columns = [keys, nodes, nodes, *([0] * len(nodes) for _ in near_copies._SKETCH)]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "node", "root", *near_copies._SKETCH])
+    return [whole.slice(at, size) for at in range(0, len(nodes), size)]
+
+
+@pytest.mark.parametrize("size", [7, 1000, 10**6])
+def test_first_links_of_a_key_are_a_tree_of_few_levels(size):
+    """A chain of neighbours would be 3,000 links deep, and components take rounds by that."""
+    rng = random.Random(3)
+    groups = [sorted(rng.randrange(-(2**63), 2**63) for _ in range(n)) for n in (3000, 1, 2, 500)]
+    keys = [k for k, nodes in enumerate(groups) for _ in nodes]
+    out = list(near_copies._tree(iter(batches_of(keys, [n for g in groups for n in g], size))))
+    up = {b: a for t in out for a, b in zip(t["a"].to_pylist(), t["b"].to_pylist())}
+    assert sum(t.num_rows for t in out) == len(up) == 2999 + 0 + 1 + 499
+
+    def depth(node):
+        return 1 + depth(up[node]) if node in up else 0
+
+    assert all(n in up or n == g[0] for g in groups for n in g)
+    assert max(depth(n) for g in groups for n in g) <= 5
+
+
+def test_texts_far_from_the_text_above_are_linked_to_their_neighbour():
+    nodes = [32, 33, 35, 37]  # 32 is above the others
+    (batch,) = batches_of([1] * 4, nodes, 4)
+    far = [pa.array([-1, 0, 0, 0], pa.int64())] * len(near_copies._SKETCH)
+    batch = pa.RecordBatch.from_arrays([*batch.columns[:3], *far], batch.schema.names)
+    (out,) = near_copies._tree(iter([batch]))
+    assert out.to_pydict() == {"a": [33, 35], "b": [35, 37]}
+
+
+def test_components_keep_their_last_round_only(spark):
+    base = session._base(spark)
+    files, place = session.file_system(spark, base)
+    count = lambda: len(files.listStatus(place)) if files.exists(place) else 0
+    chain = spark.range(200).selectExpr("id as a", "id + 1 as b")
+    before = count()
+    got = {r.node: r.root for r in components(chain).collect()}
+    assert got == {n: 0 for n in range(201)}
+    assert count() == before + 1
+
+
+def test_links_that_are_stars_take_no_round(spark, monkeypatch):
+    from repostrata.llm import components as module
+
+    monkeypatch.setattr(module, "_large_star", lambda edges: pytest.fail("a round"))
+    stars = spark.range(1, 100).selectExpr("id as a", "if(id > 50, 50, 0) as b")
+    stars = stars.where("a <> 50")
+    got = {r.node: r.root for r in components(stars).collect()}
+    assert got == {n: 50 if n >= 50 else 0 for n in range(100)}
+
+
+def test_sketches_and_texts_are_not_left_in_the_shared_folder(spark):
+    base = session._base(spark)
+    files, place = session.file_system(spark, base)
+    words = [f"w{i}" for i in range(300)]
+    docs = spark.createDataFrame([(i, " ".join([*words, f"x{i}"])) for i in range(40)], "doc_id long, text string")
+    old = {s.getPath().getName() for s in files.listStatus(place)} if files.exists(place) else set()
+    assert near_copies.groups(docs).select("component_id").distinct().count() == 1
+    new = [s.getPath().toString() for s in files.listStatus(place) if s.getPath().getName() not in old]
+    columns = [spark.read.parquet(p).columns for p in new]
+    assert ["node", "hashes"] not in columns and ["key", "node", *near_copies._SKETCH] not in columns
