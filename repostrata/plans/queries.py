@@ -19,7 +19,7 @@ from repostrata.plans.api import analyze, run
 from repostrata.session import file_system, pinned, scratch_path, tune
 from repostrata.sources import readers, writers
 from repostrata.sources.adapters import TestTables
-from repostrata.sources.rawstore import RawStore, stargazer_documents
+from repostrata.sources.rawstore import RawStore, stargazer_documents, stat_lists
 from repostrata.streaming.refresh import growth_stream, upsert_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -512,8 +512,8 @@ def keyed_json(t: TestTables) -> DataFrame:
 def raw_store(t: TestTables) -> DataFrame:
     """Lint commits of a run, read back: messages in the totals of each commit."""
     store = _stored(spread(t))
-    store.append_lints(t.lint_messages(), pinned(t.lint_stats()), RUN)
-    totals = store.lint_counts(RUN).where("level = 3").groupBy("repo", "commit_hash").agg(F.sum("messages").alias("messages"))
+    store.append_lints(t.lint_messages(), stat_lists(t.lint_stats()), RUN)
+    totals = store.lint_counts(RUN, modules_only=True).groupBy("repo", "commit_hash").agg(F.sum("messages").alias("messages"))
     return totals.withColumnsRenamed({"repo": "repository_name", "commit_hash": "hash"})
 
 
@@ -521,14 +521,14 @@ def raw_store(t: TestTables) -> DataFrame:
 def raw_lint_totals(t: TestTables) -> DataFrame:
     """Totals of commits whose entries are cut into parts of about three."""
     store = _stored(spread(t), max_rows=3)
-    store.append_lints(t.lint_messages(), pinned(t.lint_stats()), RUN)
+    store.append_lints(t.lint_messages(), stat_lists(t.lint_stats()), RUN)
     return store.lint_counts(RUN).drop("run_ts")
 
 
 @registered
 def raw_lint_messages(t: TestTables) -> DataFrame:
     """Messages of two runs, the older one read back."""
-    store, stats = _stored(spread(t)), pinned(t.lint_stats())
+    store, stats = _stored(spread(t)), stat_lists(t.lint_stats())
     for name, messages in ((RUN, t.lint_messages()), ("2024-01-01_00-01", t.lint_messages().where("msg_id = 'R2'"))):
         store.append_lints(messages, stats, name)
     found = store.lint_messages(RUN)

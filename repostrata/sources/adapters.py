@@ -80,8 +80,11 @@ class TestTables:
         )
 
     def lint_stats(self) -> DataFrame:
-        """Statistics under the linter's dotted keys, some of which the table leaves out."""
-        keyed = self.lint_messages().selectExpr(
+        """Statistics under the linter's dotted keys, some of which the table leaves out.
+
+        The messages are brought together by commit, not the several keys of each.
+        """
+        keyed = self.lint_messages().repartition("commit_hash", "repo").selectExpr(
             "repo", "commit_hash", "committer_date",
             "explode(array(concat('stats.by_msg.', symbol), concat('stats.', category),"
             " concat('stats.by_module.', module, '.total'), 'stats.statement', 'stats.node_count.function')) as key",

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from repostrata.functions.documents import utc_timestamp
 from repostrata.operators.upsert import new_keys
-from repostrata.session import pinned
+from repostrata.session import pinned, shuffles_dropped, stored
 from repostrata.sources.readers import STAR_EDGES
 
 TABLES = ("repositories", "metadata", "stargazers", "tests", "test_commits", "lints", "lint_commits", "gits")
@@ -73,6 +73,8 @@ def test_documents(classified: DataFrame, max_rows: int = 10_000) -> DataFrame:
     )
 
 
+_HASHES = 4_096  # that a shuffle partition counts rows by, when keys of many rows are looked for
+_NEAR = 10_000  # rows of a partition that a list of statistics is made of, at most
 _FOUND = ["symbol", "msg", "confidence", "path"]
 _PLACE = ["module", "category", "msg_id"]
 # Shapes of the stored documents.
@@ -83,79 +85,161 @@ _ENTRIES = (
 _TOTALS = (
     "map<string, struct<total_messages: bigint, categories: map<string, struct<total: bigint, message_ids: map<string, bigint>>>>>"
 )
+_MODULE_TOTALS = "map<string, struct<total_messages: bigint>>"
 _FILES = (
     "map<string, struct<imports: array<string>, unittest_classes: array<string>, pytest_functions: array<string>,"
     " production_statements: bigint, test_statements: bigint>>"
 )
 
 
+def _named(messages: DataFrame) -> DataFrame:
+    """A missing module, category or id becomes an empty text, since keys of a document cannot be missing."""
+    return messages.withColumns({c: F.coalesce(c, F.lit("")) for c in _PLACE})
+
+
 def distinct_messages(messages: DataFrame) -> DataFrame:
-    """Equal messages of a commit as one row with their number of ``occurrences``.
+    """Equal messages of a commit as one row with their number of ``occurrences``, which may be counted in part.
 
-    A missing module, category or id becomes an empty text, since keys of a document cannot
-    be missing.
+    A missing module, category or id becomes an empty text.
     """
-    keys = ["repo", "commit_hash"]
-    named = messages.withColumns({c: F.coalesce(c, F.lit("")) for c in _PLACE})
-    return named.groupBy(*keys, *_PLACE, *_FOUND).agg(F.count(F.lit(1)).alias("occurrences"))
+    number = F.sum("occurrences") if "occurrences" in messages.columns else F.count(F.lit(1))
+    return _named(messages).groupBy("repo", "commit_hash", *_PLACE, *_FOUND).agg(number.alias("occurrences"))
+
+
+def stat_lists(stats: DataFrame) -> DataFrame:
+    """``(repo, commit_hash, committer_date, rows, stat)``: statistics of commits in lists, written once.
+
+    Rows of a commit that lie near each other in a partition, within ``_NEAR`` rows, become one list:
+    far fewer rows to shuffle, none of unbounded size, and no shuffle where the statistics of a
+    commit are in one partition.
+    """
+    keys = ["commit_hash", "repo"]
+    near = (F.monotonically_increasing_id() / _NEAR).cast("bigint")
+    lists = stats.withColumn("__near", near).sortWithinPartitions(*keys, "__near").groupBy(*keys, "__near").agg(
+        F.max("committer_date").alias("committer_date"),
+        F.count(F.lit(1)).alias("rows"),
+        F.collect_list(F.struct("key", "value")).alias("stat"),
+    )
+    with shuffles_dropped(stats.sparkSession):
+        return stored(lists.select("repo", "commit_hash", "committer_date", "rows", "stat"), "zstd")[0]
+
+
+def crowded_keys(counts: DataFrame, most: int) -> DataFrame | None:
+    """Keys, each once, whose ``rows`` add up to more than ``most``; None if there are none.
+
+    All are added up by a hash, so that what is shuffled is bounded by the hashes; only keys under
+    a hash of more than ``most`` rows are then added up by themselves.
+    """
+    keys = [c for c in counts.columns if c != "rows"]
+    hashes = _HASHES * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashed = counts.withColumn("__hash", F.pmod(F.xxhash64(*keys), F.lit(hashes)))
+
+    def many(*by: str, of: DataFrame) -> DataFrame:
+        added = of.groupBy(*by).agg(F.sum("rows").alias("rows"))
+        return pinned(added.where(F.col("rows") > most).select(*by))
+
+    full = many("__hash", of=hashed)
+    if full.isEmpty():
+        return None
+    found = many(*keys, of=hashed.join(full, "__hash", "left_semi"))
+    return None if found.isEmpty() else found
 
 
-def lint_documents(distinct: DataFrame, stats: DataFrame, max_rows: int = 10_000) -> DataFrame:
+def _of_keys(rows: DataFrame, listed: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Rows joined with a list of keys, of which missing ones are equal."""
+    named = listed.withColumnsRenamed({c: f"__{c}" for c in keys})
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
+    return rows.join(named, same, how).drop(*[f"__{c}" for c in keys])
+
+
+def lint_documents(messages: DataFrame, stats: DataFrame, max_rows: int = 10_000, max_list: int = 10_000) -> DataFrame:
     """``(repo, commit_hash, part, stats, messages, totals, date)``: the JSON documents of each commit.
 
-    Messages are nested by module, category and id; totals count them at the same levels. A
-    module is never cut in the totals, so every total is that of the commit. The rows of a
-    part are brought together once and nested within their list, which ``max_rows`` bounds.
+    Messages have a number of ``occurrences``; that of equal ones is added up. They are nested by
+    module, category and id; totals count them at the same levels. A module is never cut in the
+    totals, so every total is that of the commit. All rows of a commit are brought together once,
+    as one list that is then cut into parts of ``max_rows``; only commits of more than ``max_list``
+    rows, or than ``max_rows`` if that is more, are dealt to their parts before.
     """
     keys = ["commit_hash", "repo"]
-    # Most commits fit in one part; those that do not are listed with what their parts share.
+    stats = stats if "stat" in stats.columns else stat_lists(stats)
+    counts = stats.select(*keys, "rows").unionAll(messages.select(*keys, F.lit(1).alias("rows")))
+    crowded = crowded_keys(counts, max(max_rows, max_list))
+    if crowded is None:
+        return _whole_commits(messages, stats, max_rows)
+    few = [_of_keys(rows, crowded, keys, "left_anti") for rows in (messages, stats)]
+    many = [_of_keys(rows, crowded, keys, "left_semi") for rows in (messages, stats)]
+    return _whole_commits(*few, max_rows).unionByName(_dealt_commits(*many, max_rows))
+
+
+def _lists(sides: Sequence[DataFrame], by: Sequence[str], *ordered: str) -> DataFrame:
+    """Rows of all sides, brought together once: their statistics and those of ``ordered`` in lists by the columns of ``by``."""
+    rows = sides[0]
+    for side in sides[1:]:
+        rows = rows.unionByName(side, allowMissingColumns=True)
+    return rows.repartition(*by).sortWithinPartitions(*by).groupBy(*by).agg(
+        F.max("date").alias("date"),
+        F.flatten(F.collect_list("stat")).alias("stat"),
+        *[F.sort_array(F.collect_list(name)).alias(name) for name in ordered],
+    )
+
+
+def _message() -> Column:
+    """A message as its list holds it, in the order in which it is nested."""
+    return F.struct(*_PLACE, F.struct(*_FOUND).alias("found"), "occurrences").alias("message")
+
+
+def _documents(rows: DataFrame, stat: Column, message: Column, modules: Column) -> DataFrame:
+    """JSON texts of the lists, NULL for an empty one."""
+    made = {"stats": (stat, F.map_from_entries), "messages": (message, _entries), "totals": (modules, F.map_from_entries)}
+    texts = [F.when(F.size(at) > 0, F.to_json(nest(at))).alias(name) for name, (at, nest) in made.items()]
+    return rows.select("repo", "commit_hash", F.col("part").cast("bigint").alias("part"), *texts, "date")
+
+
+def _whole_commits(messages: DataFrame, stats: DataFrame, max_rows: int) -> DataFrame:
+    """Documents of commits whose rows fit in one list, which is cut into parts."""
+    keys = ["commit_hash", "repo"]
+    sides = [
+        stats.select(*keys, F.col("committer_date").alias("date"), "stat"),
+        messages.select(*keys, _message()),
+    ]
+    listed = _lists(sides, keys, "message")
+    # Equal messages are counted before a list is cut, so that they stay in one part.
+    fits = F.size("message") <= max_rows
+    listed = listed.withColumn("message", F.when(fits, F.col("message")).otherwise(_merged(F.col("message"))))
+    listed = listed.withColumn("modules", _totals(F.col("message")))
+    longest = F.greatest(F.size("stat"), F.size("message"), F.lit(1))
+    cut = listed.withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(longest / max_rows).cast("int") - 1)))
+    own = lambda name: F.slice(name, F.col("part") * max_rows + 1, F.lit(max_rows))
+    return _documents(cut, own("stat"), own("message"), own("modules"))
+
+
+def _dealt_commits(messages: DataFrame, stats: DataFrame, max_rows: int) -> DataFrame:
+    """Documents of commits of many rows, which are dealt to parts by a hash; totals by their module."""
+    keys = ["commit_hash", "repo"]
+    distinct = pinned(distinct_messages(messages))
     one, zero = F.lit(1), F.lit(0)
-    sizes = stats.select(*keys, one.alias("s"), zero.alias("m"), F.col("committer_date").alias("whole_date"))
+    each = stats.select(*keys, "committer_date", F.explode("stat").alias("stat"))
+    sizes = each.select(*keys, one.alias("s"), zero.alias("m"), F.col("committer_date").alias("date"))
     sizes = sizes.unionByName(distinct.select(*keys, zero.alias("s"), one.alias("m")), allowMissingColumns=True)
+    parts = lambda rows: F.greatest(F.ceil(F.sum(rows) / max_rows), one)
     long = pinned(
-        sizes.groupBy(*keys)
-        .agg(
-            F.ceil(F.sum("s") / max_rows).alias("stat_parts"),
-            F.ceil(F.sum("m") / max_rows).alias("message_parts"),
-            F.max("whole_date").alias("whole_date"),
-        )
-        .where("stat_parts > 1 or message_parts > 1")
+        sizes.groupBy(*keys).agg(parts("s").alias("stat_parts"), parts("m").alias("message_parts"), F.max("date").alias("date"))
     )
 
-    def placed(rows: DataFrame, parts: str, *by: str) -> DataFrame:
-        """Rows with their part; a row's part is a hash of it."""
-        part = F.pmod(F.xxhash64(*by), F.greatest(F.coalesce(parts, one), one).cast("bigint"))
-        return rows.withColumn("part", part)
+    def placed(rows: DataFrame, number: str, by: Sequence[str], entry: Column) -> DataFrame:
+        """Rows with their part: a hash of them."""
+        part = F.pmod(F.xxhash64(*by), F.col(number).cast("bigint")).alias("part")
+        return _of_keys(rows, long, keys, "inner").select(*keys, part, "date", entry)
 
-    joined = stats.join(long, keys, "left").withColumn("date", F.coalesce("whole_date", "committer_date"))
-    found = distinct.join(long, keys, "left").withColumn("date", F.col("whole_date"))
-    cut = F.coalesce(F.col("message_parts") > 1, F.lit(False))
+    counts = distinct.groupBy(*keys, *_PLACE).agg(F.sum("occurrences").alias("occurrences"))
     sides = [
-        placed(joined, "stat_parts", "key", "value").select(*keys, "part", "date", F.struct("key", "value").alias("stat")),
-        placed(found, "message_parts", *_PLACE, *_FOUND, "occurrences").select(
-            *keys, "part", "date", cut.alias("cut"), F.struct(*_PLACE, *_FOUND, "occurrences").alias("message")
-        ),
-        # Only where the messages of a commit are cut do its totals need rows of their own.
-        placed(found.where(cut), "message_parts", "module").select(
-            *keys, "part", "date", cut.alias("cut"), F.struct(*_PLACE, "occurrences").alias("counted")
-        ),
+        placed(each, "stat_parts", ["stat"], F.array("stat").alias("stat")),
+        placed(distinct, "message_parts", [*_PLACE, *_FOUND], _message()),
+        placed(counts, "message_parts", ["module"], F.struct(*_PLACE, "occurrences").alias("counted")),
     ]
-    rows = sides[0]
-    for side in sides[1:]:
-        rows = rows.unionByName(side, allowMissingColumns=True)
-    by = [*keys, "part"]
-    listed = rows.repartition(*by).sortWithinPartitions(*by).groupBy(*by).agg(
-        F.max("date").alias("date"),
-        F.max("cut").alias("cut"),
-        F.collect_list("stat").alias("stat"),
-        F.sort_array(F.collect_list("message")).alias("message"),
-        F.sort_array(F.collect_list("counted")).alias("counted"),
-    )
-    whole = F.transform("message", lambda x: F.struct(*[x[c].alias(c) for c in (*_PLACE, "occurrences")]))
-    listed = listed.withColumn("counted", F.when(F.col("cut"), F.col("counted")).otherwise(whole))
-    texts = {"stats": ("stat", F.map_from_entries), "messages": ("message", _entries), "totals": ("counted", _totals)}
-    made = [F.when(F.size(at) > 0, F.to_json(nest(F.col(at)))).alias(name) for name, (at, nest) in texts.items()]
-    return listed.select("repo", "commit_hash", "part", *made, "date")
+    listed = _lists(sides, [*keys, "part"], "message", "counted").withColumn("modules", _totals(F.col("counted")))
+    return _documents(listed, F.col("stat"), F.col("message"), F.col("modules"))
 
 
 def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -164,32 +248,70 @@ def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _stretches(rows: Column, key: str, body: Callable[[Column], Column]) -> Column:
-    """A map from each ``key`` to ``body`` of its rows, in time linear in the sorted rows."""
+    """Pairs of each ``key`` with ``body`` of its rows, in time linear in the sorted rows.
+
+    ``rows`` should be a name or a bound value: it is named several times.
+    """
+    size = F.size(rows)
     first = lambda i: (i == 1) | (F.get(rows, i - 1)[key] != F.get(rows, i - 2)[key])
-    starts = F.filter(F.sequence(F.lit(1), F.size(rows)), first)
+    alike = (size > 0) & (F.get(rows, F.lit(0))[key] == F.get(rows, size - 1)[key])
+    several = F.when(size > 0, F.filter(F.sequence(F.lit(1), size), first)).otherwise(F.array().cast("array<int>"))
+    starts = F.when(alike, F.array(F.lit(1))).otherwise(several)
 
     def stretch(at: Column, s: Column, j: Column) -> Column:
-        length = F.coalesce(F.get(at, j + 1), F.size(rows) + 1) - s
-        return _bound(F.slice(rows, s, length), lambda own: F.struct(F.get(own, F.lit(0))[key], body(own)))
+        length = F.coalesce(F.get(at, j + 1), size + 1) - s
+        own = F.when(length == size, rows).otherwise(F.slice(rows, s, length))
+        return _bound(own, lambda own: F.struct(F.get(own, F.lit(0))[key].alias("key"), body(own).alias("value")))
+
+    return _bound(starts, lambda at: F.transform(at, lambda s, j: stretch(at, s, j)))
+
 
-    several = F.map_from_entries(_bound(starts, lambda at: F.transform(at, lambda s, j: stretch(at, s, j))))
-    low, high = F.get(rows, F.lit(0))[key], F.get(rows, F.size(rows) - 1)[key]
-    return F.when(low == high, F.create_map(low, body(rows))).otherwise(several)
+def _one_or(rows: Column, only: Callable[[Column, Column], Column], several: Column) -> Column:
+    """``only`` of the row and its occurrences where there is one; many commits have a single message."""
+    row = F.get(rows, F.lit(0))
+    return F.when(F.size(rows) == 1, only(row, row["occurrences"])).otherwise(several)
+
+
+def _total(rows: Column) -> Column:
+    return F.aggregate(rows, F.lit(0).cast("bigint"), lambda n, x: n + x["occurrences"])
 
 
 def _entries(rows: Column) -> Column:
-    """Messages by module, category and id."""
-    entry = lambda x: F.struct(*[x[c].alias(c) for c in (*_FOUND, "occurrences")])
-    by_id = lambda own: _stretches(own, "msg_id", lambda same: F.transform(same, entry))
-    return _stretches(rows, "module", lambda own: _stretches(own, "category", by_id))
+    """Messages by module, category and id, equal ones as one entry."""
+    alone = lambda x, n: F.array(F.struct(*[x["found"][c].alias(c) for c in _FOUND], n.alias("occurrences")))
+    of_category = lambda x, n: F.create_map(x["category"], F.create_map(x["msg_id"], alone(x, n)))
+    only = lambda x, n: F.create_map(x["module"], of_category(x, n))
+
+    def found(same: Column) -> Column:
+        entry = lambda x: F.struct(*[x["key"][c].alias(c) for c in _FOUND], x["value"].alias("occurrences"))
+        return F.transform(_stretches(same, "found", _total), entry)
+
+    by_id = lambda own: F.map_from_entries(_stretches(own, "msg_id", found))
+    by_category = lambda own: F.map_from_entries(_stretches(own, "category", by_id))
+    several = _bound(rows, lambda rows: F.map_from_entries(_stretches(rows, "module", by_category)))
+    return _one_or(rows, only, several)
 
 
 def _totals(rows: Column) -> Column:
-    """Counts of messages by module, category and id."""
-    total = lambda own: F.aggregate(own, F.lit(0).cast("bigint"), lambda n, x: n + x["occurrences"])
-    ids = lambda own: F.struct(total(own).alias("total"), _stretches(own, "msg_id", total).alias("message_ids"))
-    found = lambda own: F.struct(total(own).alias("total_messages"), _stretches(own, "category", ids).alias("categories"))
-    return _stretches(rows, "module", found)
+    """Modules with counts of messages by module, category and id."""
+    of_category = lambda x, n: F.struct(n.alias("total"), F.create_map(x["msg_id"], n).alias("message_ids"))
+    by_category_of = lambda x, n: F.create_map(x["category"], of_category(x, n)).alias("categories")
+    of_module = lambda x, n: F.struct(n.alias("total_messages"), by_category_of(x, n)).alias("value")
+    only = lambda x, n: F.array(F.struct(x["module"].alias("key"), of_module(x, n)))
+    ids = lambda own: F.map_from_entries(_stretches(own, "msg_id", _total))
+    category = lambda own: F.struct(_total(own).alias("total"), ids(own).alias("message_ids"))
+    categories = lambda own: F.map_from_entries(_stretches(own, "category", category))
+    module = lambda own: F.struct(_total(own).alias("total_messages"), categories(own).alias("categories"))
+    return _one_or(rows, only, _bound(rows, lambda rows: _stretches(rows, "module", module)))
+
+
+def _merged(rows: Column) -> Column:
+    """Equal messages of the sorted rows as one with their number of occurrences."""
+    kept = (*_PLACE, "found")
+    whole = lambda x: F.struct(*[x[c].alias(c) for c in kept])
+    at = F.transform(rows, lambda x: F.struct(whole(x).alias("at"), x["occurrences"].alias("occurrences")))
+    counted = lambda x: F.struct(*[x["key"][c].alias(c) for c in kept], x["value"].alias("occurrences"))
+    return _bound(at, lambda named: F.transform(_stretches(named, "at", _total), counted))
 
 
 def row_documents(table: DataFrame, key: str = "repo") -> DataFrame:
@@ -233,11 +355,10 @@ class RawStore:
 
     def _append(self, table: str, rows: DataFrame, run_ts: str) -> None:
         """The rows of a run; a retried run replaces what it wrote before."""
-        rows.withColumnRenamed("repo", "repository_name").withColumnRenamed("commit_hash", "hash").withColumn(
-            "run_ts", F.lit(run_ts)
-        ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_ts").parquet(
-            f"{self.path}/{table}"
-        )
+        named = rows.withColumnsRenamed({"repo": "repository_name", "commit_hash": "hash"}).withColumn("run_ts", F.lit(run_ts))
+        writer = named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_ts")
+        with shuffles_dropped(self.spark):
+            writer.option("compression", "zstd").parquet(f"{self.path}/{table}")
 
     def add_repositories(self, repos: DataFrame) -> None:
         """Insert the repositories that are not there yet."""
@@ -268,10 +389,13 @@ class RawStore:
         self._append("test_commits", facts.join(documents, ["repo", "commit_hash"], "left"), run_ts)
 
     def append_lints(self, messages: DataFrame, stats: DataFrame, run_ts: str) -> None:
-        self.add_repositories(stats)
-        self._append("lints", stats.select("repo").distinct(), run_ts)
-        distinct = pinned(distinct_messages(messages))
-        self._append("lint_commits", lint_documents(distinct, stats, self.max_rows), run_ts)
+        """``stats`` may be the lists that ``stat_lists`` makes of them."""
+        with shuffles_dropped(self.spark):
+            stats = stats if "stat" in stats.columns else stat_lists(stats)
+            self.add_repositories(stats)
+            self._append("lints", stats.select("repo").distinct(), run_ts)
+            each = _named(messages).withColumn("occurrences", F.lit(1).cast("bigint"))
+            self._append("lint_commits", lint_documents(each, stats, self.max_rows), run_ts)
 
     def commits_of(self, kind: str) -> DataFrame:
         """Commit rows of ``test`` or ``lint`` with the parent row of their own run."""
@@ -317,11 +441,11 @@ class RawStore:
         each = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "at.occurrences")))
         return each.select(*keys, *_PLACE, *[f"at.{c}" for c in _FOUND])
 
-    def lint_counts(self, run: str | None = None) -> DataFrame:
+    def lint_counts(self, run: str | None = None, modules_only: bool = False) -> DataFrame:
         """Stored totals ``(run_ts, repo, commit_hash, module, category, msg_id, level, messages)``.
 
         ``level`` is 0 for a message id, 1 for a category and 3 for a module, as in
-        ``message_counts``.
+        ``message_counts``. With ``modules_only`` those of level 3, without reading the others.
         """
         keys = ["run_ts", "repo", "commit_hash"]
         rows = self._stored("lint_commits", run).where(F.col("totals").isNotNull())
@@ -336,7 +460,10 @@ class RawStore:
             ids = F.transform(F.map_entries(c.value.message_ids), lambda i: row(0, c.key, i.key, i.value))
             return F.concat(F.array(row(1, c.key, none, c.value.total)), ids)
 
-        modules = rows.select(*keys, F.explode(F.from_json("totals", _TOTALS)).alias("module", "m"))
+        kind = _MODULE_TOTALS if modules_only else _TOTALS
+        modules = rows.select(*keys, F.explode(F.from_json("totals", kind)).alias("module", "m"))
+        if modules_only:
+            return modules.select(*keys, "module", row(3, none, none, F.col("m.total_messages")).alias("r")).select(*keys, "module", "r.*")
         categories = F.flatten(F.transform(F.map_entries("m.categories"), of_category))
         found = F.concat(F.array(row(3, none, none, F.col("m.total_messages"))), categories)
         return modules.select(*keys, "module", F.inline(found))

@@ -342,3 +342,62 @@ def test_scratch_tables_can_be_released(spark):
     discard(spark, where)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(where)
+
+
+def lint_rows(spark):
+    """Messages of a large and of small commits, some equal, with missing values; statistics of them."""
+    messages = spark.sql(
+        "select if(id % 3 = 0, null, 'r') as repo, concat('c', if(id < 240, id % 2, id)) as commit_hash, concat('m', id % 7) as module,"
+        " if(id % 5 = 0, null, 'warning') as category, concat('W', id % 4) as msg_id, 's' as symbol, if(id % 11 = 0, null, concat('x', id % 20))"
+        " as msg, 'HIGH' as confidence, 'm.py' as path, timestamp '2020-01-01 00:00:00' as committer_date from range(250)"
+    )
+    stats = messages.groupBy("repo", "commit_hash", "committer_date", F.concat("module", "msg_id").alias("key"))
+    return messages, stats.agg(F.count(F.lit(1)).cast("double").alias("value"))
+
+
+def test_keys_of_many_rows_are_found(spark, rows):
+    from repostrata.sources.rawstore import crowded_keys
+
+    counts = spark.sql("select if(id < 50, null, if(id < 90, 'b', concat('k', id))) as k, 2 as rows from range(400)")
+    assert rows(crowded_keys(counts, 79)) == [("b",), (None,)]
+    assert rows(crowded_keys(counts, 80)) == [(None,)]
+    assert crowded_keys(counts, 100) is None
+
+
+def test_small_commits_are_brought_together_in_one_small_shuffle(spark, tmp_path):
+    """Statistics go as lists, messages as they come: no joins, no other shuffle."""
+    from repostrata.sources.rawstore import lint_documents, stat_lists
+
+    messages, stats = lint_rows(spark)
+    lists = stat_lists(stats)
+    assert lists.count() < stats.count() / 2 and lists.agg(F.sum("rows")).first()[0] == stats.count()
+    assert all(".zstd." in f for f in lists.inputFiles())
+    local = stat_lists(stats.repartition("commit_hash", "repo"))
+    assert local.count() == stats.select("repo", "commit_hash").distinct().count()
+    # In small parts as well, whose commits are all cut.
+    plan = lint_documents(messages.withColumn("occurrences", F.lit(1).cast("bigint")), lists, max_rows=3)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and text.count("Exchange") == 1
+
+
+def test_appending_leaves_no_shuffle_files(spark, tmp_path):
+    import gc
+    import time
+
+    def shuffles():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {blocks.apply(i).getName() for i in range(blocks.size()) if blocks.apply(i).getName().endswith(".data")}
+
+    messages, stats = lint_rows(spark)
+    stats = stats.localCheckpoint()
+    store = RawStore(spark, str(tmp_path / "raw"))
+    gc.collect()
+    before, setting = shuffles(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting, None)
+    store.append_lints(messages, stats, "1")
+    for _ in range(100):
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert spark.conf.get(setting, None) == was
