@@ -355,6 +355,34 @@ def lint_rows(spark):
     return messages, stats.agg(F.count(F.lit(1)).cast("double").alias("value"))
 
 
+@pytest.mark.parametrize("max_rows, max_list", [(10_000, 10_000), (7, 10_000), (7, 8), (20, 30)])
+def test_lint_documents_are_whole_however_they_are_cut(spark, tmp_path, rows, max_rows, max_list):
+    from repostrata.operators.lint import message_counts
+    from repostrata.sources.rawstore import distinct_messages, lint_documents
+
+    messages, stats = lint_rows(spark)
+    each = messages.fillna("", ["category"]).withColumn("occurrences", F.lit(1).cast("bigint"))
+    documents = lint_documents(each, stats, max_rows, max_list).withColumnsRenamed({"repo": "repository_name", "commit_hash": "hash"})
+    documents.withColumn("run_ts", F.lit("1")).write.partitionBy("run_ts").parquet(f"{tmp_path}/lint_commits")
+    store = RawStore(spark, str(tmp_path))
+    columns = each.drop("occurrences", "committer_date").columns
+    assert rows(store.lint_messages("1"), *columns) == rows(each, *columns)
+    level = ["repo", "commit_hash", "module", "category", "msg_id", "level", "messages"]
+    want = message_counts(each).where("level < 7")
+    assert rows(store.lint_counts("1"), *level) == rows(want, *level)
+    modules = store.lint_counts("1", modules_only=True)
+    assert rows(modules, *level) == rows(want.where("level = 3"), *level) and modules.columns == store.lint_counts("1").columns
+    assert rows(store.lint_stats("1"), *stats.columns) == rows(stats)
+    found = store.read("lint_commits")
+    assert found.groupBy("repository_name", "hash", "part").count().where("count > 1").isEmpty()
+    # An entry is stored once, with its occurrences.
+    entries = F.regexp_count("messages", F.lit('"occurrences"'))
+    assert found.agg(F.sum(entries)).first()[0] == distinct_messages(messages).count()
+    if max_rows == 7 and max_list > 8:
+        sizes = found.select(F.max(entries), F.max(F.regexp_count("stats", F.lit(":")))).first()
+        assert max(sizes) <= 7
+
+
 def test_keys_of_many_rows_are_found(spark, rows):
     from repostrata.sources.rawstore import crowded_keys
 
