@@ -82,9 +82,11 @@ class TestTables:
     def lint_stats(self) -> DataFrame:
         """Statistics under the linter's dotted keys, some of which the table leaves out.
 
-        The messages are brought together by commit, not the several keys of each.
+        The messages are brought together by commit, not the several keys of each. As these take
+        more room than what is shuffled, the partitions are not merged by its size.
         """
-        keyed = self.lint_messages().repartition("commit_hash", "repo").selectExpr(
+        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        keyed = self.lint_messages().repartition(partitions, "commit_hash", "repo").selectExpr(
             "repo", "commit_hash", "committer_date",
             "explode(array(concat('stats.by_msg.', symbol), concat('stats.', category),"
             " concat('stats.by_module.', module, '.total'), 'stats.statement', 'stats.node_count.function')) as key",

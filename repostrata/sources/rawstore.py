@@ -164,12 +164,13 @@ def lint_documents(messages: DataFrame, stats: DataFrame, max_rows: int = 10_000
     keys = ["commit_hash", "repo"]
     stats = stats if "stat" in stats.columns else stat_lists(stats)
     counts = stats.select(*keys, "rows").unionAll(messages.select(*keys, F.lit(1).alias("rows")))
-    crowded = crowded_keys(counts, max(max_rows, max_list))
+    most = max(max_rows, max_list)
+    crowded = crowded_keys(counts, most)
     if crowded is None:
-        return _whole_commits(messages, stats, max_rows)
+        return _whole_commits(messages, stats, max_rows, most)
     few = [_of_keys(rows, crowded, keys, "left_anti") for rows in (messages, stats)]
     many = [_of_keys(rows, crowded, keys, "left_semi") for rows in (messages, stats)]
-    return _whole_commits(*few, max_rows).unionByName(_dealt_commits(*many, max_rows))
+    return _whole_commits(*few, max_rows, most).unionByName(_dealt_commits(*many, max_rows))
 
 
 def _lists(sides: Sequence[DataFrame], by: Sequence[str], *ordered: str) -> DataFrame:
@@ -189,21 +190,28 @@ def _message() -> Column:
     return F.struct(*_PLACE, F.struct(*_FOUND).alias("found"), "occurrences").alias("message")
 
 
-def _documents(rows: DataFrame, stat: Column, message: Column, modules: Column) -> DataFrame:
-    """JSON texts of the lists, NULL for an empty one."""
-    made = {"stats": (stat, F.map_from_entries), "messages": (message, _entries), "totals": (modules, F.map_from_entries)}
-    texts = [F.when(F.size(at) > 0, F.to_json(nest(at))).alias(name) for name, (at, nest) in made.items()]
+def _documents(rows: DataFrame, stat: Column, message: Column, totals: Column, counted: Column) -> DataFrame:
+    """JSON texts of the lists, NULL for an empty one; ``totals`` are pairs made of ``counted``."""
+    made = {
+        "stats": (stat, F.map_from_entries(stat)),
+        "messages": (message, _entries(message)),
+        "totals": (counted, F.map_from_entries(totals)),
+    }
+    texts = [F.when(F.size(of) > 0, F.to_json(nested)).alias(name) for name, (of, nested) in made.items()]
     return rows.select("repo", "commit_hash", F.col("part").cast("bigint").alias("part"), *texts, "date")
 
 
-def _whole_commits(messages: DataFrame, stats: DataFrame, max_rows: int) -> DataFrame:
-    """Documents of commits whose rows fit in one list, which is cut into parts."""
+def _whole_commits(messages: DataFrame, stats: DataFrame, max_rows: int, most: int) -> DataFrame:
+    """Documents of commits whose rows, at most ``most``, fit in one list, which is cut into parts."""
     keys = ["commit_hash", "repo"]
     sides = [
         stats.select(*keys, F.col("committer_date").alias("date"), "stat"),
         messages.select(*keys, _message()),
     ]
     listed = _lists(sides, keys, "message")
+    if most <= max_rows:
+        stat, message = F.col("stat"), F.col("message")
+        return _documents(listed.withColumn("part", F.lit(0)), stat, message, _totals(message), message)
     # Equal messages are counted before a list is cut, so that they stay in one part.
     fits = F.size("message") <= max_rows
     listed = listed.withColumn("message", F.when(fits, F.col("message")).otherwise(_merged(F.col("message"))))
@@ -211,7 +219,7 @@ def _whole_commits(messages: DataFrame, stats: DataFrame, max_rows: int) -> Data
     longest = F.greatest(F.size("stat"), F.size("message"), F.lit(1))
     cut = listed.withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(longest / max_rows).cast("int") - 1)))
     own = lambda name: F.slice(name, F.col("part") * max_rows + 1, F.lit(max_rows))
-    return _documents(cut, own("stat"), own("message"), own("modules"))
+    return _documents(cut, own("stat"), own("message"), own("modules"), own("modules"))
 
 
 def _dealt_commits(messages: DataFrame, stats: DataFrame, max_rows: int) -> DataFrame:
@@ -238,8 +246,8 @@ def _dealt_commits(messages: DataFrame, stats: DataFrame, max_rows: int) -> Data
         placed(distinct, "message_parts", [*_PLACE, *_FOUND], _message()),
         placed(counts, "message_parts", ["module"], F.struct(*_PLACE, "occurrences").alias("counted")),
     ]
-    listed = _lists(sides, [*keys, "part"], "message", "counted").withColumn("modules", _totals(F.col("counted")))
-    return _documents(listed, F.col("stat"), F.col("message"), F.col("modules"))
+    listed = _lists(sides, [*keys, "part"], "message", "counted")
+    return _documents(listed, F.col("stat"), F.col("message"), _totals(F.col("counted")), F.col("counted"))
 
 
 def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -267,7 +275,7 @@ def _stretches(rows: Column, key: str, body: Callable[[Column], Column]) -> Colu
 
 
 def _one_or(rows: Column, only: Callable[[Column, Column], Column], several: Column) -> Column:
-    """``only`` of the row and its occurrences where there is one; many commits have a single message."""
+    """``only`` of the row and its occurrences where there is one, as in many commits and modules."""
     row = F.get(rows, F.lit(0))
     return F.when(F.size(rows) == 1, only(row, row["occurrences"])).otherwise(several)
 
@@ -287,7 +295,8 @@ def _entries(rows: Column) -> Column:
         return F.transform(_stretches(same, "found", _total), entry)
 
     by_id = lambda own: F.map_from_entries(_stretches(own, "msg_id", found))
-    by_category = lambda own: F.map_from_entries(_stretches(own, "category", by_id))
+    of_several = lambda own: F.map_from_entries(_stretches(own, "category", by_id))
+    by_category = lambda own: _one_or(own, of_category, of_several(own))
     several = _bound(rows, lambda rows: F.map_from_entries(_stretches(rows, "module", by_category)))
     return _one_or(rows, only, several)
 
@@ -296,12 +305,13 @@ def _totals(rows: Column) -> Column:
     """Modules with counts of messages by module, category and id."""
     of_category = lambda x, n: F.struct(n.alias("total"), F.create_map(x["msg_id"], n).alias("message_ids"))
     by_category_of = lambda x, n: F.create_map(x["category"], of_category(x, n)).alias("categories")
-    of_module = lambda x, n: F.struct(n.alias("total_messages"), by_category_of(x, n)).alias("value")
-    only = lambda x, n: F.array(F.struct(x["module"].alias("key"), of_module(x, n)))
+    of_module = lambda x, n: F.struct(n.alias("total_messages"), by_category_of(x, n))
+    only = lambda x, n: F.array(F.struct(x["module"].alias("key"), of_module(x, n).alias("value")))
     ids = lambda own: F.map_from_entries(_stretches(own, "msg_id", _total))
     category = lambda own: F.struct(_total(own).alias("total"), ids(own).alias("message_ids"))
     categories = lambda own: F.map_from_entries(_stretches(own, "category", category))
-    module = lambda own: F.struct(_total(own).alias("total_messages"), categories(own).alias("categories"))
+    of_several = lambda own: F.struct(_total(own).alias("total_messages"), categories(own).alias("categories"))
+    module = lambda own: _one_or(own, of_module, of_several(own))
     return _one_or(rows, only, _bound(rows, lambda rows: _stretches(rows, "module", module)))
 
 

@@ -1,5 +1,6 @@
 import csv
 import json
+import os
 import random
 from datetime import datetime
 
@@ -429,3 +430,15 @@ def test_appending_leaves_no_shuffle_files(spark, tmp_path):
         time.sleep(0.1)
     assert not shuffles() - before
     assert spark.conf.get(setting, None) == was
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are not here")
+def test_statistics_are_grouped_in_as_many_partitions_as_there_are(spark):
+    """Several keys of each message take more room than what is shuffled, by which partitions would be merged."""
+    from repostrata.sources.adapters import TestTables
+
+    stats = TestTables(spark, "/root/testdata/sf0.001").lint_stats()
+    used = stats.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
